@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +81,21 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 def ascii_lower(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).decode("utf-8", "surrogatepass")
+
+
+def words_of(text: str) -> list[bytes]:
+    """Words between blanks, A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+def grams(words: list[bytes], width: int, seed: int = 42) -> list[int]:
+    """XXH64 of each run of ``width`` words; of the whole sequence where it is shorter."""
+    if not words:
+        return []
+    line = b" ".join(words)
+    if len(words) < width:
+        return [xxhash.xxh64_intdigest(line, seed)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]

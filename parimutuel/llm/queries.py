@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, media, secrets, simhash
+from . import bpe, licenses, media, paragraphs, secrets, simhash
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(read(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_license_scan,
         op4_secret_scan,
         op5_media_columns,
+        op6_substring_dedup,
         op7_simhash_near_dedup,
         op8_bpe,
     )

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, map_texts, pa_schema
+from .common import cut, grams, map_texts, pa_schema, words_of
 from .components import components
 
 SEED = 42
@@ -42,19 +42,6 @@ ROUNDS = 20
 LANES = np.array([sum((v >> j & 1) << 8 * j for j in range(8)) for v in range(256)], np.uint64)
 
 
-def shingles(text: str, width: int) -> list[int]:
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return []
-    line = b" ".join(words)
-    if len(words) < width:
-        return [xxhash.xxh64_intdigest(line, SEED)]
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    return [digest(line[a:b], SEED) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())]
-
-
 def majorities(groups: list[list[int]]) -> np.ndarray:
     """The fingerprint of each group of hashes, as signed 64-bit integers.
 
@@ -77,7 +64,7 @@ def majorities(groups: list[list[int]]) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): the 64 bits of each whole text."""
-    return map_texts(docs, lambda ids, texts: [ids, majorities([shingles(t, width) for t in texts])], "doc_id long, fp long")
+    return map_texts(docs, lambda ids, texts: [ids, majorities([grams(words_of(t), width, SEED) for t in texts])], "doc_id long, fp long")
 
 
 def vantage(level: int) -> np.uint64:
