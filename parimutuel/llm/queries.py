@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, media, paragraphs, secrets, simhash
+from . import bpe, decontaminate, licenses, lines, media, paragraphs, secrets, simhash
 from .common import read
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
@@ -35,16 +39,45 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_runs(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_decontamination,
         op3_license_scan,
         op4_secret_scan,
         op5_media_columns,
         op6_substring_dedup,
         op7_simhash_near_dedup,
         op8_bpe,
+        op10_line_dedup,
     )
 }
 
-ORACLE: dict[str, str] = {}
+#: Runs of three trimmed, non-blank lines that occurred earlier, as maximal stretches.
+LINE_DEDUP_SQL = """
+WITH split AS (
+  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents
+), numbered AS (
+  SELECT doc_id, unnest(range(len(parts))) AS line, trim(unnest(parts), concat(' ', chr(9), chr(11), chr(12), chr(13))) AS content FROM split
+), windows AS (
+  SELECT doc_id, line, lead(line, 2) OVER w AS last, content AS a, lead(content, 1) OVER w AS b, lead(content, 2) OVER w AS c
+  FROM numbered WHERE content <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line)
+), placed AS (
+  SELECT *, row_number() OVER k AS nth, first_value(doc_id) OVER k AS kept_doc_id, first_value(line) OVER k AS kept_line
+  FROM windows WHERE last IS NOT NULL WINDOW k AS (PARTITION BY a, b, c ORDER BY doc_id, line)
+), again AS (
+  SELECT doc_id, line, last, kept_doc_id, kept_line, kept_line - line AS shift FROM placed WHERE nth > 1
+), marked AS (
+  SELECT *, CASE WHEN line <= max(last) OVER (PARTITION BY doc_id, kept_doc_id, shift ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM again
+), runs AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id, kept_doc_id, shift ORDER BY line ROWS UNBOUNDED PRECEDING) AS run FROM marked
+)
+SELECT doc_id, min(line) AS line, max(last) AS last, kept_doc_id, min(kept_line) AS kept_line
+FROM runs GROUP BY doc_id, kept_doc_id, shift, run
+"""
+
+ORACLE: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL}
