@@ -2,8 +2,8 @@
 
 Items are distinct contents, named by 64-bit ids. Their bands are joined; each item
 of a bucket is first held against the bucket's smallest id only, so a bucket of any
-size costs its length. Where a bucket's items are not yet in one component, those of
-different components are held against each other, so no colliding link is lost.
+size costs its length. Where a bucket's items are not yet in one component, they are
+searched by their rarest members, which finds every link among them.
 """
 
 from __future__ import annotations
@@ -66,6 +66,23 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("common", common).where(F.col("common") >= threshold * (F.size("ga") + F.size("gb") - F.col("common"))).select("a", "b")
 
 
+def candidates(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of different components that can reach the threshold, by their rarest members.
+
+    Two sets that similar share one of their ``n - ceil(threshold n) + 1`` rarest
+    members. What a large group has in common is frequent and so comes last; the
+    rarest are the members that tell its sets apart, and few sets share those.
+    """
+    grams = apart.join(sets, "id").select("id", "c", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    ranked = grams.join(often, "gram").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("ranked"))
+    first = ranked.select("id", "c", "n", F.explode(F.slice("ranked", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("r"))
+    shared = cut(first.where("r.often > 1").select("id", "c", "n", F.col("r.gram").alias("gram")))
+    left, right = (shared.select("gram", *(F.col(x).alias(x + y) for x in ("id", "c", "n"))) for y in "ab")
+    near = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
+    return left.join(right, "gram").where((F.col("ca") < F.col("cb")) & near).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+
+
 def links(items: DataFrame, grams_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """(a, b): links that join the ids of each component.
 
@@ -81,7 +98,5 @@ def links(items: DataFrame, grams_of: Callable[[DataFrame], DataFrame], threshol
     of = components(found).withColumnRenamed("node", "id")
     placed = members.join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    apart = cut(placed.join(split, "key", "left_semi"))
-    cross = apart.select("key", F.col("id").alias("a"), F.col("c").alias("ca")).join(apart.select("key", F.col("id").alias("b"), F.col("c").alias("cb")), "key")
-    more = cross.where("ca < cb").select("a", "b").distinct().join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    return found.union(cut(similar(more, sets, threshold)))
+    apart = cut(placed.join(split, "key", "left_semi").select("id", "c").distinct())
+    return found.union(cut(similar(candidates(apart, sets, threshold), sets, threshold)))

@@ -123,28 +123,51 @@ def similar_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, similarity:
     return found.join(named, "id").where(place != F.col("kept")).select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), "class_id", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").cast("long").alias("kept_start")).distinct()
 
 
-#: Odd bases of the two rolling hashes.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-BYTE_HASH = np.random.default_rng(3).integers(0, 2**64, (2, 256), np.uint64)
+#: Odd base of the rolling hashes, and what makes a second word hash of a first.
+BASE, OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+BYTE_HASH = np.random.default_rng(3).integers(0, 2**64, 256, np.uint64)
+PLACE = (1 << 20) - 1
 
 
-@lru_cache(8)
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse, modulo 2**64."""
-    inverse = pow(base, -1, 1 << 64)
-    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (base, inverse))
+@lru_cache(4)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    inverse = pow(BASE, -1, 1 << 64)
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (BASE, inverse))
 
 
-def spans_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+def spans_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A polynomial hash, mixed, of values[start:end] for each span."""
-    up, down = powers(base, 1 << max(10, (len(values) + 1).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * down[: len(values)])])
+    up, down = powers(1 << max(12, (len(values) + 1).bit_length()))
+    sums = np.empty(len(values) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(values * down[: len(values)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * up[starts]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ h >> np.uint64(29)
 
 
+def minima(hashes: np.ndarray, span: int) -> np.ndarray:
+    """Places of the least hash in each window of ``span``; of equal ones the first.
+
+    The low bits of each hash give way to its place, so that a minimum tells where it is.
+    """
+    n = len(hashes) - span + 1
+    low = hashes & ~np.uint64(PLACE) | (np.arange(len(hashes)) & PLACE).astype(np.uint64)
+    width = 1
+    while 2 * width <= span:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    low = np.minimum(low[:n], low[span - width : span - width + n])
+    at = np.arange(n)
+    return np.unique(at + ((low.astype(np.int64) & PLACE) - at & PLACE))
+
+
+#: Words that are hashed at once; longer texts go through in overlapping parts.
+PART = 1 << 19
+
+
 def anchored(text: str, width: int, guarantee: int) -> tuple[np.ndarray, ...] | None:
     """Starts, ends and two hashes of a text's anchored passages."""
     if len(text) < 2 * width - 1:
@@ -153,15 +176,21 @@ def anchored(text: str, width: int, guarantee: int) -> tuple[np.ndarray, ...] |
     inside = ~((raw == 32) | (raw - np.uint8(9) < 5))
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     starts, ends = edge[::2], edge[1::2]
-    n = len(starts) - width + 1
-    if n < 1:
+    if len(starts) < width:
         return None
-    first = np.arange(n)
-    hashes = [spans_hashed(spans_hashed(BYTE_HASH[k][raw], starts, ends, base), first, first + width, base) for k, base in enumerate(BASES)]
-    span = min(guarantee - width + 1, n)
-    chosen = np.unique(np.lib.stride_tricks.sliding_window_view(hashes[0], span).argmin(axis=1) + np.arange(n - span + 1))
-    point = np.cumsum((raw & 0xC0) != 0x80) - 1
-    return point[starts[chosen]], point[ends[chosen + width - 1] - 1] + 1, hashes[0][chosen], hashes[1][chosen]
+    parts = []
+    for a in range(0, max(1, len(starts) - guarantee + 1), PART):
+        s, e = starts[a : a + PART + guarantee - 1], ends[a : a + PART + guarantee - 1]
+        words = spans_hashed(BYTE_HASH[raw[s[0] : e[-1]]], s - s[0], e - s[0])
+        first = np.arange(len(s) - width + 1)
+        one, other = (spans_hashed(w, first, first + width) for w in (words, (words ^ words >> np.uint64(32)) * np.uint64(OTHER)))
+        chosen = minima(one, min(guarantee - width + 1, len(first)))
+        parts.append((s[chosen], e[chosen + width - 1], one[chosen], other[chosen]))
+    a, b, one, other = (np.concatenate(x) for x in zip(*parts))
+    if text.isascii():
+        return a, b, one, other
+    point = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32) - 1
+    return point[a], point[b - 1] + 1, one, other
 
 
 def passages(docs: DataFrame, width: int, guarantee: int) -> DataFrame:
