@@ -2,8 +2,9 @@
 
 Items are distinct contents, named by 64-bit ids. Their bands are joined; each item
 of a bucket is first held against the bucket's smallest id only, so a bucket of any
-size costs its length. Where a bucket's items are not yet in one component, they are
-searched by their rarest members, which finds every link among them.
+size costs its length. Where a bucket's items are not yet in one component, all those of different
+components are compared: in small buckets pair by pair, in large ones block by block
+within tasks. So no link between colliding items is lost.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import components
+from .components import components, forest
 
 #: Bits of the filter that keeps a second pass from shuffling what no bucket holds; its size is fixed.
 FILTER_BITS = 25
@@ -66,21 +68,71 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("common", common).where(F.col("common") >= threshold * (F.size("ga") + F.size("gb") - F.col("common"))).select("a", "b")
 
 
-def candidates(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of different components that can reach the threshold, by their rarest members.
+def overlaps(owner: np.ndarray, gram: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many grams each left set shares with each right set.
 
-    Two sets that similar share one of their ``n - ceil(threshold n) + 1`` rarest
-    members. What a large group has in common is frequent and so comes last; the
-    rarest are the members that tell its sets apart, and few sets share those.
+    ``owner`` and ``gram`` list the members of all sets; ``left`` and ``right`` give
+    a set's row and column, -1 for none.
     """
-    grams = apart.join(sets, "id").select("id", "c", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
-    ranked = grams.join(often, "gram").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("ranked"))
-    first = ranked.select("id", "c", "n", F.explode(F.slice("ranked", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("r"))
-    shared = cut(first.where("r.often > 1").select("id", "c", "n", F.col("r.gram").alias("gram")))
-    left, right = (shared.select("gram", *(F.col(x).alias(x + y) for x in ("id", "c", "n"))) for y in "ab")
-    near = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    return left.join(right, "gram").where((F.col("ca") < F.col("cb")) & near).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+    order = np.argsort(gram, kind="stable")
+    owner, gram = owner[order], gram[order]
+    rows, columns = left.max() + 1, right.max() + 1
+    out = np.zeros(rows * columns, np.int64)
+    where = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
+    a, b = left[owner] >= 0, right[owner] >= 0
+    a_of, b_of = owner[a], owner[b]
+    begins = np.searchsorted(where[b], np.arange(where[-1] + 1 if len(where) else 0))
+    counts = np.bincount(where[b], minlength=len(begins))
+    times = counts[where[a]]
+    for at in range(0, len(a_of), STEP):
+        t = times[at : at + STEP]
+        first = np.repeat(left[a_of[at : at + STEP]], t)
+        place = np.arange(len(first)) - np.repeat(np.cumsum(t) - t, t) + np.repeat(begins[where[a][at : at + STEP]], t)
+        out += np.bincount(first * columns + right[b_of[place]], minlength=len(out))
+    return out.reshape(rows, columns)
+
+
+#: Members that are spread over their partners at once, and sets that a task compares with as many others.
+STEP, BLOCK = 2048, 512
+#: Items of a bucket up to which its pairs are joined one by one.
+SMALL = 16
+
+
+def block_links(table: pa.Table, threshold: float) -> pa.Table:
+    """(a, b): a forest of the links between the two blocks of a table (id, c, own, i, j, grams)."""
+    ids, c, own = (table.column(n).combine_chunks().to_numpy() for n in ("id", "c", "own"))
+    grams = table.column("grams").combine_chunks()
+    sizes = np.diff(grams.offsets.to_numpy())
+    owner, gram = np.repeat(np.arange(len(ids)), sizes), grams.flatten().to_numpy()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    rows, columns = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    found = [np.zeros(0, np.int64)] * 2
+    if len(rows) and len(columns):
+        left, right = np.full(len(ids), -1), np.full(len(ids), -1)
+        left[rows], right[columns] = np.arange(len(rows)), np.arange(len(columns))
+        common = overlaps(owner, gram, left, right)
+        linked = (common >= threshold * (sizes[rows][:, None] + sizes[columns] - common)) & (c[rows][:, None] != c[columns])
+        x, y = np.nonzero(linked)
+        if len(x):
+            found = forest(ids[rows[x]], ids[columns[y]])
+    return pa.Table.from_arrays([pa.array(f) for f in found], names=["a", "b"])
+
+
+def in_blocks(large: DataFrame, placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links among the items of large buckets, every pair of blocks in a task of its own.
+
+    Buckets that share items are searched as one, so that no pair is met again in
+    each band.
+    """
+    items = placed.join(large, "key", "left_semi").select("key", "id", "c")
+    hubs = items.groupBy("key").agg(F.min("id").alias("hub"))
+    of = components(items.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("node", "id")
+    whole = cut(items.select("id", "c").distinct().join(of, "id").withColumnRenamed("component", "cluster"))
+    blocks = whole.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = whole.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = dealt.select("id", "c", "cluster", "own", other.alias("other")).select("id", "c", "cluster", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return pairs.join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(lambda table: block_links(table, threshold), "a long, b long")
 
 
 def links(items: DataFrame, grams_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
@@ -97,6 +149,10 @@ def links(items: DataFrame, grams_of: Callable[[DataFrame], DataFrame], threshol
     found = cut(similar(pairs, sets, threshold))
     of = components(found).withColumnRenamed("node", "id")
     placed = members.join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    apart = cut(placed.join(split, "key", "left_semi").select("id", "c").distinct())
-    return found.union(cut(similar(candidates(apart, sets, threshold), sets, threshold)))
+    placed = cut(placed)
+    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high")
+    few = placed.join(split.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
+    left, right = (few.select("key", *(F.col(x).alias(x + y) for x in ("id", "c"))) for y in "ab")
+    cross = left.join(right, "key").where("ca < cb").select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+    rest = in_blocks(split.where(F.col("n") > SMALL).select("key"), placed, sets, threshold)
+    return found.union(cut(similar(cross, sets, threshold))).union(cut(rest))

@@ -31,9 +31,9 @@ from . import jaccard
 from .common import LOWER, cut, grams, map_texts, pa_schema, slices, words_of
 from .components import components
 
-SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
+SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.995
 #: Words that make a line a paragraph; words of a passage; words within which one is chosen.
-MIN_WORDS, WIDTH, GUARANTEE = 40, 28, 51
+MIN_WORDS, WIDTH, GUARANTEE = 45, 28, 51
 #: Ids that a task remembers so as not to send the bands of a repeated paragraph again.
 REMEMBERED = 200_000
 
@@ -211,18 +211,17 @@ def passages(docs: DataFrame, width: int, guarantee: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, width: int = WIDTH, guarantee: int = GUARANTEE) -> DataFrame:
     """(doc_id, start, end, class_id, kept_doc_id, kept_start): stretches that repeat earlier ones.
 
-    Passages that overlap and repeat the same stretch become one row.
+    Passages that overlap and repeat the same document become one row.
     """
     found = passages(docs, width, guarantee)
     place = F.struct("doc_id", "start")
     groups = found.groupBy("h", "check").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last").drop("last")
     again = found.join(groups, ["h", "check"]).where(place != F.col("kept"))
-    along = Window.partitionBy("doc_id", "kept_doc_id", "shift").orderBy("start")
+    along = Window.partitionBy("doc_id", "kept_doc_id").orderBy("start", "end", "kept_start")
     spans = again.select("doc_id", F.col("start").cast("long"), (F.col("start") + F.col("length")).cast("long").alias("end"), F.col("h").alias("class_id"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").cast("long").alias("kept_start"))
-    spans = spans.withColumn("shift", F.col("kept_start") - F.col("start"))
     apart = F.coalesce(F.col("start") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     runs = spans.withColumn("new", apart.cast("int")).withColumn("run", F.sum("new").over(along))
-    return runs.groupBy("doc_id", "kept_doc_id", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("class_id", "start").alias("class_id"), F.min("kept_start").alias("kept_start")).select("doc_id", "start", "end", "class_id", "kept_doc_id", "kept_start")
+    return runs.groupBy("doc_id", "kept_doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.struct("class_id", "kept_start"), F.struct("start", "end", "kept_start")).alias("f")).select("*", "f.class_id", "f.kept_start").select("doc_id", "start", "end", "class_id", "kept_doc_id", "kept_start")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
