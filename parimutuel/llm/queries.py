@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, lines, media, paragraphs, secrets, simhash
+from . import bpe, ctw, decontaminate, licenses, lines, media, paragraphs, secrets, simhash, toxicity
 from .common import read
 
 
@@ -15,6 +15,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.trained(docs, read(spark, sf_dir, "labels")))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
@@ -39,6 +44,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.language_scores(read(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_runs(read(spark, sf_dir, "documents"))
 
@@ -47,12 +56,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination,
+        op2_toxicity,
         op3_license_scan,
         op4_secret_scan,
         op5_media_columns,
         op6_substring_dedup,
         op7_simhash_near_dedup,
         op8_bpe,
+        op9_lm_scoring,
         op10_line_dedup,
     )
 }
