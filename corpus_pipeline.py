@@ -1,17 +1,54 @@
-"""Corpus pipeline: the stages that turn raw documents into token counts."""
+"""Corpus pipeline: what turns raw documents into a clean corpus and its token counts.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
+kept. Toxic documents go; repeated runs of lines are deleted from the texts; of each
+group of near copies one document stays; documents that hold a benchmark item go;
+the rest is encoded.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from parimutuel.llm import bpe, decontaminate, lines, simhash, toxicity
+from parimutuel.llm.common import read
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.accepted(docs, toxicity.trained(docs, read(spark, sf_dir, "labels")))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(docs)
+
+
+def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("SimHash near-dedup", dedup_near_copies),
+    ("benchmark decontamination", decontaminate_benchmark),
+    ("BPE encoding and decoding", encode),
+]
 
 #: The stages run Python over whole texts, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -118,7 +118,7 @@ def block_links(table: pa.Table, threshold: float) -> pa.Table:
     return pa.Table.from_arrays([pa.array(f) for f in found], names=["a", "b"])
 
 
-def in_blocks(large: DataFrame, placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def in_blocks(large: DataFrame, placed: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
     """(a, b): links among the items of large buckets, every pair of blocks in a task of its own.
 
     Buckets that share items are searched as one, so that no pair is met again in
@@ -128,18 +128,19 @@ def in_blocks(large: DataFrame, placed: DataFrame, sets: DataFrame, threshold: f
     hubs = items.groupBy("key").agg(F.min("id").alias("hub"))
     of = components(items.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("node", "id")
     whole = cut(items.select("id", "c").distinct().join(of, "id").withColumnRenamed("component", "cluster"))
-    blocks = whole.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = whole.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = whole.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = dealt.select("id", "c", "cluster", "own", other.alias("other")).select("id", "c", "cluster", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     return pairs.join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(lambda table: block_links(table, threshold), "a long, b long")
 
 
-def links(items: DataFrame, grams_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def links(items: DataFrame, grams_of: Callable[[DataFrame], DataFrame], threshold: float, block: int = BLOCK) -> DataFrame:
     """(a, b): links that join the ids of each component.
 
     ``items`` has (id, bands); an id may repeat and a repeat's bands may be null.
-    ``grams_of`` gives (id, grams: distinct array) for a table of ids, once each.
+    ``grams_of`` gives (id, grams: distinct array) for a table of ids, once each;
+    ``block`` bounds how many of them a task holds at once.
     """
     keyed = items.where("bands IS NOT NULL").select("id", F.explode("bands").alias("key"))
     leads = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").select("key", "lead")
@@ -154,5 +155,5 @@ def links(items: DataFrame, grams_of: Callable[[DataFrame], DataFrame], threshol
     few = placed.join(split.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
     left, right = (few.select("key", *(F.col(x).alias(x + y) for x in ("id", "c"))) for y in "ab")
     cross = left.join(right, "key").where("ca < cb").select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
-    rest = in_blocks(split.where(F.col("n") > SMALL).select("key"), placed, sets, threshold)
+    rest = in_blocks(split.where(F.col("n") > SMALL).select("key"), placed, sets, threshold, block)
     return found.union(cut(similar(cross, sets, threshold))).union(cut(rest))

@@ -18,8 +18,8 @@ lower-cased; positions are code points, ends exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +81,11 @@ def occurrences(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, min_words: int, ids: DataFrame) -> DataFrame:
-    """(id, grams) of the paragraphs with these ids, from a second pass over the texts."""
+Units = Callable[[str], Iterator[tuple[int, int, int, list[bytes]]]]
+
+
+def shingle_sets(docs: DataFrame, units: Units, ids: DataFrame) -> DataFrame:
+    """(id, grams) of the paragraphs (or other units of a text) with these ids, from a second pass over the texts."""
     known = docs.sparkSession.sparkContext.broadcast(jaccard.bitmap(ids))
     schema = "id long, grams array<long>"
     out = pa_schema(docs.sparkSession, schema)
@@ -93,7 +96,7 @@ def shingle_sets(docs: DataFrame, min_words: int, ids: DataFrame) -> DataFrame:
             for part in slices(batch):
                 names, sets = [], []
                 for text in part.column(1).to_pylist():
-                    found = [(content_id(w), w) for _, _, _, w in paragraphs_of(text or "", min_words)]
+                    found = [(content_id(w), w) for _, _, _, w in units(text or "")]
                     if not found:
                         continue
                     wanted = jaccard.in_bitmap(known.value, np.array([n for n, _ in found], np.int64))
@@ -113,7 +116,7 @@ def similar_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, similarity:
     """(doc_id, start, end, class_id, kept_doc_id, kept_start) of paragraphs that repeat an earlier one."""
     bands, rows = jaccard.tuned(similarity, RECALL)
     found = cut(occurrences(docs, min_words, bands, rows))
-    links = jaccard.links(found.select("id", "bands"), lambda ids: shingle_sets(docs, min_words, ids), similarity)
+    links = jaccard.links(found.select("id", "bands"), lambda ids: shingle_sets(docs, partial(paragraphs_of, min_words=min_words), ids), similarity)
     of = components(links).withColumnRenamed("node", "id")
     place = F.struct("doc_id", "start")
     counted = found.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))

@@ -28,8 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import cut, grams, map_texts, pa_schema, words_of
 from .components import components
+from .paragraphs import REMEMBERED, content_id, shingle_sets
 
 SEED = 42
 #: Fingerprints that a leaf should hold, and above which a shard is cut again.
@@ -159,10 +161,69 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return of.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """Documents with one kept of each component: the one with the smallest ``doc_id``.
+#: Stages on word shingles: width, similarity and the recall that their bands are tuned for.
+SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.995
+#: Documents that a task compares with as many others; their sets are larger than paragraphs'.
+BLOCK = 128
+
+
+def whole(text: str) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """A text as its own only unit."""
+    yield 0, 0, len(text), words_of(text)
+
+
+def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, id, fp, bands): content, fingerprint and MinHash bands; bands are null where the task has sent them."""
+    schema = "doc_id long, id long, fp long, bands array<long>"
+    sent: set[int] = set()
+
+    def run(ids, texts):
+        words = [words_of(t) for t in texts]
+        names = [content_id(w) for w in words]
+        sets = [grams(w, width, SEED) for w in words]
+        out: list = [None] * len(texts)
+        new = []
+        for k, name in enumerate(names):
+            if name not in sent and sets[k]:
+                if len(sent) >= REMEMBERED:
+                    sent.clear()
+                sent.add(name)
+                new.append(k)
+        if new:
+            for k, row in zip(new, jaccard.signatures([np.array(sets[k], np.uint64) for k in new], bands, rows)):
+                out[k] = row
+        return [ids, names, majorities(sets), out]
+
+    return map_texts(docs, run, schema)
+
+
+def near_copies(docs: DataFrame, width: int = SHINGLE, radius: int = 2, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): documents in one component are linked by fingerprint or by similarity.
+
+    At a similarity of 0.8 fingerprints of 64 bits differ in about ten bits, where a
+    triangle bound prunes nothing. So beside the fingerprints within the radius,
+    which the vantage-point trees find, documents whose MinHash bands collide are
+    linked where their exact Jaccard similarity reaches the threshold.
+    """
+    bands, rows = jaccard.tuned(similarity, RECALL)
+    of = cut(sketches(docs, width, bands, rows))
+    contents = cut(of.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("fp").alias("fp")))
+    points = cut(contents.groupBy("fp").agg(F.min("id").alias("name"), F.count("*").alias("n")))
+    same = contents.join(points.where("n > 1"), "fp").where("id <> name").select(F.col("id").alias("a"), F.col("name").alias("b"))
+    near = links(points.select("fp"), radius)
+    a, b = (points.select(F.col("fp").alias(x), F.col("name").alias(f"{x}_name")) for x in "ab")
+    close = near.join(a, "a").join(b, "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
+    alike = jaccard.links(of.select("id", "bands"), lambda ids: shingle_sets(docs, whole, ids), similarity, BLOCK)
+    reached = components(same.union(close).union(alike)).withColumnRenamed("node", "id")
+    classes = contents.join(reached, "id", "left").select("id", "first", F.coalesce("component", "id").alias("root"))
+    named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    return of.select("doc_id", "id").join(classes.join(named, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Documents, all columns, with one kept of each component: the one with the smallest ``doc_id``.
 
     Of repeated rows of that document one stays; rows without ``doc_id`` all stay.
     """
-    kept = near_duplicates(docs, width, radius).where("doc_id = component_id").select("doc_id").distinct()
+    kept = near_copies(docs, similarity=similarity).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id IS NULL"))
