@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -33,6 +34,15 @@ SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
 
+@cache
+def unassigned() -> re.Pattern:
+    """Finds code points that Python's Unicode tables do not know yet; libraries differ on what they are."""
+    unknown = [i for i in range(0x110000) if unicodedata.category(chr(i)) == "Cn"]
+    starts = [a for a, b in zip(unknown, [-2, *unknown]) if a != b + 1]
+    ends = [b for b, a in zip(unknown, [*unknown[1:], -2]) if a != b + 1]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)) + "]")
+
+
 @cache
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
@@ -46,6 +56,7 @@ class WordBpe:
 
     def __init__(self, tokenizer: dict):
         model = tokenizer["model"]
+        self.spec, self.library = tokenizer, None
         self.suffix = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in tokenizer["added_tokens"]}
@@ -124,15 +135,32 @@ class WordBpe:
             self.kept[word] = out
         return out
 
+    def cut(self, text: str) -> list[str]:
+        """Composed, lower-cased words of a text without special tokens."""
+        if not text.isascii():
+            if unassigned().search(text):
+                return self.cut_by_library(text)
+            # A capital sigma has one lower case here, wherever it stands.
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return WORDS.findall(text.lower())
+
+    def cut_by_library(self, text: str) -> list[str]:
+        """The same by the tokenizer library's own Unicode tables, for characters newer than Python's."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(json.dumps(self.spec))
+        of = {c: b for b, c in enumerate(self.letters)}
+        plain = self.library.normalizer.normalize_str(text)
+        return [bytes(of[c] for c in w).decode("utf-8") for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+
     def words(self, text: str) -> Iterator[tuple[str, str, int]]:
         for k, part in enumerate(self.split.split(text) if self.split else [text]):
             if k % 2:
                 yield str(self.special[part]), part, 1
             elif part:
-                # A capital sigma has one lower case here, wherever it stands.
-                plain = (part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")).lower()
                 kept = self.kept
-                for w in WORDS.findall(plain):
+                for w in self.cut(part):
                     yield kept.get(w) or self.word(w)
 
     def encode(self, text: str) -> list[int]:
