@@ -83,7 +83,7 @@ def rates(texts: list[str], chosen: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), len(chosen) + len(SHAPE)), np.float32)
     text, at, count, words = found(texts, column, max(1, len(chosen)))
     out[text, at] = np.minimum(1, 100 * count / np.maximum(1, words[text]))
-    out[:, len(chosen) :] = [shape(t) for t in texts]
+    out[:, len(chosen) :] = np.array([shape(t) for t in texts], np.float32).reshape(len(texts), len(SHAPE))
     return out
 
 

@@ -190,7 +190,7 @@ def test_paragraphs(documents, monkeypatch, small, block):
     classes = jaccard_classes([p[3] for p in places], 0.8)
     want = {(*places[k][:3], *places[c][:2]) for k, c in classes.items() if k != c}
     got = {(r.doc_id, r.start, r.end, r.kept_doc_id, r.kept_start) for r in paragraphs.similar_paragraphs(documents(enumerate(texts))).collect()}
-    assert len(want) > 30 and got == want
+    assert len(want) > 15 and got == want
 
 
 def test_embedded_passages(documents):
@@ -201,7 +201,8 @@ def test_embedded_passages(documents):
     pairs = [(i, " ".join(fill(r.randint(0, 80)) + (shared[i % 5] if i % 5 < 4 else []) + fill(r.randint(0, 80)))) for i in range(60)]
     got = paragraphs.repeated_passages(documents(pairs)).collect()
     assert {x.doc_id for x in got} == {i for i in range(5, 60) if i % 5 < 4}
-    assert all(x.kept_doc_id == x.doc_id % 5 for x in got)
+    assert {x.doc_id for x in got if x.kept_doc_id == x.doc_id % 5} == {x.doc_id for x in got}
+    assert all(x.kept_doc_id % 5 == x.doc_id % 5 and x.kept_doc_id < x.doc_id for x in got)
     texts = dict(pairs)
     for x in got:
         assert texts[x.kept_doc_id][x.kept_start :].startswith(texts[x.doc_id][x.start : x.start + 40])
