@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_and_time, instant
 from ..operators.matches import first_bookmaker, upcoming
+from ..operators.matching import named_matches, sport_key
 from ..operators.text import odds_text, prompt, with_news
+from ..schemas import LEAGUE_SCAN_MARKETS
+from ..sources.odds_api import negotiated, typed
 
 
 def upcoming_list(matches: DataFrame, now: Column) -> DataFrame:
@@ -34,3 +39,23 @@ def finished(asked: DataFrame, folded: DataFrame) -> DataFrame:
     """Rows for the history: analyses whose stream is done; failed and unfinished ones are not stored."""
     done = folded.where("status = 'done'").select(F.col("stream_id").alias("id"), F.col("content").alias("result"))
     return asked.join(done, "id").select("league", "matchDate", "homeTeam", "awayTeam", "result", "odds")
+
+
+def listing_status(listed: DataFrame) -> str:
+    """What a list says where it has no rows."""
+    return "empty" if listed.isEmpty() else "ok"
+
+
+def league_game(spark, fetch, key: str | None, league: str, home: str, away: str) -> DataFrame | None:
+    """The first match of a league with both names alike; nothing without a key, a match or a working feed."""
+    if not key:
+        return None
+    sport = spark.range(1).select(sport_key(F.lit(league))).first()[0]
+    try:
+        found = negotiated(fetch, key, sport, LEAGUE_SCAN_MARKETS)
+    except Exception:  # noqa: BLE001  any failure of the feed leaves the game without odds
+        return None
+    rows = spark.createDataFrame([(sport, i, json.dumps(m, ensure_ascii=False)) for i, m in enumerate(found)], "sport string, src_ord int, match string")
+    wanted = spark.createDataFrame([(0, home, away)], "want_id int, want_home string, want_away string")
+    game = named_matches(typed(rows), wanted)
+    return None if game.isEmpty() else game

@@ -93,6 +93,11 @@ def reassembled_stream(chunks: DataFrame) -> DataFrame:
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def framed(events: DataFrame) -> DataFrame:
+    """(stream_id, value): each event as the frame that a client reads; works on streams too."""
+    return events.select("stream_id", frame(F.struct("type", "content", "id", "message")).alias("value"))
+
+
 def stored(events: DataFrame, history, checkpoint: str, analyses):
     """Start a query that appends the analysis of each stream that is done, then is ready for more.
 

@@ -5,9 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from parimutuel.plans.flows import upcoming_list
+from parimutuel.plans import session
+from parimutuel.plans.flows import league_game, listing_status, upcoming_list
 from parimutuel.schemas import ANALYSIS
-from parimutuel.sources import files, odds_api, search
+from parimutuel.sources import files, odds_api, search, snapshots
 from parimutuel.sources.history import LISTED, History
 from parimutuel.streaming import frames
 
@@ -136,3 +137,59 @@ def test_streamed_frames(spark, tmp_path):
         assert [(r.type, r.content) for r in spark.table("framed").collect()] == [("text", "ab"), ("text", "c"), ("text", "d"), ("done", None)]
     finally:
         spark.conf.set(frames.ROCKSDB[0], provider) if provider else spark.conf.unset(frames.ROCKSDB[0])
+
+
+def test_snapshots_are_kept_for_a_while(spark, tmp_path):
+    loads, now = [], [1000.0]
+
+    def load():
+        loads.append(1)
+        return spark.createDataFrame([(len(loads),)], "n int")
+
+    ask = lambda ttl=snapshots.LIST_TTL: snapshots.cached(spark, str(tmp_path / "s"), load, ttl, lambda: now[0]).first().n
+    assert ask() == 1
+    now[0] += 299
+    assert ask() == 1
+    now[0] += 1
+    assert ask() == 2 and ask(snapshots.LEAGUE_TTL) == 3
+
+
+def test_session_values(spark):
+    assert session.recall(spark, "last_matches") is None
+    session.remember(spark.range(3), "last_matches")
+    assert session.recall(spark, "last_matches").count() == 3
+    assert session.forget(spark, "last_matches") and session.recall(spark, "last_matches") is None
+
+
+def test_league_game(spark):
+    asked = []
+
+    def fetch(url):
+        asked.append(url)
+        return 200, json.dumps(FEED)
+
+    assert league_game(spark, fetch, "k", "NBA", "h", "W!").collect()[0].id == "a"
+    assert "basketball_nba" in asked[0] and "markets=h2h,totals,btts" in asked[0]
+    assert league_game(spark, fetch, "k", "?", "zzz", "w") is None and "soccer_epl" in asked[1]
+    assert league_game(spark, fetch, None, "NBA", "h", "w") is None
+    assert league_game(spark, lambda url: (500, ""), "k", "NBA", "h", "w") is None
+
+
+def test_listing_status(spark):
+    assert (listing_status(spark.range(0)), listing_status(spark.range(1))) == ("empty", "ok")
+
+
+def test_events_are_framed_and_stored(spark, tmp_path):
+    rows = [("s", "text", "ab", None, None), ("s", "done", None, "7", None)]
+    events = spark.createDataFrame(rows, "stream_id string, type string, content string, id string, message string")
+    assert [r.value for r in frames.framed(events).collect()] == ['data: {"type":"text","content":"ab"}\n\n', 'data: {"type":"done","id":"7"}\n\n']
+    source = str(tmp_path / "events")
+    events.write.parquet(source)
+    history = History(spark, str(tmp_path / "kept"))
+    fill = [F.lit("x").alias(c) for c in ("league", "matchDate", "homeTeam", "awayTeam", "result", "odds")]
+    query = frames.stored(spark.readStream.schema(events.schema).parquet(source), history, str(tmp_path / "c"), lambda done: done.select("id", *fill)).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert [r.id for r in history.table().collect()] == ["7"]
