@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 #: Encoded words that each of the two halves of a worker's cache keeps.
-KEEP = 150_000
+KEEP = 300_000
+#: Rank of a pair that no merge joins.
+NEVER = 1 << 30
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
@@ -60,6 +62,7 @@ class WordBpe:
         self.suffix = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in tokenizer["added_tokens"]}
+        self.names = {t: str(i) for t, i in self.ids.items()}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         self.ranks = {(a, b): r for r, (a, b) in enumerate(map(self.pair, model["merges"]))}
         letters = byte_letters()
@@ -79,28 +82,34 @@ class WordBpe:
 
     def fragments(self, word: str) -> list[list[str]]:
         """The symbols of a word's fragments, cut at forced boundaries."""
-        text = "".join([self.letters[b] for b in word.encode("utf-8", "surrogatepass")])
-        out, at = [], 0
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] in self.forced:
-                out.append([*text[at:i]])
-                at = i
-        return [*out, [*text[at:-1], text[-1] + self.suffix]]
+        # Printable ASCII stands for itself.
+        text = word if word.isascii() else "".join([self.letters[b] for b in word.encode("utf-8", "surrogatepass")])
+        if word.isascii() and not word.isprintable():
+            text = "".join([self.letters[b] for b in word.encode()])
+        pairs = map(str.__add__, text, text[1:])
+        cuts = [i for i, pair in enumerate(pairs, 1) if pair in self.forced]
+        parts = [[*text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        parts[-1][-1] += self.suffix
+        return parts
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Apply merges to one fragment, lowest rank first, leftmost among equals.
 
-        Short fragments are scanned for the lowest rank; a heap of pairs over a
+        Short fragments keep their pairs' ranks in a list; a heap of pairs over a
         linked list keeps long ones at n log n.
         """
         if len(symbols) > 64:
             return self.merged_long(symbols)
-        ranks, s = self.ranks, symbols
-        while len(s) > 1:
-            best, at = min([(ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(s, s[1:]))])
-            if best == 1 << 30:
-                break
-            s[at : at + 2] = [s[at] + s[at + 1]]
+        rank, s = self.ranks.get, symbols
+        ranks = [rank(p, NEVER) for p in zip(s, s[1:])]
+        while ranks and (best := min(ranks)) != NEVER:
+            i = ranks.index(best)
+            s[i : i + 2] = [one] = [s[i] + s[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((s[i - 1], one), NEVER)
+            if i < len(ranks):
+                ranks[i] = rank((one, s[i + 1]), NEVER)
         return s
 
     def merged_long(self, symbols: list[str]) -> list[str]:
@@ -127,8 +136,8 @@ class WordBpe:
     def word(self, word: str) -> tuple[str, str, int]:
         """A word's ids and tokens, each blank-joined, and their number."""
         if not (out := self.older.get(word)):
-            tokens = [t for f in self.fragments(word) for t in self.merged(f) if t in self.ids]
-            out = (" ".join([str(self.ids[t]) for t in tokens]), " ".join(tokens), len(tokens))
+            tokens = [t for f in self.fragments(word) for t in self.merged(f) if t in self.names]
+            out = (" ".join([self.names[t] for t in tokens]), " ".join(tokens), len(tokens))
         if len(self.kept) >= KEEP:
             self.older, self.kept = self.kept, {}
         if len(word) < 100:
