@@ -37,6 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join whose two sides are shuffled for it alone.
+
+    A side that was just aggregated by the same keys would hand its partitions on,
+    and adaptive execution could then not split the partition of a hot key. With the
+    keys' hash as one more key both sides get an exchange of their own.
+    """
+    tag = F.xxhash64(*keys)
+    left, right = left.withColumn("hash of keys", tag), right.withColumn("hash of keys", tag)
+    return left.join(right, [*keys, "hash of keys"], how).drop("hash of keys")
+
+
 def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_BYTES of text each, one row at least."""
     if not batch.num_rows:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import LOWER, cut, grams, map_texts, pa_schema, slices, words_of
+from .common import LOWER, cut, grams, map_texts, pa_schema, slices, spread_join, words_of
 from .components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.995
@@ -219,7 +219,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, guarantee: int = GUAR
     found = passages(docs, width, guarantee)
     place = F.struct("doc_id", "start")
     groups = found.groupBy("h", "check").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last").drop("last")
-    again = found.join(groups, ["h", "check"]).where(place != F.col("kept"))
+    again = spread_join(found, groups, ["h", "check"]).where(place != F.col("kept"))
     along = Window.partitionBy("doc_id", "kept_doc_id").orderBy("start", "end", "kept_start")
     spans = again.select("doc_id", F.col("start").cast("long"), (F.col("start") + F.col("length")).cast("long").alias("end"), F.col("h").alias("class_id"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").cast("long").alias("kept_start"))
     apart = F.coalesce(F.col("start") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
