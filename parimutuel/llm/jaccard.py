@@ -4,20 +4,23 @@ Items are distinct contents, named by 64-bit ids. Their bands are joined; each i
 of a bucket is first held against the bucket's smallest id only, so a bucket of any
 size costs its length. Where a bucket's items are not yet in one component, all those of different
 components are compared: in small buckets pair by pair, in large ones block by block
-within tasks. So no link between colliding items is lost.
+within tasks. Where large buckets connect very many items, these are first brought
+together anew by their rarest members, as a similar pair must share some. So no link
+between colliding items is lost.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 from .components import components, forest
 
 #: Bits of the filter that keeps a second pass from shuffling what no bucket holds; its size is fixed.
@@ -92,10 +95,14 @@ def overlaps(owner: np.ndarray, gram: np.ndarray, left: np.ndarray, right: np.nd
     return out.reshape(rows, columns)
 
 
-#: Members that are spread over their partners at once, and sets that a task compares with as many others.
-STEP, BLOCK = 2048, 512
+#: Members that are spread over their partners at once.
+STEP = 2048
 #: Items of a bucket up to which its pairs are joined one by one.
 SMALL = 16
+#: Sets of a block, and members of all its sets: a task compares one block with another.
+BLOCK, BLOCK_MEMBERS = 2048, 1_500_000
+#: Items of a cluster up to which all its blocks are compared; in larger ones the rarest members choose.
+DIRECT = 4096
 
 
 def block_links(table: pa.Table, threshold: float) -> pa.Table:
@@ -118,42 +125,71 @@ def block_links(table: pa.Table, threshold: float) -> pa.Table:
     return pa.Table.from_arrays([pa.array(f) for f in found], names=["a", "b"])
 
 
-def in_blocks(large: DataFrame, placed: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b): links among the items of large buckets, every pair of blocks in a task of its own.
-
-    Buckets that share items are searched as one, so that no pair is met again in
-    each band.
-    """
-    items = placed.join(large, "key", "left_semi").select("key", "id", "c")
+def clustered(items: DataFrame) -> DataFrame:
+    """(id, c, cluster): items (key, id, c) whose keys connect them, each once."""
     hubs = items.groupBy("key").agg(F.min("id").alias("hub"))
     of = components(items.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("node", "id")
-    whole = cut(items.select("id", "c").distinct().join(of, "id").withColumnRenamed("component", "cluster"))
-    blocks = whole.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    return items.select("id", "c").distinct().join(of, "id").withColumnRenamed("component", "cluster")
+
+
+def in_blocks(whole: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links within clusters (id, c, cluster), every pair of blocks in a task of its own."""
+    sized = whole.join(sets.select("id", F.size("grams").alias("members")), "id")
+    most = F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(BLOCK_MEMBERS / F.avg("members"))))
+    blocks = sized.groupBy("cluster").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
     dealt = whole.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = dealt.select("id", "c", "cluster", "own", other.alias("other")).select("id", "c", "cluster", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     return pairs.join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(lambda table: block_links(table, threshold), "a long, b long")
 
 
-def links(items: DataFrame, grams_of: Callable[[DataFrame], DataFrame], threshold: float, block: int = BLOCK) -> DataFrame:
+def rarest(items: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, c): each item (id, c) under its rarest members.
+
+    Two sets that similar share one of their ``n - ceil(threshold n) + 1`` rarest
+    members. What a large group has in common, such as a passage that very many texts
+    hold, is frequent and comes last; so it no longer brings all of them together.
+    """
+    grams = items.join(sets, "id").select("id", "c", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    ranked = spread_join(grams, often, ["gram"]).groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("ranked"))
+    first = ranked.select("id", "c", F.explode(F.slice("ranked", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("r"))
+    return first.where("r.often > 1").select(F.col("r.gram").alias("key"), "id", "c")
+
+
+def parted(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, n) of the keys whose items (key, id, c) lie in different components: small ones, and large ones."""
+    split = items.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high")
+    return split.where(F.col("n") <= SMALL).select("key"), split.where(F.col("n") > SMALL).select("key")
+
+
+def pairs_of(items: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b): items of different components under one of the keys, which have few each."""
+    few = items.join(keys, "key", "left_semi")
+    left, right = (few.select("key", *(F.col(x).alias(x + y) for x in ("id", "c"))) for y in "ab")
+    return left.join(right, "key").where("ca < cb").select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+
+
+def links(items: DataFrame, grams_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """(a, b): links that join the ids of each component.
 
     ``items`` has (id, bands); an id may repeat and a repeat's bands may be null.
-    ``grams_of`` gives (id, grams: distinct array) for a table of ids, once each;
-    ``block`` bounds how many of them a task holds at once.
+    ``grams_of`` gives (id, grams: distinct array) for a table of ids, once each.
     """
     keyed = items.where("bands IS NOT NULL").select("id", F.explode("bands").alias("key"))
     leads = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").select("key", "lead")
-    members = cut(keyed.join(leads, "key").distinct())
+    members = cut(spread_join(keyed, leads, ["key"]).distinct())
     pairs = members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     sets = cut(grams_of(members.select("id").distinct()))
     found = cut(similar(pairs, sets, threshold))
     of = components(found).withColumnRenamed("node", "id")
-    placed = members.join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    placed = cut(placed)
-    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high")
-    few = placed.join(split.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
-    left, right = (few.select("key", *(F.col(x).alias(x + y) for x in ("id", "c"))) for y in "ab")
-    cross = left.join(right, "key").where("ca < cb").select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
-    rest = in_blocks(split.where(F.col("n") > SMALL).select("key"), placed, sets, threshold, block)
-    return found.union(cut(similar(cross, sets, threshold))).union(cut(rest))
+    placed = cut(members.join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+    small, large = parted(placed)
+    whole = cut(clustered(placed.join(large, "key", "left_semi")))
+    huge = cut(whole.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > DIRECT).select("cluster"))
+    every = [found, similar(pairs_of(placed, small), sets, threshold), in_blocks(whole.join(huge, "cluster", "left_anti"), sets, threshold)]
+    if not huge.isEmpty():
+        chosen = cut(rarest(whole.join(huge, "cluster", "left_semi").select("id", "c"), sets, threshold))
+        small, large = parted(chosen)
+        every += [similar(pairs_of(chosen, small), sets, threshold), in_blocks(clustered(chosen.join(large, "key", "left_semi")), sets, threshold)]
+    return reduce(DataFrame.union, map(cut, every))

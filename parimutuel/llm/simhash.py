@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import cut, grams, map_texts, pa_schema, words_of
+from .common import cut, grams, map_texts, pa_schema, spread_join, words_of
 from .components import components
 from .paragraphs import REMEMBERED, content_id, shingle_sets
 
@@ -158,13 +158,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     classes = points.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = classes.join(named, "root").select("fp", "component_id")
-    return of.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(of, of_fp, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Stages on word shingles: width, similarity and the recall that their bands are tuned for.
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.995
-#: Documents that a task compares with as many others; their sets are larger than paragraphs'.
-BLOCK = 128
 
 
 def whole(text: str) -> Iterator[tuple[int, int, int, list[bytes]]]:
@@ -213,11 +211,11 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, radius: int = 2, similari
     near = links(points.select("fp"), radius)
     a, b = (points.select(F.col("fp").alias(x), F.col("name").alias(f"{x}_name")) for x in "ab")
     close = near.join(a, "a").join(b, "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
-    alike = jaccard.links(of.select("id", "bands"), lambda ids: shingle_sets(docs, whole, ids), similarity, BLOCK)
+    alike = jaccard.links(of.select("id", "bands"), lambda ids: shingle_sets(docs, whole, ids), similarity)
     reached = components(same.union(close).union(alike)).withColumnRenamed("node", "id")
     classes = contents.join(reached, "id", "left").select("id", "first", F.coalesce("component", "id").alias("root"))
     named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return of.select("doc_id", "id").join(classes.join(named, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
+    return spread_join(of.select("doc_id", "id"), classes.join(named, "root").select("id", "component_id"), ["id"]).select("doc_id", "component_id")
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -123,11 +123,19 @@ def jaccard_classes(sets, threshold):
     return want()
 
 
-@pytest.mark.parametrize("small,block", [(16, 128), (1, 7)])
-def test_near_copies(documents, monkeypatch, small, block):
-    """Also with all buckets searched block by block."""
+WAYS = pytest.mark.parametrize("small,block,direct", [(16, 2048, 4096), (1, 7, 4096), (1, 7, 3), (2, 50, 3)], ids=["pairs", "blocks", "rarest", "mixed"])
+
+
+def search_so(monkeypatch, small, block, direct):
+    """Let all buckets be searched pair by pair, block by block or by rarest members."""
     monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "DIRECT", direct)
+
+
+@WAYS
+def test_near_copies(documents, monkeypatch, small, block, direct):
+    search_so(monkeypatch, small, block, direct)
     r = random.Random(8)
     base = ["".join(r.choices("abcdefgh", k=5)) for _ in range(2000)]
     texts = []
@@ -170,10 +178,9 @@ def test_bands_reach_the_recall():
 # --- paragraphs
 
 
-@pytest.mark.parametrize("small,block", [(16, 512), (1, 9)])
-def test_paragraphs(documents, monkeypatch, small, block):
-    monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard.links, "__defaults__", (block,))
+@WAYS
+def test_paragraphs(documents, monkeypatch, small, block, direct):
+    search_so(monkeypatch, small, block, direct)
     r = random.Random(5)
     base = ["".join(r.choices("abcdefgh", k=5)) for _ in range(3000)]
     pool = [r.choices(base, k=r.randint(30, 90)) for _ in range(12)]
