@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 #: Encoded words that each of the two halves of a worker's cache keeps.
-KEEP = 300_000
+KEEP = 150_000
 #: Rank of a pair that no merge joins.
 NEVER = 1 << 30
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
