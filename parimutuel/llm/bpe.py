@@ -30,8 +30,9 @@ from .common import map_texts
 
 #: Encoded words that each of the two halves of a worker's cache keeps.
 KEEP = 150_000
-#: Rank of a pair that no merge joins.
-NEVER = 1 << 30
+#: Bits of a symbol's number, and what stands for a pair that no merge joins.
+BITS, NEVER = 20, 1 << 60
+MASK = (1 << BITS) - 1
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
@@ -62,13 +63,19 @@ class WordBpe:
         self.suffix = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in tokenizer["added_tokens"]}
-        self.names = {t: str(i) for t, i in self.ids.items()}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
-        self.ranks = {(a, b): r for r, (a, b) in enumerate(map(self.pair, model["merges"]))}
         letters = byte_letters()
         inside = {t[i : i + 2] for x in self.ids for t in [x.removesuffix(self.suffix)] for i in range(len(t) - 1)}
-        #: Pairs of byte letters that no token holds side by side.
-        self.forced = {a + b for a in letters for b in letters} - inside
+        #: Pairs of bytes that no token holds side by side.
+        self.forced = {(a, b) for a, x in enumerate(letters) for b, y in enumerate(letters) if x + y not in inside}
+        # Symbols are numbered: bytes, bytes that end a word, and what merges make of them.
+        symbols: dict[str, int] = {}
+        number = lambda t: symbols.setdefault(t, len(symbols))
+        self.inner, self.last = [number(x) for x in letters], [number(x + self.suffix) for x in letters]
+        #: For a pair of symbols the merge's rank above the number of what it makes.
+        self.pairs = {number(a) << BITS | number(b): r << BITS | number(a + b) for r, (a, b) in enumerate(map(self.pair, model["merges"]))}
+        #: A symbol's id as text and its token; nothing where the vocabulary lacks it.
+        self.names = [(str(self.ids[t]), t) if t in self.ids else None for t in symbols]
         self.letters = letters
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         #: Recent words, and those before them; the older half goes when the recent one is full.
@@ -80,64 +87,60 @@ class WordBpe:
         a, b = merge.split(" ") if isinstance(merge, str) else merge
         return a, b
 
-    def fragments(self, word: str) -> list[list[str]]:
+    def fragments(self, word: str) -> list[list[int]]:
         """The symbols of a word's fragments, cut at forced boundaries."""
-        # Printable ASCII stands for itself.
-        text = word if word.isascii() else "".join([self.letters[b] for b in word.encode("utf-8", "surrogatepass")])
-        if word.isascii() and not word.isprintable():
-            text = "".join([self.letters[b] for b in word.encode()])
-        pairs = map(str.__add__, text, text[1:])
-        cuts = [i for i, pair in enumerate(pairs, 1) if pair in self.forced]
-        parts = [[*text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-        parts[-1][-1] += self.suffix
-        return parts
-
-    def merged(self, symbols: list[str]) -> list[str]:
+        raw = word.encode("utf-8", "surrogatepass")
+        symbols = [self.inner[b] for b in raw]
+        symbols[-1] = self.last[raw[-1]]
+        cuts = [i for i, pair in enumerate(zip(raw, raw[1:]), 1) if pair in self.forced]
+        return [symbols[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)])] if cuts else [symbols]
+
+    def merged(self, symbols: list[int]) -> list[int]:
         """Apply merges to one fragment, lowest rank first, leftmost among equals.
 
-        Short fragments keep their pairs' ranks in a list; a heap of pairs over a
+        Short fragments keep their pairs' merges in a list; a heap of pairs over a
         linked list keeps long ones at n log n.
         """
         if len(symbols) > 64:
             return self.merged_long(symbols)
-        rank, s = self.ranks.get, symbols
-        ranks = [rank(p, NEVER) for p in zip(s, s[1:])]
-        while ranks and (best := min(ranks)) != NEVER:
-            i = ranks.index(best)
-            s[i : i + 2] = [one] = [s[i] + s[i + 1]]
-            del ranks[i]
+        find, s = self.pairs.get, symbols
+        merges = [find(a << BITS | b, NEVER) for a, b in zip(s, s[1:])]
+        while merges and (best := min(merges)) != NEVER:
+            i, one = merges.index(best), best & MASK
+            s[i : i + 2] = [one]
+            del merges[i]
             if i:
-                ranks[i - 1] = rank((s[i - 1], one), NEVER)
-            if i < len(ranks):
-                ranks[i] = rank((one, s[i + 1]), NEVER)
+                merges[i - 1] = find(s[i - 1] << BITS | one, NEVER)
+            if i < len(merges):
+                merges[i] = find(one << BITS | s[i + 1], NEVER)
         return s
 
-    def merged_long(self, symbols: list[str]) -> list[str]:
+    def merged_long(self, symbols: list[int]) -> list[int]:
         from heapq import heapify, heappop, heappush
 
         n, s = len(symbols), symbols
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        heap = [(r, i, s[i], s[i + 1]) for i in range(n - 1) if (r := self.ranks.get((s[i], s[i + 1]))) is not None]
+        heap = [(m, i, s[i], s[i + 1]) for i in range(n - 1) if (m := self.pairs.get(s[i] << BITS | s[i + 1])) is not None]
         heapify(heap)
         alive = [True] * n
         while heap:
-            _, i, a, b = heappop(heap)
+            merge, i, a, b = heappop(heap)
             j = after[i]
             if not alive[i] or j >= n or s[i] != a or s[j] != b:
                 continue
-            s[i], alive[j], after[i] = a + b, False, after[j]
+            s[i], alive[j], after[i] = merge & MASK, False, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if 0 <= x and y < n and (r := self.ranks.get((s[x], s[y]))) is not None:
-                    heappush(heap, (r, x, s[x], s[y]))
+                if 0 <= x and y < n and (m := self.pairs.get(s[x] << BITS | s[y])) is not None:
+                    heappush(heap, (m, x, s[x], s[y]))
         return [x for x, live in zip(s, alive) if live]
 
     def word(self, word: str) -> tuple[str, str, int]:
         """A word's ids and tokens, each blank-joined, and their number."""
         if not (out := self.older.get(word)):
-            tokens = [t for f in self.fragments(word) for t in self.merged(f) if t in self.names]
-            out = (" ".join([self.names[t] for t in tokens]), " ".join(tokens), len(tokens))
+            names = [name for f in self.fragments(word) for t in self.merged(f) if (name := self.names[t])]
+            out = (" ".join([i for i, _ in names]), " ".join([t for _, t in names]), len(names))
         if len(self.kept) >= KEEP:
             self.older, self.kept = self.kept, {}
         if len(word) < 100:
