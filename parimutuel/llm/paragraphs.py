@@ -31,9 +31,9 @@ from . import jaccard
 from .common import LOWER, cut, grams, map_texts, pa_schema, slices, spread_join, words_of
 from .components import components
 
-SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.995
+SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Words that make a line a paragraph; words of a passage; words within which one is chosen.
-MIN_WORDS, WIDTH, GUARANTEE = 45, 28, 51
+MIN_WORDS, WIDTH, GUARANTEE = 10, 28, 51
 #: Ids that a task remembers so as not to send the bands of a repeated paragraph again.
 REMEMBERED = 200_000
 
@@ -112,7 +112,7 @@ def shingle_sets(docs: DataFrame, units: Units, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema).join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def similar_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def similar_paragraphs(docs: DataFrame, min_words: int = 45, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, start, end, class_id, kept_doc_id, kept_start) of paragraphs that repeat an earlier one."""
     bands, rows = jaccard.tuned(similarity, RECALL)
     found = cut(occurrences(docs, min_words, bands, rows))
@@ -230,7 +230,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, guarantee: int = GUAR
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, start, end, class_id, kept_doc_id, kept_start): what later texts repeat."""
     columns = ["doc_id", "kind", "start", "end", "class_id", "kept_doc_id", "kept_start"]
-    first = similar_paragraphs(docs).withColumn("kind", F.lit("paragraph"))
+    first = similar_paragraphs(docs, MIN_WORDS).withColumn("kind", F.lit("paragraph"))
     return first.select(columns).union(repeated_passages(docs).withColumn("kind", F.lit("passage")).select(columns))
 
 

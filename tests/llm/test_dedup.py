@@ -244,6 +244,17 @@ def test_substring_dedup_of_odd_rows(odd, documents):
     assert left[1] == text and left[2].endswith("\nend") and "w30" not in left[2] and left[3] == ""
 
 
+def test_short_paragraphs(documents):
+    """Lines of 10 to 44 words: exact copies and near copies with one word more."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    lines_of = [[word() for _ in range(n)] for n in (10, 15, 20, 27, 28, 40, 44)]
+    pairs = [(i, f"{word()} {word()}\n" + " ".join(x)) for i, x in enumerate(lines_of)]
+    pairs += [(100 + i, " ".join(x)) for i, x in enumerate(lines_of)] + [(200 + i, " ".join([*x, word()])) for i, x in enumerate(lines_of)]
+    got = {(x.doc_id, x.kept_doc_id) for x in paragraphs.substring_dedup(documents(pairs)).where("kind = 'paragraph'").collect()}
+    assert got == {(at + i, i) for at in (100, 200) for i in range(len(lines_of))}
+
+
 # --- lines
 
 
