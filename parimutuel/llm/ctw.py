@@ -9,9 +9,10 @@ and of the end.
 Counting covers every training text: runs of ``DEPTH + 1`` bytes are counted in the
 tasks and added up by a shuffle; from them one grouped pass a depth gives the nodes
 of the next shallower depth, the counts and code lengths of children added up. For
-scoring, the nodes go to a table of fixed size (2**CELL_BITS), each cell kept by the
-node seen most often, and that table is broadcast; where a node is not in the table,
-the deepest one that is decides, so every byte has a probability.
+scoring, all nodes are kept: the last two context bytes deal them to shards of about
+2**CELL_BITS cells, and one pass over the texts a shard broadcasts its table and adds
+up the predictions of the bytes that fall to it. Where training saw no node, the
+deepest one that it saw decides, so every byte has a probability.
 
 The base score is the contract's unigram model. Words are counted exactly (by 64-bit
 hash); the counts of the COMMON most frequent ones are broadcast, those of all others
@@ -39,8 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, cut, pa_schema
 
-#: Bytes of context, and bits of the cells' number in the broadcast table: 8 bytes each.
+#: Bytes of context, and bits of the cells' number in a shard's table: 12 bytes each.
 DEPTH, CELL_BITS = 5, 22
+#: Part of a table's cells that nodes fill.
+LOAD = 0.6
 #: Frequent words whose counts are broadcast: 16 bytes each.
 COMMON = 1 << 18
 #: Distinct runs or words that a task gathers before it hands them on.
@@ -189,52 +192,82 @@ def hashed(nodes: np.ndarray, depth: int) -> np.ndarray:
     return mixed(nodes.astype(np.uint64) + np.uint64(depth + 1 << 56))
 
 
-def placed(nodes: DataFrame, depth: int, deepest: bool, bits: int) -> DataFrame:
-    """(cell, n, tag, zero, share): where each node goes in the table, and what it predicts."""
-    schema = "cell int, n long, tag int, zero float, share float"
+def placed(nodes: DataFrame, depth: int, deepest: bool) -> DataFrame:
+    """(pair, h, zero, share): each node's last two context bytes (-1 for fewer), its hash, and what it predicts."""
+    schema = "pair int, h long, zero float, share float"
     out = pa_schema(nodes.sparkSession, schema)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, zeros, ones, inner = (batch.column(i).to_numpy() for i in range(4))
-            h, n = hashed(node, depth), zeros + ones
             _, share = weighed(zeros, ones, inner, deepest)
-            cell, tag = (h & np.uint64((1 << bits) - 1)).astype(np.int32), (h >> np.uint64(48)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, n, tag, ((zeros + 0.5) / (n + 1.0)).astype(np.float32), share.astype(np.float32))], schema=out)
+            pair = node >> 8 & 0xFFFF if depth > 1 else np.full(len(node), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair.astype(np.int32), hashed(node, depth).view(np.int64), ((zeros + 0.5) / (zeros + ones + 1.0)).astype(np.float32), share.astype(np.float32))], schema=out)
 
     return nodes.mapInArrow(place, schema)
 
 
+def shard_of(pair, shards: int):
+    """The shard of two context bytes, for columns and arrays alike."""
+    spread = pair * 40503 % 65536 * shards
+    return F.floor(spread / 65536) if not isinstance(spread, np.ndarray) else spread >> 16
+
+
 class Model:
-    """The table of nodes, and the predictions it gives.
+    """A table of nodes, and the predictions it gives.
 
-    A cell is one 64-bit word: a node's tag, its probability of a zero as a float of
-    32 bits and its share as one of 16.
+    Nodes lie in their hash's cell or the next free one. A cell is one 64-bit word, a
+    node's probability of a zero as a float of 32 bits, its share as one of 16 and 16
+    bits of its hash, and 32 further bits of the hash. A table that its nodes would
+    crowd is made larger, so none is left out.
     """
 
-    def __init__(self, depth: int, bits: int, cells: pa.Table):
-        self.depth, self.bits = depth, bits
+    def __init__(self, depth: int, bits: int, nodes: pa.Table):
+        h = nodes.column("h").to_numpy().view(np.uint64)
+        self.depth, self.bits = depth, max(bits, int(len(h) / LOAD).bit_length())
         self.name = uuid.uuid4().hex
-        at = cells.column("cell").to_numpy()
-        self.words = np.zeros(1 << bits, np.uint64)
-        tag, zero, share = (cells.column(c).to_numpy() for c in ("tag", "zero", "share"))
-        self.words[at] = zero.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | share.astype(np.float16).view(np.uint16).astype(np.uint64) << np.uint64(16) | tag.astype(np.uint64)
+        zero, share = (nodes.column(c).to_numpy() for c in ("zero", "share"))
+        words = zero.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | share.astype(np.float16).view(np.uint16).astype(np.uint64) << np.uint64(16) | h >> np.uint64(48)
+        tags = (h >> np.uint64(16)).astype(np.uint32)
+        self.words, self.tags = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint32)
+        low = (1 << self.bits) - 1
+        at, left = (h & np.uint64(low)).view(np.int64), np.arange(len(h))
+        while len(left):
+            free = np.flatnonzero(self.words[at] == 0)
+            cells, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.words[cells], self.tags[cells] = words[left[put]], tags[left[put]]
+            stay = np.ones(len(left), bool)
+            stay[put] = False
+            at, left = at[stay] + 1 & low, left[stay]
+
+    def found(self, h: np.ndarray) -> np.ndarray:
+        """The words of the nodes with these hashes; zero where there is none."""
+        low = (1 << self.bits) - 1
+        at, left = (h & np.uint64(low)).view(np.int64), np.arange(len(h))
+        out, top, tag = np.zeros(len(h), np.uint64), h >> np.uint64(48), (h >> np.uint64(16)).astype(np.uint32)
+        while len(left):
+            word = self.words[at]
+            hit = (word & np.uint64(0xFFFF) == top[left]) & (self.tags[at] == tag[left])
+            hit &= word != 0
+            out[left[hit]] = word[hit]
+            on = ~hit & (word != 0)
+            at, left = at[on] + 1 & low, left[on]
+        return out
 
     def logs(self, run: np.ndarray) -> np.ndarray:
         """log10 of the probability of each run's byte after its contexts."""
         byte = run & np.uint64(255)
         contexts = [((run >> np.uint64(8) & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)) + np.uint64(d + 1 << 56) for d in range(self.depth + 1)]
-        low = np.uint64((1 << self.bits) - 1)
         total = np.zeros(len(run))
         for k in range(8):
             one = (byte >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
             prefix = np.uint64(1 << k) | byte >> np.uint64(8 - k)
             p, seen = np.full(len(run), 0.5, np.float32), np.zeros(len(run), bool)
             for d in range(self.depth, -1, -1):
-                h = mixed(contexts[d] + prefix)
-                word = self.words[(h & low).view(np.int64)]
+                word = self.found(mixed(contexts[d] + prefix))
                 parts = word.view(np.uint16).reshape(-1, 4)
-                hit = (word != 0) & (parts[:, 0] == h.view(np.uint16).reshape(-1, 4)[:, 3])
+                hit = word != 0
                 own = word.view(np.float32)[1::2]
                 own = np.where(one, 1 - own, own)
                 share = np.where(seen, parts[:, 1].view(np.float16), 1)
@@ -283,19 +316,56 @@ def cached(model: Model) -> Cached:
     return KEPT[model.name]
 
 
-def trained(docs: DataFrame, depth: int, bits: int) -> Model:
-    """The context trees of all these texts."""
+def tree(docs: DataFrame, depth: int) -> DataFrame:
+    """All nodes of the context trees of these texts, as ``placed`` gives them."""
     counts = counted_runs(docs, depth).groupBy("run").agg(F.sum("n").alias("n"))
     nodes = decisions(cut(counts))
-    cells = None
+    every = None
     # One Python function a stage: each worker of a task takes memory of its own.
     for d in range(depth, -1, -1):
         level = nodes.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "inner")))
-        part = placed(level, d, d == depth, bits)
-        cells = part if cells is None else cells.union(part)
+        part = placed(level, d, d == depth)
+        every = part if every is None else every.union(part)
         nodes = parents(level, d, d == depth)
-    kept = cells.groupBy("cell").agg(F.max_by(F.struct("tag", "zero", "share"), F.struct("n", "tag", "zero", "share")).alias("k"))
-    return Model(depth, bits, kept.select("cell", "k.tag", "k.zero", "k.share").toArrow())
+    return every
+
+
+def trained(docs: DataFrame, depth: int, bits: int) -> Model:
+    """The context trees of all these texts in one table."""
+    return Model(depth, bits, tree(docs, depth).select("h", "zero", "share").toArrow())
+
+
+def text_name(text: bytes) -> int:
+    """A signed 64-bit name for a lowered text."""
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def predicted(docs: DataFrame, nodes: DataFrame, depth: int, bits: int) -> DataFrame:
+    """(name, score) of each distinct text: one pass over the texts a shard of the nodes."""
+    sc = docs.sparkSession.sparkContext
+    schema = "name long, shard int, part double"
+    out = pa_schema(docs.sparkSession, schema)
+    shards = max(1, math.ceil(nodes.count() / (LOAD * (1 << bits))))
+    of = shard_of(np.arange(1 << 16), shards)
+    every = None
+    for shard in range(shards):
+        own = nodes.where((F.col("pair") < 0) | (shard_of(F.col("pair").cast("long"), shards) == shard))
+        shared = sc.broadcast(Model(depth, bits, own.select("h", "zero", "share").toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch], shard: int = shard, shared=shared) -> Iterator[pa.RecordBatch]:
+            model, mine = cached(shared.value), of == shard
+            for batch in batches:
+                for _, texts in grouped(batch, 1):
+                    score = np.zeros(len(texts))
+                    for g, text in runs(texts, depth):
+                        inside = mine[(g >> np.uint64(8) & np.uint64(0xFFFF)).view(np.int64)]
+                        score += np.bincount(text[inside], model.logs(g[inside]), len(texts))
+                    yield pa.RecordBatch.from_arrays([pa.array([text_name(t) for t in texts], pa.int64()), pa.array(np.full(len(texts), shard, np.int32)), pa.array(score)], schema=out)
+
+        part = cut(docs.select("doc_id", "text").mapInArrow(run, schema))
+        shared.destroy()
+        every = part if every is None else every.union(part)
+    return every.groupBy("name", "shard").agg(F.max("part").alias("part")).groupBy("name").agg(F.sum("part").alias("score"))
 
 
 def word_id(word: bytes) -> int:
@@ -354,30 +424,27 @@ class Unigram:
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
 
-ROWS = "row long, doc_id long, word long, times long, tokens long, known long, base double, score double"
+ROWS = "row long, doc_id long, word long, times long, tokens long, known long, base double, name long"
 
 
-def scored(docs: DataFrame, model: Model, unigram: Unigram) -> DataFrame:
-    """A row per document with what the broadcasts tell, and one per further word of it.
+def based(docs: DataFrame, unigram: Unigram) -> DataFrame:
+    """A row per document with what the broadcast tells and its text's name, and one per further word of it.
 
     ``row`` numbers the input's rows, so that repeated documents stay apart; a
     document's own row has a null ``times``.
     """
     sc = docs.sparkSession.sparkContext
-    shared, base = sc.broadcast(model), sc.broadcast(unigram)
+    base = sc.broadcast(unigram)
     out = pa_schema(docs.sparkSession, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, one = cached(shared.value), base.value
+        one = base.value
         # A word's place among the frequent ones; of other words the hash, which is no place.
         places, ids, logs = one.places(), {}, one.logs(one.counts)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             docs_of = batch.column(0).to_pylist()
             for first, texts in grouped(batch, 1):
-                score = np.zeros(len(texts))
-                for g, text in runs(texts, model.model.depth):
-                    score += np.bincount(text, model.logs(g), len(texts))
                 words, times, of, tokens = [], [], [], []
                 for k, text in enumerate(texts):
                     found = word_counts(text)
@@ -401,7 +468,7 @@ def scored(docs: DataFrame, model: Model, unigram: Unigram) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate([rows, rows[of[~hit]]])), pa.concat_arrays([pa.array(docs_here, pa.int64()), none]), pa.array(np.concatenate([(rows.astype(np.uint64) * MIX).view(np.int64), words[~hit]])),
                     pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times[~hit])]), pa.concat_arrays([pa.array(tokens, pa.int64()), none]), pa.concat_arrays([pa.array(known), none]),
-                    pa.concat_arrays([pa.array(sums), pa.nulls(m, pa.float64())]), pa.concat_arrays([pa.array(score), pa.nulls(m, pa.float64())]),
+                    pa.concat_arrays([pa.array(sums), pa.nulls(m, pa.float64())]), pa.concat_arrays([pa.array([text_name(t) for t in texts], pa.int64()), none]),
                 ], schema=out)
                 row += n
 
@@ -433,9 +500,9 @@ def language_scores(docs: DataFrame, depth: int = DEPTH, bits: int = CELL_BITS)
     total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = frequent(words).toArrow()
     unigram = Unigram(total + ends, types + (ends > 0), ends, *(common.column(c).to_numpy() for c in ("word", "n")))
-    found = scored(docs, trained(training, depth, bits), unigram)
+    found = based(docs, unigram)
     rest = F.coalesce(F.when(F.col("times").isNotNull(), F.col("n")), F.lit(0))
     log = F.log10((rest + 0.5) / (unigram.tokens + 0.5 * (unigram.types + 1)))
-    joined = found.join(words, "word", "left").select("row", "doc_id", "tokens", "score", F.when(F.col("times").isNull(), F.col("known")).when(rest > 0, F.col("times")).otherwise(0).alias("known"), F.when(F.col("times").isNull(), F.col("base")).otherwise(F.col("times") * log).alias("base"))
-    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.max("score").alias("score"))
+    joined = found.join(words, "word", "left").select("row", "doc_id", "tokens", "name", F.when(F.col("times").isNull(), F.col("known")).when(rest > 0, F.col("times")).otherwise(0).alias("known"), F.when(F.col("times").isNull(), F.col("base")).otherwise(F.col("times") * log).alias("base"))
+    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.max("name").alias("name")).join(predicted(docs, cut(tree(training, depth)), depth, bits), "name")
     return summed.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(unigram.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -101,6 +101,17 @@ def test_scores_are_the_definition(documents, small):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=2e-3)
 
 
+def test_no_node_is_left_out(documents, small):
+    """A table far smaller than the trees: every node is kept, in several shards."""
+    depth = 4
+    tree = Tree([low(t) for d, t in small if not held(d)], depth)
+    nodes = ctw.tree(documents(small).where(~ctw.held_out(F.col("doc_id"))), depth)
+    assert nodes.count() == len(tree.counts) > 3 << 8
+    got = {r.name: r.score for r in ctw.predicted(documents(small), nodes, depth, 8).collect()}
+    for _, t in small:
+        assert got[ctw.text_name(low(t))] == pytest.approx(tree.score(low(t)), rel=2e-3)
+
+
 def test_predictions_add_up_to_one(documents, small):
     model = ctw.trained(documents(small).where("doc_id IS NOT NULL"), 3, 14)
     r = np.random.default_rng(0)
