@@ -285,6 +285,19 @@ def test_lines(documents):
     assert runs == {d: g for d, g in gone.items() if g}
 
 
+def test_long_single_and_double_lines(documents):
+    """One or two repeated lines of 20 words go, fewer words stay."""
+    r = random.Random(13)
+    some = lambda n: " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(n))
+    one, first, second, short = some(52), some(12), some(8), some(19)
+    texts = {1: one, 2: f"{some(3)}\n{one}\n\n{some(4)}", 3: f"{first}\n{second}\n{short}", 4: f"x\n {first}\n\n{second} \ny", 5: f"{short}\nz", 6: one}
+    got = {x.doc_id: x.text for x in lines.deduplicated(documents(texts.items())).collect()}
+    want = {d: t.replace(one, "").replace("\n\n\n", "\n\n") if d == 2 else t for d, t in texts.items()} | {4: "x\ny", 6: ""}
+    assert got == want
+    found = {(x.doc_id, x.line, x.last, x.kept_doc_id) for x in lines.repeated_runs(documents(texts.items()), words=20).collect()}
+    assert found == {(2, 1, 1, 1), (4, 1, 3, 3), (6, 0, 0, 1)}
+
+
 def test_lines_of_odd_rows(odd):
     got = lines.deduplicated(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
