@@ -55,7 +55,8 @@ PERMISSIVE = {"apache", "mit", "bsd", "isc", "cc0", "unlicense", "cc-by"}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-EXPRESSION = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)")
+TAG = re.compile(r"spdx-license-identifier:")
+LINE_END = re.compile(r"[\r\n]|\Z")
 PART = re.compile(r"[()]|[a-z0-9.+:-]+")
 #: Bytes of the lower-cased word stream: word bytes as they are, all others a blank.
 STREAM = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -157,8 +158,10 @@ def longest(parts: list[str]) -> int:
 def expressions(lowered: str) -> list[tuple[str, frozenset[str], bool]]:
     """Each tag's expression, its licences and value; comment ends and prose after it are cut off."""
     found = []
-    for m in EXPRESSION.finditer(lowered):
-        parts = PART.findall(m[1])
+    tags = [m.span() for m in TAG.finditer(lowered)]
+    for (_, at), (following, _) in zip(tags, [*tags[1:], (len(lowered), 0)]):
+        end = LINE_END.search(lowered, at, following)
+        parts = PART.findall(lowered, at, end.start())
         if n := longest(parts):
             found.append((told := " ".join(parts[:n]), *evaluate(told)))
     return found

@@ -59,6 +59,11 @@ def test_long_expression_is_read_whole():
     assert "beerware" in licenses.scan(text)[5]
 
 
+def test_every_tag_of_a_line_is_read():
+    got = licenses.scan("<p>SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0</p><i>spdx-license-identifier:ISC")
+    assert got[5] == "gpl,isc,mit" and got[7] == [("mit", True), ("gpl-2.0", False), ("isc", True)]
+
+
 def test_base_labels_stay():
     got = licenses.scan("CC BY-NC 4.0")
     assert got[4] == "cc-by" and got[5] == "cc-by,cc-by-nc"
