@@ -1,9 +1,9 @@
 """Secret scan (operator 4): fixed patterns, and a character network over candidates.
 
 Three fixed patterns give the base spans. Beyond them every token that could be a
-credential (a run of token characters, long enough and holding a digit) is a
-candidate; a small convolutional network in numpy reads it with its surroundings
-and scores it. The network is trained here, on labelled findings written by a
+credential (a long enough run of token characters not wholly in a base span) is a
+candidate; a small convolutional network in numpy reads it with its surroundings,
+a long one in overlapping pieces of which the best counts, and scores it. The network is trained here, on labelled findings written by a
 seeded generator; its scores are calibrated on findings held out from training, and
 the threshold is the one that keeps the wanted recall there at the fewest errors.
 
@@ -32,19 +32,19 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "cnn")
 
-#: Candidates of the method: runs of token characters this long, with a digit.
+#: Candidates of the method: runs of token characters this long.
 LEAST_RUN = 16
 #: Characters that the network sees before a candidate, of its start and after it.
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WIDTH = BEFORE + INSIDE + AFTER
+#: Characters from the start of a long candidate's piece to the next.
+STRIDE = 24
 CLASSES, FILTERS, KERNEL, HIDDEN = 48, 24, 5, 24
 
 TOKEN_BYTE = np.zeros(256, bool)
 TOKEN_BYTE[[*map(ord, string.ascii_letters + string.digits + "+/_=-")]] = True
 HEX_BYTE = np.zeros(256, bool)
 HEX_BYTE[[*map(ord, "0123456789abcdef")]] = True
-DIGIT_BYTE = np.zeros(256, bool)
-DIGIT_BYTE[[*map(ord, string.digits)]] = True
 
 
 def class_table() -> np.ndarray:
@@ -71,6 +71,13 @@ def window(data: bytes, start: int, end: int) -> bytes:
     return data[max(0, start - BEFORE) : start].rjust(BEFORE, b"\0") + data[start : min(end, start + INSIDE)].ljust(INSIDE, b"\0") + data[end : end + AFTER].ljust(AFTER, b"\0")
 
 
+def pieces(start: int, end: int) -> list[tuple[int, int]]:
+    """A candidate as it is read: whole, or in overlapping pieces up to its end."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(a, a + INSIDE) for a in [*range(start, end - INSIDE, STRIDE), end - INSIDE]]
+
+
 class Network(NamedTuple):
     kernel: np.ndarray  # KERNEL, 2 inputs' rows, FILTERS
     bias: np.ndarray
@@ -135,6 +142,7 @@ def findings(n: int, seed: int) -> tuple[list[bytes], np.ndarray]:
             lambda: r.choice(["ghp_", "gho_", "ghs_"]) + some(alnum, 36, 36), lambda: r.choice(["sk_live_", "rk_live_", "sk-"]) + some(alnum, 24, 48),
             lambda: "xoxb-" + some(string.digits, 11, 12) + "-" + some(alnum, 24, 24), lambda: "AIza" + some(alnum + "_-", 35, 35), lambda: "eyJ" + some(alnum + "_-", 30, 90),
             lambda: some(alnum + "+/", 38, 60) + "==", lambda: some(alnum, 20, 44), lambda: some("0123456789ABCDEF", 32, 64),
+            lambda: some(string.ascii_letters, 20, 44),
         ])()
         lead = r.choice(["key = ", "auth: ", "Bearer ", "client_id=", '"credential": "', "access_key: ", "export AUTH=", "", prose() + " "])
         return prose() + " " + lead, value, r.choice(['"', "\n", " ", "'", ";"]) + prose()
@@ -144,6 +152,7 @@ def findings(n: int, seed: int) -> tuple[list[bytes], np.ndarray]:
             lambda: "-".join(word() for _ in range(r.randint(3, 6))) + "-" + some(string.digits, 1, 4), lambda: "/".join(word() for _ in range(r.randint(3, 7))) + some(string.digits, 1, 3),
             lambda: some(string.digits, 16, 20), lambda: f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)}T{r.randint(10, 23)}", lambda: word() + "_" + word() + "_" + word() + some(string.digits, 1, 3),
             lambda: "".join(word() for _ in range(r.randint(3, 5))) + some(string.digits, 1, 2), lambda: "=" * r.randint(15, 30) + some(string.digits, 1, 2), lambda: "-".join(some(string.digits, 3, 4) for _ in range(r.randint(4, 6))),
+            lambda: "-".join(word() for _ in range(r.randint(3, 9))), lambda: "/" * r.randint(0, 1) + "/".join(word() for _ in range(r.randint(3, 14))), lambda: "".join(word().capitalize() for _ in range(r.randint(3, 6))), lambda: r.choice("=-_") * r.randint(16, 90), lambda: some(string.ascii_lowercase, 16, 30),
         ])()
         lead = r.choice(["see ", "at ", "version ", "https://", "isbn ", "", prose() + " ", "page: ", "key "])
         return prose() + " " + lead, value, r.choice([" ", "\n", ".", ", "]) + prose()
@@ -152,8 +161,10 @@ def findings(n: int, seed: int) -> tuple[list[bytes], np.ndarray]:
     for _ in range(n):
         y = r.random() < 0.5
         before, value, after = secret() if y else plain()
-        data = (before + value + after).encode()
-        windows.append(window(data, len(before), len(before) + len(value)))
+        path = "/".join(word() for _ in range(r.randint(2, 12))) + "/" if y and r.random() < 0.15 else ""
+        data = (before + path + value + after).encode()
+        read = pieces(len(before), len(before) + len(path + value))
+        windows.append(window(data, *(read[-1] if path else r.choice(read))))
         labels.append(y)
     return windows, np.array(labels, np.float32)
 
@@ -267,15 +278,18 @@ def scan(texts: list[str], net: Network) -> list[tuple[list, list]]:
     base = [base_spans(t, r.translate(LOWER), p[0]) for t, r, p in zip(texts, raw, per)]
     a, b = runs(TOKEN_BYTE[joined], LEAST_RUN)
     if len(a):
-        digits = np.cumsum(DIGIT_BYTE[joined], dtype=np.int64)
-        held = digits[b - 1] - digits[a] + DIGIT_BYTE[joined[a]] > 0
-        spots = [(*place(x, y), x, y) for x, y in zip(a[held], b[held])]
-        # What a base span covers is found already.
-        spots = [s for s in spots if not any(x < s[2] and s[1] < y for x, y, _ in base[s[0]])]
-        windows = [window(raw[k], x - starts[k], y - starts[k]) for k, _, _, x, y in spots]
-        for (k, s, e, _, _), p in zip(spots, probabilities(net, windows)):
-            if p >= net.threshold:
-                per[k][1].append((s, e, "cnn"))
+        spots, windows = [], []
+        for x, y in zip(a, b):
+            k, s, e = place(x, y)
+            near = [(p, q) for p, q, _ in base[k] if p < e and s < q]
+            # What a base span covers is found already. Token characters are one byte each.
+            for p, q in pieces(s, e):
+                if not any(u <= p and q <= v for u, v in near):
+                    spots.append((k, s, e))
+                    windows.append(window(raw[k], x - starts[k] + p - s, x - starts[k] + q - s))
+        found = dict.fromkeys(spot for spot, p in zip(spots, probabilities(net, windows)) if p >= net.threshold)
+        for k, s, e in found:
+            per[k][1].append((s, e, "cnn"))
     return [(x, sorted(x + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else x) for x, (_, more) in zip(base, per)]
 
 

@@ -102,6 +102,22 @@ def test_method_adds_spans():
     assert base == [] and [k for *_, k in every] == ["cnn"] and text[slice(*every[0][:2])].startswith("ghp_")
 
 
+KEY = "aB3dE5gH7kQ2wX9zR4tY6uJ8mN1pL0vC5sD7fG2h"
+
+
+@pytest.mark.parametrize("run", ["/".join(["configs", "services", "billing", "environments", "production", "keys"]) + "/" + KEY, "qWmZtRbYxKpLsVnHjGfDcXaQwErTyUiOpKlM", "0123456789abcdef01234567/" + KEY])
+def test_every_candidate_is_read_whole(run):
+    """A key behind a long path, one of letters alone and one behind a base span."""
+    text = f"see client_id={run} for more"
+    (base, every), = secrets.scan([text], secrets.trained())
+    assert any(k == "cnn" and text[a:b].endswith(run) for a, b, k in every) and all(k == "hex" for *_, k in base)
+
+
+@pytest.mark.parametrize("run", ["/usr/local/share/applications/documentation/examples/reference/manual/chapters", "a-rather-long-hyphenated-heading-of-several-plain-words", "internationalization", "----------------------------------------------------------------"])
+def test_plain_runs_without_digits_are_none(run):
+    assert secrets.scan([f"see {run} for more"], secrets.trained()) == [([], [])]
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = secrets.trained()
