@@ -184,7 +184,8 @@ class WordBpe:
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, and SHA-256 of the ids and of the decoded text."""
         found = [*self.words(text)]
-        ids, decoded = " ".join([x[0] for x in found if x[2]]), " ".join([x[1] for x in found if x[2]])
+        ids = " ".join([x[0] for x in found if x[2]])
+        decoded = self.decode([int(i) for i in ids.split()])
         return sum([x[2] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 

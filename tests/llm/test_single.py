@@ -213,6 +213,13 @@ def test_bpe_cases(both, text):
     same(both, text)
 
 
+def test_digest_decodes_the_ids(monkeypatch):
+    own = bpe.WordBpe(bpe.load(PATH))
+    monkeypatch.setattr(own, "decode", lambda ids: f"decoded {len(ids)}")
+    n, _, decoded = own.digest("a cat sat")
+    assert decoded == hashlib.sha256(f"decoded {n}".encode()).hexdigest()
+
+
 def symbols(own, word):
     raw = word.encode()
     return [*(own.inner[b] for b in raw[:-1]), own.last[raw[-1]]]
