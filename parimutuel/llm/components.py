@@ -1,9 +1,10 @@
 """Connected components of a link table, spread over the cluster.
 
-Partitions first contract their own links to forests; large-star and small-star
-rounds then turn those into stars around each component's smallest node. No task
-holds more than its share of links, and nothing but two numbers a round reaches
-the driver.
+Partitions first contract their own links to forests. What is then few enough for
+the memory of one task is contracted there; more goes through large-star and
+small-star rounds, which turn the forests into stars around each component's smallest
+node. No task holds more than its share of links, and nothing but two numbers a round
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .common import cut, pa_schema
 
 #: Links that a partition contracts at once; bounds a worker's memory.
 HELD = 400_000
+#: Links of all forests up to which one task contracts them, in place of rounds of shuffles.
+FEW = 400_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +75,11 @@ def components(links: DataFrame) -> DataFrame:
     gives an empty result.
     """
     given = links.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    edges = cut(contracted(given).where("a <> b").distinct())
+    edges = cut(contracted(given))
+    if edges.count() <= FEW:
+        edges = cut(contracted(edges.coalesce(1)))
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+    edges = edges.distinct()
     before = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -31,8 +31,10 @@ class Sets:
         return {x: self.find(x) for x in self.p}
 
 
+@pytest.mark.parametrize("few", [400_000, 0], ids=["one task", "rounds"])
 @pytest.mark.parametrize("shape", ["path", "star", "random", "cycle", "loops"])
-def test_components(spark, shape):
+def test_components(spark, monkeypatch, shape, few):
+    monkeypatch.setattr(components, "FEW", few)
     r = random.Random(1)
     n = 60
     edges = {"path": [(i, i + 1) for i in range(n)], "star": [(77, i) for i in range(n)], "random": [(r.randrange(200), r.randrange(200)) for _ in range(90)], "cycle": [(i, (i + 1) % n) for i in range(n)], "loops": [(1, 1), (2, 3), (3, 2), (None, 4)]}[shape]
