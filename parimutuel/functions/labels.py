@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import MARKET_LABELS
+from ..schemas import BOTH_SCORE, MARKET_LABELS, NEITHER
 from .numbers import plain, signed
 
 
@@ -23,7 +23,7 @@ def outcome_label(market: Column, name: Column, point: Column, home: Column, awa
     """An outcome's label in the odds text; what a market does not name keeps its own name."""
     winner = F.when(name == home, F.concat(F.lit("П1 — "), home)).when(name == away, F.concat(F.lit("П2 — "), away)).when(name == "Draw", "Ничья")
     total = F.when(name == "Over", F.concat(F.lit("ТБ "), plain(point))).when(name == "Under", F.concat(F.lit("ТМ "), plain(point)))
-    both = F.when(name == "Yes", "Да (обе забьют)").when(name == "No", "Нет")
+    both = F.when(name == "Yes", BOTH_SCORE).when(name == "No", NEITHER)
     spread = F.concat(name, F.lit(" ("), signed(point), F.lit(")"))
     return F.coalesce(F.when(market == "h2h", winner).when(market == "totals", total).when(market == "btts", both).when(market == "spreads", spread), name)
 

@@ -66,8 +66,8 @@ def with_dimension(df: DataFrame, dimension: DataFrame, on: str, label: str, def
 
 
 def in_order_of(df: DataFrame, order: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is listed, in the order of the list (ord, key)."""
-    return df.join(order, key).orderBy("ord")
+    """Rows whose key is listed, with its place in the list (ord, key); whoever shows them sorts by ``ord``."""
+    return df.join(order, key)
 
 
 def positions(df: DataFrame, array: str, position: str, element: str) -> DataFrame:

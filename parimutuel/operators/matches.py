@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import instant, within_horizon
 from ..functions.labels import best_key
 from ..functions.numbers import clean
-from ..schemas import DISPLAY_ORDER, HIGHLIGHT_FROM, display_order
+from ..schemas import BOTH_SCORE, DISPLAY_ORDER, HIGHLIGHT_FROM, display_order
 from .core import first_best, first_where, in_order_of
 
 
@@ -26,6 +26,14 @@ def quotes(matches: DataFrame) -> DataFrame:
     return outcomes.select("event_id", "home_team", "away_team", "bm_ord", "bookmaker", "mk_ord", "market", "oc_ord", F.col("o.name").alias("outcome"), F.col("o.price").alias("price"), F.col("o.point").alias("point"))
 
 
+def both_score_prices(matches: DataFrame) -> DataFrame:
+    """(event_id, market, price, bookmaker): the highest price for both teams to score, under its label."""
+    yes = quotes(matches).where("market = 'btts' AND outcome = 'Yes'")
+    rated = yes.withColumn("price", F.when(F.col("price") > 0, clean(F.col("price"))))
+    best = first_best(rated, ["event_id"], "price", ["bm_ord", "mk_ord", "oc_ord"], ["bookmaker"])
+    return best.select("event_id", F.lit(BOTH_SCORE).alias("market"), "price", "bookmaker")
+
+
 def best_prices(matches: DataFrame) -> DataFrame:
     """(event_id, market, price, bookmaker, highlight) in display order: each key's highest price, the first of equals.
 
@@ -38,11 +46,16 @@ def best_prices(matches: DataFrame) -> DataFrame:
     return shown.select("event_id", F.col("key").alias("market"), "price", "bookmaker", (F.col("price") >= HIGHLIGHT_FROM).alias("highlight"), "ord").orderBy("event_id", "ord")
 
 
-def first_bookmaker(matches: DataFrame) -> DataFrame:
-    """(id, home_odds, draw_odds, away_odds) of the first bookmaker's first winner market; null where missing."""
+def winner_prices() -> list[Column]:
+    """home_odds, draw_odds and away_odds of the first bookmaker's first winner market; null where missing."""
     market = first_where(F.get("bookmakers", F.lit(0))["markets"], lambda m: m["key"] == "h2h")
     price = lambda name: first_where(market["outcomes"], lambda o: o["name"] == name)["price"]
-    return matches.select("id", price(F.col("home_team")).alias("home_odds"), price(F.lit("Draw")).alias("draw_odds"), price(F.col("away_team")).alias("away_odds"))
+    return [price(F.col("home_team")).alias("home_odds"), price(F.lit("Draw")).alias("draw_odds"), price(F.col("away_team")).alias("away_odds")]
+
+
+def first_bookmaker(matches: DataFrame) -> DataFrame:
+    """(id, home_odds, draw_odds, away_odds) of each match."""
+    return matches.select("id", *winner_prices())
 
 
 def tiles(matches: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from ..functions.names import alike
 from ..schemas import DEFAULT_SPORT, SPORT_KEYS, leagues
 
 
+#: Wanted matches that may be compared with every match of the feed.
+FEW = 1000
+
+
 def sport_key(league):
     """The feed's key of a league's name; the default for names it does not know."""
     return mapped(league, SPORT_KEYS, F.lit(DEFAULT_SPORT))
@@ -25,9 +29,11 @@ def named_matches(matches: DataFrame, wanted: DataFrame, block: str | None = Non
     """Per wanted (want_id, want_home, want_away) the first match of the feed with both names alike.
 
     Names alike have no key in common, so without ``block`` every pair is compared:
-    that is for a few wanted matches. For many, both tables have a column ``block``
-    (a day, a league) and only its equals are compared.
+    that is for a few wanted matches, and more than FEW are refused. For many, both
+    tables have a column ``block`` (a day, a league) and only its equals are compared.
     """
+    if not block and wanted.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"more than {FEW} wanted matches need a block")
     fits = alike(F.col("home_team"), F.col("want_home"), require_nonempty) & alike(F.col("away_team"), F.col("want_away"), require_nonempty)
     if block:
         other = wanted.withColumnRenamed(block, "wanted block")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import market_label, outcome_label
 from ..functions.numbers import fixed, implied_probability, plain
-from ..schemas import NEWS_HEADING, NO_NEWS, NO_NEWS_HEADING, NO_ODDS, NO_ODDS_HEADING, ODDS_HEADING, SHORT_BOOKMAKERS
+from ..schemas import DATE_HEADING, IMPLIED_CLOSE, IMPLIED_OPEN, LEAGUE_HEADING, MATCH_HEADING, NEWS_HEADING, NO_NEWS, NO_NEWS_HEADING, NO_ODDS, NO_ODDS_HEADING, ODDS_COUNT, ODDS_HEADING, SHORT_BOOKMAKERS
 
 
 def odds_line(label: Column, price: Column) -> Column:
     """One outcome; a price without an implied probability stands alone."""
     percent = fixed(implied_probability(price), 1)
-    return F.concat(F.lit("  "), label, F.lit(": **"), F.coalesce(plain(price), F.lit("")), F.lit("**"), F.coalesce(F.concat(F.lit(" (вероятность по рынку: "), percent, F.lit("%)")), F.lit("")))
+    return F.concat(F.lit("  "), label, F.lit(": **"), F.coalesce(plain(price), F.lit("")), F.lit("**"), F.coalesce(F.concat(F.lit(IMPLIED_OPEN), percent, F.lit(IMPLIED_CLOSE)), F.lit("")))
 
 
 def flat_lines(bookmakers: Column, per_market) -> Column:
@@ -29,7 +29,7 @@ def odds_text(bookmakers: Column, home: Column, away: Column) -> Column:
         line = lambda o: odds_line(outcome_label(m["key"], o["name"], o["point"], home, away), o["price"])
         return F.concat(F.array(F.concat(F.lit("**"), market_label(m["key"]), F.lit(":**"))), F.transform(m["outcomes"], line))
 
-    count = F.concat(F.lit("Всего букмекеров: "), F.size(bookmakers).cast("string"), F.lit("\n"))
+    count = F.concat(F.lit(ODDS_COUNT), F.size(bookmakers).cast("string"), F.lit("\n"))
     return F.when(F.size(bookmakers) > 0, F.array_join(F.concat(F.array(count), flat_lines(bookmakers, lines)), "\n"))
 
 
@@ -59,7 +59,7 @@ def prompt(league: Column, date: Column, home: Column, away: Column, odds: Colum
     news = lambda team, c: F.when(filled(c), block(F.lit(NEWS_HEADING), text(team), F.lit("\n"), c))
     with_odds = F.when(filled(odds), block(F.lit(ODDS_HEADING + "\n"), odds)).otherwise(block(F.lit(f"{NO_ODDS_HEADING}\n{NO_ODDS}")))
     none = F.when(~F.coalesce(filled(home_news), F.lit(False)) & ~F.coalesce(filled(away_news), F.lit(False)), block(F.lit(f"{NO_NEWS_HEADING}\n{NO_NEWS}")))
-    return F.concat_ws("\n", F.concat(F.lit("## Матч: "), text(home), F.lit(" — "), text(away)), F.concat(F.lit("**Лига:** "), text(league)), F.concat(F.lit("**Дата:** "), text(date)), with_odds, news(home, home_news), news(away, away_news), none)
+    return F.concat_ws("\n", F.concat(F.lit(MATCH_HEADING), text(home), F.lit(" — "), text(away)), F.concat(F.lit(LEAGUE_HEADING), text(league)), F.concat(F.lit(DATE_HEADING), text(date)), with_odds, news(home, home_news), news(away, away_news), none)
 
 
 def with_news(matches: DataFrame, news: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_and_time, instant
-from ..operators.matches import first_bookmaker, upcoming
+from ..operators.matches import upcoming, winner_prices
 from ..operators.matching import named_matches, sport_key
 from ..operators.text import odds_text, prompt, with_news
 from ..schemas import LEAGUE_SCAN_MARKETS
@@ -17,10 +18,8 @@ from ..sources.odds_api import negotiated, typed
 
 def upcoming_list(matches: DataFrame, now: Column) -> DataFrame:
     """Upcoming matches with the first bookmaker's prices and the date as shown, in order."""
-    soon = upcoming(matches, now)
-    prices = first_bookmaker(soon)
-    shown = soon.select("id", "src_ord", "starts_at", "home_team", "away_team", day_and_time(F.col("starts_at"), year=False).alias("date"))
-    return shown.join(prices, "id").orderBy("starts_at", "src_ord")
+    date = day_and_time(F.col("starts_at"), year=False).alias("date")
+    return upcoming(matches, now).select("id", "src_ord", "starts_at", "home_team", "away_team", date, *winner_prices())
 
 
 def analysis_input(matches: DataFrame, news: DataFrame, league: Column) -> DataFrame:
@@ -46,6 +45,15 @@ def listing_status(listed: DataFrame) -> str:
     return "empty" if listed.isEmpty() else "ok"
 
 
+def listing(load: Callable[[], DataFrame]) -> tuple[str, DataFrame | None, str | None]:
+    """Status, rows and message of a list: ``ok``, ``empty``, or ``error`` where the feed fails."""
+    try:
+        listed = load()
+        return listing_status(listed), listed, None
+    except Exception as e:  # noqa: BLE001  whatever fails, the list says so
+        return "error", None, str(e)
+
+
 def league_game(spark, fetch, key: str | None, league: str, home: str, away: str) -> DataFrame | None:
     """The first match of a league with both names alike; nothing without a key, a match or a working feed."""
     if not key:

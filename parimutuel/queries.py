@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.dates import day, short
+from .functions.dates import day, day_and_time, short
 from .functions.labels import mapped
 from .functions.names import alike, normalized
 from .functions.numbers import fixed, implied_probability, plain, signed
@@ -257,10 +257,27 @@ def type_tag_filter(spark, sf_dir):
     return text_events(chunks).select("stream_id", "seq", "event.content")
 
 
-@query("SELECT doc_id, CASE WHEN starts_with(text, 'data: ') THEN text END AS frame FROM documents WHERE starts_with(text, 'The ')")
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN text END AS content FROM conversations")
 def prefix_filter(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where(F.startswith("text", F.lit("The ")))
-    return docs.select("doc_id", F.when(parsed(F.col("text")).isNotNull(), F.col("text")).alias("frame"))
+    """Users' turns as frames, answers as frames without the prefix or with broken JSON: only the first are parsed."""
+    turns = read(spark, sf_dir, "conversations")
+    whole = F.split(frame(F.struct(F.lit("text").alias("type"), F.col("text").alias("content"))), "\n\n")[0]
+    text = F.when(F.col("role") == "user", whole).when(F.col("turn") % 2 == 0, F.concat(F.lit("event: "), whole)).otherwise(F.substring(whole, 1, 12))
+    return turns.select("conv_id", "turn", parsed(text)["content"].alias("content"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, text, min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS stop FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS stream_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (stop IS NULL OR turn < stop), '') AS content, CASE WHEN max(stop) IS NULL THEN 'open' WHEN conv_id % 3 = 0 THEN 'error' ELSE 'done' END AS status,
+  max(CASE WHEN turn = stop AND conv_id % 3 = 0 THEN text END) AS message, max(CASE WHEN turn = stop AND conv_id % 3 <> 0 THEN CAST(turn AS VARCHAR) END) AS id FROM t GROUP BY conv_id
+""")
+def fold_with_errors(spark, sf_dir):
+    """The first answer ends a stream: as an error in every third one, with its text as message."""
+    turns = read(spark, sf_dir, "conversations")
+    answer, bad = F.col("role") == "assistant", F.col("conv_id") % 3 == 0
+    kind = F.when(answer & bad, "error").when(answer, "done").otherwise("text")
+    events = turns.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("ord"), kind.alias("type"), F.col("text").alias("content"), F.when(answer & ~bad, F.col("turn").cast("string")).alias("id"), F.when(answer & bad, F.col("text")).alias("message"))
+    return folded(events).select("stream_id", "content", "status", "message", "id")
 
 
 @query("SELECT o_orderkey, concat(strftime(o_orderdate, '%d'), ' ', ([" + ", ".join(f"'{m}'" for m in MONTHS) + "])[month(o_orderdate)], ' ', year(o_orderdate)) AS date, strftime(o_orderdate, '%d.%m.%Y, %H:%M:%S') AS stamp FROM orders")
@@ -291,6 +308,19 @@ def prompt_text(spark, sf_dir):
     return both.select("c_custkey", text.alias("prompt"))
 
 
+@query("SELECT o_orderkey, concat(strftime(o_orderdate, '%d'), ' ', m, ' ', year(o_orderdate), ' ', strftime(o_orderdate, '%H:%M')) AS long_date, concat(strftime(o_orderdate, '%d'), ' ', m, ' ', strftime(o_orderdate, '%H:%M')) AS short_date FROM (SELECT *, ([" + ", ".join(f"'{m}'" for m in MONTHS) + "])[month(o_orderdate)] AS m FROM orders)")
+def date_texts(spark, sf_dir):
+    at = F.col("o_orderdate")
+    return read(spark, sf_dir, "orders").select("o_orderkey", day_and_time(at).alias("long_date"), day_and_time(at, year=False).alias("short_date"))
+
+
+@query("SELECT o_orderkey, rank, CASE rank WHEN 1 THEN 70.0 WHEN 2 THEN 30.0 ELSE 0.0 END::DOUBLE AS two, CASE rank WHEN 1 THEN 50.0 WHEN 2 THEN 30.0 WHEN 3 THEN 20.0 ELSE 0.0 END::DOUBLE AS three FROM (SELECT o_orderkey, CAST(o_orderkey % 5 AS INT) AS rank FROM orders)")
+def bank_splits(spark, sf_dir):
+    bets = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).cast("int").alias("rank"))
+    two = rules.bank_split(bets, shares=rules.TWO_BETS).withColumnRenamed("stake", "two")
+    return rules.bank_split(two, shares=rules.THREE_BETS).withColumnRenamed("stake", "three")
+
+
 @query(f"SELECT l_partkey AS event_id, 'П1' AS market, price, CAST(CAST(p - (1.0::DOUBLE / price) * 100 AS DECIMAL(10, 2)) AS VARCHAR) AS edge FROM ({BEST_SQL}) JOIN (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p FROM part) ON l_partkey = p_partkey WHERE p - (1.0::DOUBLE / price) * 100 >= 5")
 def value_bets(spark, sf_dir):
     best = best_price(spark, sf_dir).select(F.col("l_partkey").alias("event_id"), F.lit("П1").alias("market"), "price")

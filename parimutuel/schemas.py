@@ -56,6 +56,7 @@ MARKET_LABELS = {
     "btts": "Обе команды забьют",
     "spreads": "Азиатский гандикап",
 }
+BOTH_SCORE, NEITHER = "Да (обе забьют)", "Нет"
 DISPLAY_ORDER = ["П1", "Ничья", "П2", "ТБ 2.5", "ТМ 2.5"]
 TILES = ["П1", "X", "П2"]
 MONTHS = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]
@@ -64,6 +65,8 @@ LEAGUE_SCAN_MARKETS = ["h2h", "totals", "btts"]
 HIGHLIGHT_FROM = 2.0
 HORIZON_MS = 7 * 24 * 60 * 60 * 1000
 HISTORY_ROWS, SHORT_BOOKMAKERS, SEARCH_RESULTS = 100, 4, 5
+ODDS_COUNT, IMPLIED_OPEN, IMPLIED_CLOSE = "Всего букмекеров: ", " (вероятность по рынку: ", "%)"
+MATCH_HEADING, LEAGUE_HEADING, DATE_HEADING = "## Матч: ", "**Лига:** ", "**Дата:** "
 NO_ODDS = "Данные букмекеров недоступны — используй исторические средние."
 NO_NEWS = "Tavily API не настроен — анализируй на основе коэффициентов и своих знаний."
 ODDS_HEADING = "## 📊 ВСЕ КОЭФФИЦИЕНТЫ БУКМЕКЕРОВ"

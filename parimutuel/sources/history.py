@@ -1,12 +1,15 @@
 """The history of analyses: a versioned Parquet table.
 
-A delete writes a new version beside the old one; readers take the newest version
-that is complete, so they never see a half-written table. One writer at a time.
+A version is a folder of parts. An insert adds a part, a delete writes a new version;
+both count once they are complete, so readers never see half of either. A part's name
+comes from the insert's key, and an insert that is run again changes nothing. One
+writer at a time.
 """
 
 from __future__ import annotations
 
 import re
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,42 +17,52 @@ from pyspark.sql import functions as F
 from ..operators.core import lookup, top, without
 from ..schemas import ANALYSIS, HISTORY_ROWS
 
+#: The part that a delete writes.
+FIRST = "all"
 LISTED = ["id", "league", "matchDate", "homeTeam", "awayTeam", "createdAt"]
 
 
 class History:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._dir = jvm.org.apache.hadoop.fs.Path(self.path)
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._dir = self._path(self.path)
         self._fs = self._dir.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _complete(self, path: str) -> list[str]:
+        """Names of the folders under ``path`` whose write has ended."""
+        at = self._path(path)
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(n for n in names if self._fs.exists(self._path(f"{path}/{n}/_SUCCESS")))
+
     def versions(self) -> list[int]:
-        """Numbers of the complete versions, newest last."""
-        if not self._fs.exists(self._dir):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._dir)]
+        """Numbers of the versions, newest last; one made by a delete counts once its first part is complete."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._dir)] if self._fs.exists(self._dir) else []
         found = [int(m[1]) for n in names if (m := re.fullmatch(r"v(\d+)", n))]
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return sorted(v for v in found if self._fs.exists(path(f"{self.path}/v{v:06d}/_SUCCESS")))
+        return sorted(v for v in found if v == 1 or self._fs.exists(self._path(f"{self._at(v)}/{FIRST}/_SUCCESS")))
+
+    def version(self) -> int:
+        return (self.versions() or [1])[-1]
 
     def _at(self, version: int) -> str:
         return f"{self.path}/v{version:06d}"
 
     def table(self) -> DataFrame:
-        versions = self.versions()
-        if not versions:
-            return self.spark.createDataFrame([], ANALYSIS)
-        return self.spark.read.schema(ANALYSIS).parquet(self._at(versions[-1]))
+        at = self._at(self.version())
+        parts = [f"{at}/{name}" for name in self._complete(at)]
+        return self.spark.read.schema(ANALYSIS).parquet(*parts) if parts else self.spark.createDataFrame([], ANALYSIS)
 
-    def append(self, analyses: DataFrame) -> None:
-        """Add rows; ``id`` and ``createdAt`` are made where the input lacks them."""
+    def append(self, analyses: DataFrame, key: str | None = None) -> None:
+        """Add rows, once a ``key``; ``id`` and ``createdAt`` are made where the input lacks them."""
+        at, name = self._at(self.version()), f"part-{key or uuid4().hex}"
+        if name in self._complete(at):
+            return
         if "id" not in analyses.columns:
             analyses = analyses.withColumn("id", F.uuid())
         if "createdAt" not in analyses.columns:
             analyses = analyses.withColumn("createdAt", F.current_timestamp())
         rows = analyses.select(*(F.col(f.name).cast(f.dataType) for f in ANALYSIS))
-        rows.write.mode("append").parquet(self._at((self.versions() or [1])[-1]))
+        rows.write.mode("overwrite").parquet(f"{at}/{name}")
 
     def latest(self) -> DataFrame:
         """The newest hundred without their texts; ties by id."""
@@ -63,5 +76,11 @@ class History:
         """Remove an analysis; returns how many rows went, 0 for an unknown id."""
         gone = self.get(id).count()
         if gone:
-            without(self.table(), "id", id).write.mode("overwrite").parquet(self._at(self.versions()[-1] + 1))
+            version = self.version()
+            at = self._at(version + 1)
+            # The keys of earlier inserts stay known, as empty parts.
+            for name in self._complete(self._at(version)):
+                if name != FIRST:
+                    self._fs.create(self._path(f"{at}/{name}/_SUCCESS")).close()
+            without(self.table(), "id", id).write.mode("overwrite").parquet(f"{at}/{FIRST}")
         return gone

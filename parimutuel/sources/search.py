@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import NEWS, SEARCH_RESULTS
 
+#: Calls under way at the same time.
+AT_ONCE = 8
 Search = Callable[[dict], tuple[int, str]]
 
 
@@ -26,5 +29,7 @@ def searched(search: Search, key: str | None, query: str) -> tuple[str | None, l
 
 
 def news(spark: SparkSession, search: Search, key: str | None, queries: dict[str, str]) -> DataFrame:
-    """A row per team of ``queries``; a few calls from the driver, as one match needs."""
-    return spark.createDataFrame([(team, *searched(search, key, query)) for team, query in queries.items()], NEWS)
+    """A row per team of ``queries``; a few calls from the driver at the same time, as one match needs."""
+    with ThreadPoolExecutor(max(1, min(len(queries), AT_ONCE))) as pool:
+        found = pool.map(lambda query: searched(search, key, query), queries.values())
+        return spark.createDataFrame([(team, *x) for team, x in zip(queries, found)], NEWS)

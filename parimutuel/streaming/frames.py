@@ -6,8 +6,10 @@ stream arrive cut at any place; what follows the last empty line waits for more.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import sha256
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -30,6 +32,26 @@ def text_events(chunks: DataFrame) -> DataFrame:
     return rows.select("stream_id", "seq", F.struct(F.lit("text").alias("type"), F.col("text").alias("content"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("message")).alias("event"))
 
 
+Model = Callable[[str], Iterable[tuple[str, str | None, str | None]]]
+SAID = "stream_id string, seq long, type string, delta_type string, text string"
+
+
+def said(prompts: DataFrame, model: Model) -> DataFrame:
+    """What a model streams for each prompt (stream_id, prompt), as chunks for ``text_events``.
+
+    ``model`` gives (type, delta_type, text) for a prompt. A batch table or a stream:
+    ``said(spark.readStream…, model)`` is a source of chunks.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.partition(" ")[0] for f in SAID.split(", ")]
+        for batch in batches:
+            for stream_id, prompt in zip(batch["stream_id"], batch["prompt"]):
+                yield pd.DataFrame([(stream_id, k, *chunk) for k, chunk in enumerate(model(prompt))], columns=names)
+
+    return prompts.select("stream_id", "prompt").mapInPandas(ask, SAID)
+
+
 def parsed(text: Column) -> Column:
     """The event of a frame; null without the prefix or with bad JSON."""
     event = F.from_json(F.substring(text, len(PREFIX) + 1, 1 << 30), EVENT)
@@ -98,13 +120,20 @@ def framed(events: DataFrame) -> DataFrame:
     return events.select("stream_id", frame(F.struct("type", "content", "id", "message")).alias("value"))
 
 
-def stored(events: DataFrame, history, checkpoint: str, analyses):
+def stored(events: DataFrame, history, checkpoint: str, analyses, told: Callable[[DataFrame], None] | None = None):
     """Start a query that appends the analysis of each stream that is done, then is ready for more.
 
-    ``analyses`` turns done events (stream_id, id) into rows of the history.
+    ``analyses`` turns done events (stream_id, id) into rows of the history. A batch
+    that is run again is not appended again. Once its rows are stored, ``told`` gets
+    the batch's ``done`` frames (stream_id, value) to send.
     """
-
-    def keep(batch: DataFrame, _: int) -> None:
-        history.append(analyses(batch.where("type = 'done'").select("stream_id", "id")))
+    name = sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def keep(batch: DataFrame, number: int) -> None:
+        done = batch.where("type = 'done'")
+        if not done.isEmpty():
+            history.append(analyses(done.select("stream_id", "id")), key=f"{name}-{number}")
+            if told:
+                told(framed(done))
 
     return events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)

@@ -9,6 +9,8 @@ from parimutuel.functions.dates import day_and_time, instant, within_horizon
 from parimutuel.functions.names import alike
 from parimutuel.operators import matches as M
 from parimutuel.operators import rules
+from parimutuel import schemas
+from parimutuel.operators import matching
 from parimutuel.operators.matching import named_matches, sport_key, with_league_label
 from parimutuel.operators.text import odds_text, prompt, search_text, short_odds_text
 from parimutuel.plans.flows import analysis_input, finished, upcoming_list
@@ -175,3 +177,20 @@ def test_rules(spark, f1):
     assert scores == {("П1", "1:0"): ["П1/П1"], ("П1", "2:0"): ["П1/П1"], ("П1", "2:1"): ["П1/П1", "X/П1"]}
     estimates = spark.createDataFrame([("G1", "П1", 60.6), ("G1", "П2", 27.0)], "event_id string, market string, p double")
     assert [r.market for r in rules.value_bets(best, estimates).collect()] == ["П1"]
+
+
+def test_repeated_ids_are_listed_once_each(f1):
+    twice = f1.where("id = 'G1'").union(f1.where("id = 'G1'"))
+    assert upcoming_list(twice, F.lit(NOW).cast("timestamp")).count() == 2
+
+
+def test_both_score_rule(spark):
+    best = spark.createDataFrame([("e", schemas.BOTH_SCORE, 1.79), ("f", schemas.BOTH_SCORE, 1.8)], "event_id string, market string, price double")
+    assert {(r.event_id, r.score) for r in rules.likely_scores(best).collect()} == {("e", s) for s in ("2:1", "3:1", "1:1", "2:2")}
+
+
+def test_many_wanted_matches_need_a_block(spark, f1, monkeypatch):
+    monkeypatch.setattr(matching, "FEW", 1)
+    wanted = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "want_id int, want_home string, want_away string")
+    with pytest.raises(ValueError):
+        named_matches(f1, wanted)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parimutuel.plans import session
-from parimutuel.plans.flows import league_game, listing_status, upcoming_list
+from parimutuel.plans.flows import league_game, listing, listing_status, upcoming_list
 from parimutuel.schemas import ANALYSIS
 from parimutuel.sources import files, odds_api, search, snapshots
 from parimutuel.sources.history import LISTED, History
@@ -193,3 +193,88 @@ def test_events_are_framed_and_stored(spark, tmp_path):
     finally:
         query.stop()
     assert [r.id for r in history.table().collect()] == ["7"]
+
+
+def analysis(spark, id):
+    return spark.createDataFrame([(id, "l", "d", "h", "a", "r", None)], "id string, league string, matchDate string, homeTeam string, awayTeam string, result string, odds string")
+
+
+def test_inserts_are_whole_and_count_once(spark, tmp_path):
+    path = tmp_path / "h"
+    h = History(spark, str(path))
+    for _ in range(2):
+        h.append(analysis(spark, "1"), key="k")
+    h.append(analysis(spark, "2"))
+    assert sorted(r.id for r in h.table().collect()) == ["1", "2"]
+    # A write that has not ended is not read.
+    broken = path / "v000001" / "part-half"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"no parquet")
+    assert h.table().count() == 2
+    assert h.delete("2") == 1
+    h.append(analysis(spark, "1"), key="k")  # still known after the delete
+    assert [r.id for r in h.table().collect()] == ["1"] and h.versions() == [1, 2]
+
+
+def test_a_stored_batch_is_told_once_it_is_kept(spark, tmp_path):
+    events = spark.createDataFrame([("s", "text", "ab", None, None), ("s", "done", None, "7", None)], "stream_id string, type string, content string, id string, message string")
+    source, told = str(tmp_path / "events"), []
+    events.write.parquet(source)
+    history = History(spark, str(tmp_path / "kept"))
+    fill = [F.lit("x").alias(c) for c in ("league", "matchDate", "homeTeam", "awayTeam", "result", "odds")]
+
+    def tell(done):
+        told.extend((r.value, history.table().count()) for r in done.collect())
+
+    start = lambda: frames.stored(spark.readStream.schema(events.schema).parquet(source), history, str(tmp_path / "c"), lambda done: done.select("id", *fill), tell).start()
+    for commit in (tmp_path / "c" / "commits" / "0", None):
+        query = start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        if commit:  # as if it had failed before the end: the batch runs again
+            for f in (commit, commit.with_name(".0.crc")):
+                f.unlink(missing_ok=True)
+    assert [r.id for r in history.table().collect()] == ["7"]
+    assert told[0] == ('data: {"type":"done","id":"7"}\n\n', 1)
+
+
+def test_a_model_is_a_source_of_chunks(spark, tmp_path):
+    def model(prompt):
+        yield "message_start", None, None
+        for word in prompt.split():
+            yield "content_block_delta", "text_delta", word
+
+    prompts = spark.createDataFrame([("a", "one two"), ("b", "three")], "stream_id string, prompt string")
+    want = {("a", 1, "one"), ("a", 2, "two"), ("b", 1, "three")}
+    assert {(r.stream_id, r.seq, r.event.content) for r in frames.text_events(frames.said(prompts, model)).collect()} == want
+    source = str(tmp_path / "prompts")
+    prompts.write.parquet(source)
+    chunks = frames.said(spark.readStream.schema(prompts.schema).parquet(source), model)
+    query = frames.text_events(chunks).writeStream.format("memory").queryName("said").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        query.processAllAvailable()
+        assert {(r.stream_id, r.seq, r.event.content) for r in spark.table("said").collect()} == want
+    finally:
+        query.stop()
+
+
+def test_searches_run_at_the_same_time(spark):
+    from threading import Barrier
+
+    both = Barrier(2, timeout=20)
+
+    def ask(_):
+        both.wait()
+        return 200, json.dumps({"answer": "x", "results": []})
+
+    assert {r.team: r.answer for r in search.news(spark, ask, "k", {"a": "1", "b": "2"}).collect()} == {"a": "x", "b": "x"}
+
+
+def test_listing(spark):
+    def fail():
+        raise odds_api.FeedError("refused")
+
+    assert listing(fail) == ("error", None, "refused")
+    assert listing(lambda: spark.range(0))[0] == "empty" and listing(lambda: spark.range(2))[1].count() == 2
