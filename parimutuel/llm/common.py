@@ -6,7 +6,7 @@ further columns, whatever their names, neither travel nor clash.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checkpoint import cut, shared_folder  # noqa: F401  cut is for the operators
+
 #: Rows handled at once inside a task; bounds the memory of a Python worker.
 SLICE_BYTES = 2 << 20
 
@@ -24,17 +26,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+class Tables:
+    """Intermediate Parquet tables in the shared folder, deleted when the block ends.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary one is made.
+    Takes a fraction of a checkpoint's room. What leaves the block must not read them.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def store(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        at = f"{self.path}/{self.n}"
+        df.write.option("compression", "zstd").parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def __exit__(self, *_) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -49,6 +62,16 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.join(right, [*keys, "hash of keys"], how).drop("hash of keys")
 
 
+def text_hash():
+    """XXH64 of ``text``, as ``hash_of`` gives it; tells apart different texts of one ``doc_id``."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def hash_of(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_BYTES of text each, one row at least."""
     if not batch.num_rows:

@@ -4,15 +4,17 @@ A byte is eight binary decisions, each with its own context tree over the bytes
 before it. Every node keeps a Krichevsky-Trofimov estimate, and the weights between
 a node and its children follow from how well each codes the whole training corpus.
 A text's score is the sum of the logarithms of the mixed predictions of its bytes
-and of the end.
-
-Counting covers every training text: runs of ``DEPTH + 1`` bytes are counted in the
-tasks and added up by a shuffle; from them one grouped pass a depth gives the nodes
-of the next shallower depth, the counts and code lengths of children added up. For
-scoring, all nodes are kept: the last two context bytes deal them to shards of about
-2**CELL_BITS cells, and one pass over the texts a shard broadcasts its table and adds
-up the predictions of the bytes that fall to it. Where training saw no node, the
-deepest one that it saw decides, so every byte has a probability.
+and of the end; a node that training never saw predicts one half, as its empty
+counts say.
+
+No table of nodes leaves the cluster. The texts are kept in blocks; of each block the
+distinct runs (``depth`` bytes of context, nearest first, then the byte) are counted,
+and a shuffle adds them up. Runs that share their SPLIT nearest bytes are sorted into
+one place, where all deeper nodes and their mixtures follow from them; at most
+256**(depth + 1 - SPLIT) runs can share these bytes. The shallower nodes come from
+grouping what the deeper ones add to them, and go back down by joins. So each distinct
+run of the corpus gets its exact logarithm, which is joined to the blocks that hold
+it, and every block's texts are then added up.
 
 The base score is the contract's unigram model. Words are counted exactly (by 64-bit
 hash); the counts of the COMMON most frequent ones are broadcast, those of all others
@@ -27,23 +29,24 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, pa_schema
+from .common import LOWER, Tables, cut, pa_schema, spread_join
 
-#: Bytes of context, and bits of the cells' number in a shard's table: 12 bytes each.
-DEPTH, CELL_BITS = 5, 22
-#: Part of a table's cells that nodes fill.
-LOAD = 0.6
+#: Bytes of context, and how many of the nearest bring runs together.
+DEPTH, SPLIT = 5, 3
+#: Bytes of texts in a block.
+BLOCK = 32 << 20
 #: Frequent words whose counts are broadcast: 16 bytes each.
 COMMON = 1 << 18
 #: Distinct runs or words that a task gathers before it hands them on.
@@ -51,7 +54,7 @@ HELD = 1 << 19
 #: Texts are read in parts of about so many bytes.
 PART = 1 << 20
 END = b"\xff"
-MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id):
@@ -62,26 +65,31 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
 
 
-def runs(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each byte's run (contexts and itself, the byte last) and the number of its text, in parts."""
-    lengths = np.array([depth + len(t) + 1 for t in texts])
-    buffer = np.frombuffer(b"".join([END * depth + t + END for t in texts]), np.uint8)
-    # A text's last places have no run: what follows them is the next text's padding.
-    text = np.repeat(np.tile(np.array([0, -1], np.int32), len(texts)), np.column_stack([lengths - depth, np.full(len(texts), depth)]).ravel())
-    text[text == 0] = np.repeat(np.arange(len(texts), dtype=np.int32), lengths - depth)
+def pieces(text: bytes, depth: int) -> Iterator[bytes]:
+    """A text and its end in parts of bounded size, each after the bytes before it."""
+    padded = END * depth + text + END
+    for at in range(0, len(text) + 1, PART):
+        yield padded[at : at + depth + PART]
+
+
+def runs(parts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each byte's run (its contexts, nearest first, and the byte last) and the number of its piece."""
+    buffer = np.frombuffer(b"".join(parts), np.uint8)
+    of = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
     for a in range(0, len(buffer) - depth, PART):
         b = min(a + PART, len(buffer) - depth)
-        g = np.zeros(b - a, np.uint64)
-        for k in range(depth + 1):
-            g <<= np.uint64(8)
-            g |= buffer[a + k : b + k]
-        inside = text[a:b] >= 0
-        yield g[inside], text[a:b][inside]
+        run = np.zeros(b - a, np.int64)
+        for k in (*range(depth)[::-1], depth):
+            run <<= 8
+            run |= buffer[a + k : b + k]
+        # What reaches from one piece into the next is no run.
+        inside = of[a:b] == of[a + depth : b + depth]
+        yield run[inside], of[a:b][inside]
 
 
 def added(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, sorted, with the sums of their values."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return (keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values))
@@ -100,48 +108,95 @@ def grouped(batch: pa.RecordBatch, column: int, size: int = PART) -> Iterator[tu
         yield first, held
 
 
-def counted_runs(docs: DataFrame, depth: int) -> DataFrame:
-    """(run, n) of the texts, partly added up."""
-    out = pa_schema(docs.sparkSession, "run long, n long")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, more = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-        for batch in batches:
-            for _, texts in grouped(batch, 1, 2 * PART):
-                more += [np.unique(np.concatenate([g for g, _ in runs(texts, depth)]), return_counts=True)]
-                if len(more) >= 4:
-                    keys, counts = added(np.concatenate([keys, *(k for k, _ in more)]), np.concatenate([counts, *(c for _, c in more)]))
-                    more = []
-                if len(keys) >= HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], schema=out)
-                    keys, counts = keys[:0], counts[:0]
-        keys, counts = added(np.concatenate([keys, *(k for k, _ in more)]), np.concatenate([counts, *(c for _, c in more)]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], schema=out)
+def text_name(text: bytes) -> int:
+    """A signed 64-bit name for a lowered text."""
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
-    return docs.select("doc_id", "text").mapInArrow(count, "run long, n long")
 
+PIECES = "block long, name long, part int, times long, data binary"
 
-#: A node of the binary trees: context bytes, then the bits of the byte so far after a leading 1.
-NODE = "node long, zeros long, ones long, inner double"
 
+def blocks(docs: DataFrame, depth: int) -> DataFrame:
+    """The texts' pieces in blocks, once a block, and how often training has them.
 
-def decisions(counts: DataFrame) -> DataFrame:
-    """The deepest nodes' counts: eight decisions of every run."""
-    out = pa_schema(counts.sparkSession, NODE)
+    A task numbers its blocks as it reads, so the result has to be stored before use.
+    """
+    out = pa_schema(docs.sparkSession, PIECES)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        block, size = TaskContext.get().partitionId() << 32, 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            nonlocal block
+            rows, size = [], 0
+            for name, (text, times) in held.items():
+                for k, piece in enumerate(pieces(text, depth)):
+                    rows.append((block, name, k, times, piece))
+                    size += len(piece)
+                    if size >= BLOCK:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+                        rows, size, block = [], 0, block + 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+                block += 1
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 16):
-                run = batch.column(0).slice(at, 1 << 16).to_numpy()
-                n = batch.column(1).slice(at, 1 << 16).to_numpy()
-                byte, context = run & 255, run >> 8
-                nodes = np.concatenate([context << 8 | 1 << k | byte >> 8 - k for k in range(8)])
-                bits = np.concatenate([byte >> 7 - k & 1 for k in range(8)])
-                every = np.tile(n, 8)
-                node, zeros, ones = added(nodes, every * (1 - bits), every * bits)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(zeros), pa.array(ones), pa.array(np.zeros(len(node)))], schema=out)
+            training = batch.column(1).to_pylist()
+            for first, texts in grouped(batch, 0):
+                for k, text in enumerate(texts, first):
+                    name = text_name(text)
+                    if name not in held:
+                        held[name] = [text, 0]
+                        size += len(text) + 1
+                    held[name][1] += training[k]
+                if size >= BLOCK:
+                    yield from emit()
+                    held, size = {}, 0
+        yield from emit()
+
+    return docs.select("text", (~held_out(F.col("doc_id"))).alias("training")).mapInArrow(deal, PIECES)
+
+
+def counted_runs(dealt: DataFrame, depth: int) -> DataFrame:
+    """(block, run, n): the distinct runs of each block, and how often training has them there."""
+    out = pa_schema(dealt.sparkSession, "block long, run long, n long")
 
-    return counts.select("run", "n").mapInArrow(expand, NODE)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, more = None, [], []
+
+        def emit() -> pa.RecordBatch:
+            run, n = added(*map(np.concatenate, zip(*more)))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(run), block)), pa.array(run), pa.array(n)], schema=out)
+
+        def take(pieces_held: list[tuple[int, bytes]]) -> None:
+            for times in {t for t, _ in pieces_held}:
+                for run, _ in runs([d for t, d in pieces_held if t == times], depth):
+                    distinct, n = np.unique(run, return_counts=True)
+                    more.append((distinct, times * n))
+            if len(more) >= 16:
+                more[:] = [added(*map(np.concatenate, zip(*more)))]
+
+        size = 0
+        for batch in batches:
+            of, times = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            for k in range(batch.num_rows):
+                if of[k] != block or size >= 2 * PART:
+                    if parts:
+                        take(parts)
+                        parts, size = [], 0
+                    if of[k] != block:
+                        if more:
+                            yield emit()
+                            more.clear()
+                        block = int(of[k])
+                parts.append((int(times[k]), batch.column(4)[k].as_py()))
+                size += len(parts[-1][1])
+        if parts:
+            take(parts)
+            yield emit()
+
+    return dealt.mapInArrow(count, "block long, run long, n long")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -158,214 +213,187 @@ def estimated(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def weighed(zeros: np.ndarray, ones: np.ndarray, inner: np.ndarray, deepest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A node's weighted code length, and the share that its own estimate has in it."""
+def weighed(zeros: np.ndarray, ones: np.ndarray, inner: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """A node's weighted code length, and the share of its own estimate in it; the deepest have nothing inside."""
     own = estimated(zeros.astype(float), ones.astype(float))
-    if deepest:
+    if inner is None:
         return own, np.ones(len(own))
     coded = np.logaddexp(own, inner) - math.log(2)
     return coded, np.exp(own - math.log(2) - coded)
 
 
-def parents(nodes: DataFrame, depth: int, deepest: bool) -> DataFrame:
-    """The nodes of the next shallower depth: counts and code lengths of children, not yet added up."""
-    out = pa_schema(nodes.sparkSession, NODE)
-
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, zeros, ones, inner = (batch.column(i).to_numpy() for i in range(4))
-            coded, _ = weighed(zeros, ones, inner, deepest)
-            yield pa.RecordBatch.from_arrays([pa.array(node & (1 << 8 * depth) - 1), pa.array(zeros), pa.array(ones), pa.array(coded)], schema=out)
-
-    return nodes.mapInArrow(shorten, NODE)
-
+class Level(NamedTuple):
+    """One bit of the runs' bytes at depth ``split``: what deeper nodes give each run, and their roots."""
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = h * MIX
-    h ^= h >> np.uint64(32)
-    h *= MIX2
-    h ^= h >> np.uint64(29)
-    return h
+    p: np.ndarray  # of the run's own bit
+    one: np.ndarray  # whether that bit is one
+    root: np.ndarray  # each run's place among the nodes below
+    node: np.ndarray  # context bytes, then the bits of the byte so far after a leading 1
+    zeros: np.ndarray
+    ones: np.ndarray
+    coded: np.ndarray
 
 
-def hashed(nodes: np.ndarray, depth: int) -> np.ndarray:
-    return mixed(nodes.astype(np.uint64) + np.uint64(depth + 1 << 56))
-
+def inside(run: np.ndarray, n: np.ndarray, depth: int, split: int) -> Iterator[Level]:
+    """For each bit, all nodes from ``depth`` up to ``split`` that sorted, distinct, whole runs make up."""
+    byte = run & 255
+    for k in range(8):
+        one = byte >> 7 - k & 1
+        own = ((run >> 8) << k) | byte >> 8 - k  # the context and k bits
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        node, at = own[first], np.cumsum(np.diff(own, prepend=-1) != 0) - 1
+        zeros, ones = np.add.reduceat(n * (1 - one), first), np.add.reduceat(n * one, first)
+        inner, p = None, np.full(len(run), 0.5)
+        for d in range(depth, split - 1, -1):
+            coded, share = weighed(zeros, ones, inner)
+            zero = (zeros + 0.5) / (zeros + ones + 1.0)
+            p += share[at] * (np.where(one, 1 - zero[at], zero[at]) - p)
+            if d > split:
+                node, back = np.unique(node >> 8 + k << k | node & (1 << k) - 1, return_inverse=True)
+                zeros, ones, inner = (np.bincount(back, x, len(node)) for x in (zeros, ones, coded))
+                at = back[at]
+        yield Level(p, one, at, node >> k << 8 | 1 << k | node & (1 << k) - 1, zeros, ones, coded)
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], column: int, least: int = 1 << 16) -> Iterator[pa.Table]:
+    """Sorted batches as tables of some size that never part equal keys."""
+    held, rows = [], 0
+    for batch in batches:
+        if rows >= least and batch.num_rows:
+            key = batch.column(column).to_numpy()
+            end = int(np.searchsorted(key, held[-1].column(column)[-1].as_py(), side="right"))
+            held.append(batch.slice(0, end))
+            if end < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, rows = [], 0
+            batch = batch.slice(end)
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
 
-def placed(nodes: DataFrame, depth: int, deepest: bool) -> DataFrame:
-    """(pair, h, zero, share): each node's last two context bytes (-1 for fewer), its hash, and what it predicts."""
-    schema = "pair int, h long, zero float, share float"
-    out = pa_schema(nodes.sparkSession, schema)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, zeros, ones, inner = (batch.column(i).to_numpy() for i in range(4))
-            _, share = weighed(zeros, ones, inner, deepest)
-            pair = node >> 8 & 0xFFFF if depth > 1 else np.full(len(node), -1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair.astype(np.int32), hashed(node, depth).view(np.int64), ((zeros + 0.5) / (zeros + ones + 1.0)).astype(np.float32), share.astype(np.float32))], schema=out)
+#: A node at a depth, and what its own level and deeper ones say of it.
+NODE = "node long, zeros double, ones double, coded double"
 
-    return nodes.mapInArrow(place, schema)
 
+def near(runs_of: DataFrame, depth: int, split: int) -> DataFrame:
+    """``runs_of`` with the key that brings together those with the same ``split`` nearest bytes."""
+    return runs_of.withColumn("key", F.shiftright("run", 8 * (depth + 1 - split)))
 
-def shard_of(pair, shards: int):
-    """The shard of two context bytes, for columns and arrays alike."""
-    spread = pair * 40503 % 65536 * shards
-    return F.floor(spread / 65536) if not isinstance(spread, np.ndarray) else spread >> 16
 
+def deep_nodes(counts: DataFrame, depth: int, split: int) -> DataFrame:
+    """The nodes of depth ``split``, from (run, n)."""
+    out = pa_schema(counts.sparkSession, NODE)
 
-class Model:
-    """A table of nodes, and the predictions it gives.
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_keys(batches, 0):
+            for level in inside(table["run"].to_numpy(), table["n"].to_numpy(), depth, split):
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip((level.node, level.zeros, level.ones, level.coded), out)], schema=out)
 
-    Nodes lie in their hash's cell or the next free one. A cell is one 64-bit word, a
-    node's probability of a zero as a float of 32 bits, its share as one of 16 and 16
-    bits of its hash, and 32 further bits of the hash. A table that its nodes would
-    crowd is made larger, so none is left out.
-    """
+    keyed = near(counts, depth, split).select("key", "run", "n")
+    return keyed.repartition("key").sortWithinPartitions("key", "run").mapInArrow(build, NODE)
 
-    def __init__(self, depth: int, bits: int, nodes: pa.Table):
-        h = nodes.column("h").to_numpy().view(np.uint64)
-        self.depth, self.bits = depth, max(bits, int(len(h) / LOAD).bit_length())
-        self.name = uuid.uuid4().hex
-        zero, share = (nodes.column(c).to_numpy() for c in ("zero", "share"))
-        words = zero.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | share.astype(np.float16).view(np.uint16).astype(np.uint64) << np.uint64(16) | h >> np.uint64(48)
-        tags = (h >> np.uint64(16)).astype(np.uint32)
-        self.words, self.tags = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint32)
-        low = (1 << self.bits) - 1
-        at, left = (h & np.uint64(low)).view(np.int64), np.arange(len(h))
-        while len(left):
-            free = np.flatnonzero(self.words[at] == 0)
-            cells, first = np.unique(at[free], return_index=True)
-            put = free[first]
-            self.words[cells], self.tags[cells] = words[left[put]], tags[left[put]]
-            stay = np.ones(len(left), bool)
-            stay[put] = False
-            at, left = at[stay] + 1 & low, left[stay]
-
-    def found(self, h: np.ndarray) -> np.ndarray:
-        """The words of the nodes with these hashes; zero where there is none."""
-        low = (1 << self.bits) - 1
-        at, left = (h & np.uint64(low)).view(np.int64), np.arange(len(h))
-        out, top, tag = np.zeros(len(h), np.uint64), h >> np.uint64(48), (h >> np.uint64(16)).astype(np.uint32)
-        while len(left):
-            word = self.words[at]
-            hit = (word & np.uint64(0xFFFF) == top[left]) & (self.tags[at] == tag[left])
-            hit &= word != 0
-            out[left[hit]] = word[hit]
-            on = ~hit & (word != 0)
-            at, left = at[on] + 1 & low, left[on]
-        return out
-
-    def logs(self, run: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each run's byte after its contexts."""
-        byte = run & np.uint64(255)
-        contexts = [((run >> np.uint64(8) & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)) + np.uint64(d + 1 << 56) for d in range(self.depth + 1)]
-        total = np.zeros(len(run))
-        for k in range(8):
-            one = (byte >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
-            prefix = np.uint64(1 << k) | byte >> np.uint64(8 - k)
-            p, seen = np.full(len(run), 0.5, np.float32), np.zeros(len(run), bool)
-            for d in range(self.depth, -1, -1):
-                word = self.found(mixed(contexts[d] + prefix))
-                parts = word.view(np.uint16).reshape(-1, 4)
-                hit = word != 0
-                own = word.view(np.float32)[1::2]
-                own = np.where(one, 1 - own, own)
-                share = np.where(seen, parts[:, 1].view(np.float16), 1)
-                p = np.where(hit, p + share * (own - p), p)
-                seen |= hit
-            total += np.log10(p)
-        return total
-
-
-class Cached:
-    """A model with the predictions it gave lately: two places for each run, the older one given up first."""
-
-    BITS = 20
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.keys = np.full((2, 1 << self.BITS), ~np.uint64(0))
-        self.values = np.zeros((2, 1 << self.BITS), np.float32)
-
-    def logs(self, run: np.ndarray) -> np.ndarray:
-        at = (run * MIX >> np.uint64(64 - self.BITS)).view(np.int64)
-        out = self.values[0][at]
-        missed = np.flatnonzero(self.keys[0][at] != run)
-        again = at[missed]
-        second = self.keys[1][again] == run[missed]
-        out[missed[second]] = self.values[1][again[second]]
-        missed = missed[~second]
-        if len(missed):
-            new, back = np.unique(run[missed], return_inverse=True)
-            logs = np.concatenate([self.model.logs(new[i : i + (1 << 15)]) for i in range(0, len(new), 1 << 15)]).astype(np.float32)
-            place = (new * MIX >> np.uint64(64 - self.BITS)).view(np.int64)
-            self.keys[1][place], self.values[1][place] = self.keys[0][place], self.values[0][place]
-            self.keys[0][place], self.values[0][place] = new, logs
-            out[missed] = logs[back]
-        return out
-
-
-#: The cache that a worker process keeps from task to task.
-KEPT: dict[str, Cached] = {}
-
-
-def cached(model: Model) -> Cached:
-    if model.name not in KEPT:
-        KEPT.clear()
-        KEPT[model.name] = Cached(model)
-    return KEPT[model.name]
-
-
-def tree(docs: DataFrame, depth: int) -> DataFrame:
-    """All nodes of the context trees of these texts, as ``placed`` gives them."""
-    counts = counted_runs(docs, depth).groupBy("run").agg(F.sum("n").alias("n"))
-    nodes = decisions(cut(counts))
-    every = None
-    # One Python function a stage: each worker of a task takes memory of its own.
-    for d in range(depth, -1, -1):
-        level = nodes.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "inner")))
-        part = placed(level, d, d == depth)
-        every = part if every is None else every.union(part)
-        nodes = parents(level, d, d == depth)
-    return every
-
-
-def trained(docs: DataFrame, depth: int, bits: int) -> Model:
-    """The context trees of all these texts in one table."""
-    return Model(depth, bits, tree(docs, depth).select("h", "zero", "share").toArrow())
 
+def parent(node):
+    """The node with the farthest context byte left out, for columns."""
+    return F.shiftleft(F.shiftright(node, 16), 8).bitwiseOR(node.bitwiseAND(255))
 
-def text_name(text: bytes) -> int:
-    """A signed 64-bit name for a lowered text."""
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
+def weighed_level(below: DataFrame) -> DataFrame:
+    """(node, zeros, ones, coded, zero, share) of the parents of these nodes."""
+    schema = NODE + ", zero double, share double"
+    out = pa_schema(below.sparkSession, schema)
 
-def predicted(docs: DataFrame, nodes: DataFrame, depth: int, bits: int) -> DataFrame:
-    """(name, score) of each distinct text: one pass over the texts a shard of the nodes."""
-    sc = docs.sparkSession.sparkContext
-    schema = "name long, shard int, part double"
-    out = pa_schema(docs.sparkSession, schema)
-    shards = max(1, math.ceil(nodes.count() / (LOAD * (1 << bits))))
-    of = shard_of(np.arange(1 << 16), shards)
-    every = None
-    for shard in range(shards):
-        own = nodes.where((F.col("pair") < 0) | (shard_of(F.col("pair").cast("long"), shards) == shard))
-        shared = sc.broadcast(Model(depth, bits, own.select("h", "zero", "share").toArrow()))
-
-        def run(batches: Iterator[pa.RecordBatch], shard: int = shard, shared=shared) -> Iterator[pa.RecordBatch]:
-            model, mine = cached(shared.value), of == shard
-            for batch in batches:
-                for _, texts in grouped(batch, 1):
-                    score = np.zeros(len(texts))
-                    for g, text in runs(texts, depth):
-                        inside = mine[(g >> np.uint64(8) & np.uint64(0xFFFF)).view(np.int64)]
-                        score += np.bincount(text[inside], model.logs(g[inside]), len(texts))
-                    yield pa.RecordBatch.from_arrays([pa.array([text_name(t) for t in texts], pa.int64()), pa.array(np.full(len(texts), shard, np.int32)), pa.array(score)], schema=out)
-
-        part = cut(docs.select("doc_id", "text").mapInArrow(run, schema))
-        shared.destroy()
-        every = part if every is None else every.union(part)
-    return every.groupBy("name", "shard").agg(F.max("part").alias("part")).groupBy("name").agg(F.sum("part").alias("score"))
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, zeros, ones, inner = (batch.column(i).to_numpy() for i in range(4))
+            coded, share = weighed(zeros, ones, inner)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, zeros, ones, coded, (zeros + 0.5) / (zeros + ones + 1.0), share)], schema=out)
+
+    return below.groupBy(parent(F.col("node")).alias("node")).agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "coded"))).mapInArrow(weigh, schema)
+
+
+def outside(deep: DataFrame, split: int, tables: Tables) -> DataFrame:
+    """(node, a, b): a zero's probability is ``a + b p`` where the nodes from ``split`` on give it ``p``."""
+    levels = [deep]
+    for _ in range(split):
+        levels.append(tables.store(weighed_level(levels[-1].select("node", "zeros", "ones", "coded"))))
+    given = None
+    for level in levels[:0:-1]:
+        a, b = F.col("share") * F.col("zero"), 1 - F.col("share")
+        if given is None:
+            given = level.select("node", a.alias("a"), b.alias("b"))
+        else:
+            above = given.select(F.col("node").alias("up"), F.col("a").alias("up_a"), F.col("b").alias("up_b"))
+            given = level.join(above, parent(F.col("node")) == F.col("up")).select("node", (F.col("up_a") + F.col("up_b") * a).alias("a"), (F.col("up_b") * b).alias("b"))
+    if given is None:
+        return deep.select("node", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
+    above = given.select(F.col("node").alias("up"), "a", "b")
+    return deep.select("node").join(above, parent(F.col("node")) == F.col("up")).select("node", "a", "b")
+
+
+def logarithms(counts: DataFrame, around: DataFrame, depth: int, split: int) -> DataFrame:
+    """(run, log): log10 of the probability of each run's byte after its contexts."""
+    out = pa_schema(counts.sparkSession, "run long, log double")
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_keys(batches, 0):
+            here = table["a"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
+            run = table["run"].to_numpy()
+            node, a, b = run[~here], table["a"].to_numpy()[~here], table["b"].to_numpy()[~here]
+            run, n = run[here], table["n"].to_numpy()[here]
+            total = np.zeros(len(run))
+            for level in inside(run, n, depth, split) if len(run) else ():
+                at = np.searchsorted(node, level.node)[level.root]
+                total += np.log10(np.where(level.one, 1 - a[at] - b[at], a[at]) + b[at] * level.p)
+            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(total)], schema=out)
+
+    none = F.lit(None).cast("double")
+    rows = near(counts, depth, split).select("key", "run", "n", none.alias("a"), none.alias("b"))
+    # A node's row stands among the runs of its key.
+    nodes = around.select(F.shiftright("node", 8).alias("key"), F.col("node").alias("run"), F.lit(0).cast("long").alias("n"), "a", "b")
+    return rows.union(nodes).repartition("key").sortWithinPartitions("key", "run").mapInArrow(predict, "run long, log double")
+
+
+def added_up(dealt: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
+    """(name, score) of each text, from the logarithms of the runs of its blocks."""
+    out = pa_schema(dealt.sparkSession, "name long, part int, score double")
+
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        order = np.argsort(known["run"].to_numpy())
+        every, logs, data = known["run"].to_numpy()[order], known["log"].to_numpy()[order], texts["data"].to_pylist()
+        total = np.zeros(len(data))
+        # A few pieces at once: their runs' places take many times their own room.
+        ends = np.cumsum([len(d) for d in data])
+        cuts = [0, *np.unique(np.searchsorted(ends, np.arange(2 * PART, ends[-1], 2 * PART)) + 1), len(data)]
+        for a, b in zip(cuts, cuts[1:]):
+            for run, of in runs(data[a:b], depth) if a < b else ():
+                coded = pa.array(run).dictionary_encode()
+                distinct = coded.dictionary.to_numpy()
+                order = np.argsort(distinct)  # places that are looked up in order are near each other
+                here = np.empty(len(distinct), logs.dtype)
+                here[order] = logs[np.searchsorted(every, distinct[order])]
+                total[a:b] += np.bincount(of, here[coded.indices.to_numpy()], b - a)
+        return pa.Table.from_arrays([texts["name"].combine_chunks(), texts["part"].combine_chunks(), pa.array(total)], schema=out)
+
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "name long, part int, score double")
+    return scored.groupBy("name", "part").agg(F.max("score").alias("score")).groupBy("name").agg(F.sum("score").alias("score"))
+
+
+def predicted(docs: DataFrame, depth: int, split: int = SPLIT) -> DataFrame:
+    """(name, score) of each distinct text, learned from those that are not held out."""
+    split = min(split, depth)
+    with Tables(docs.sparkSession) as tables:
+        dealt = tables.store(blocks(docs, depth))
+        found = tables.store(counted_runs(dealt, depth))
+        counts = tables.store(found.groupBy("run").agg(F.sum("n").alias("n")))
+        deep = tables.store(deep_nodes(counts, depth, split))
+        logs = logarithms(counts, outside(deep, split, tables), depth, split)
+        # Seven digits of each logarithm are enough on the way back to the blocks.
+        answers = found.select("block", "run").join(logs.select("run", F.col("log").cast("float")), "run")
+        return cut(added_up(dealt, answers, depth))
 
 
 def word_id(word: bytes) -> int:
@@ -424,7 +452,7 @@ class Unigram:
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
 
-ROWS = "row long, doc_id long, word long, times long, tokens long, known long, base double, name long"
+ROWS = "row long, doc_id long, word long, times long, tokens long, known long, base double, name long, bytes long"
 
 
 def based(docs: DataFrame, unigram: Unigram) -> DataFrame:
@@ -469,6 +497,7 @@ def based(docs: DataFrame, unigram: Unigram) -> DataFrame:
                     pa.array(np.concatenate([rows, rows[of[~hit]]])), pa.concat_arrays([pa.array(docs_here, pa.int64()), none]), pa.array(np.concatenate([(rows.astype(np.uint64) * MIX).view(np.int64), words[~hit]])),
                     pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times[~hit])]), pa.concat_arrays([pa.array(tokens, pa.int64()), none]), pa.concat_arrays([pa.array(known), none]),
                     pa.concat_arrays([pa.array(sums), pa.nulls(m, pa.float64())]), pa.concat_arrays([pa.array([text_name(t) for t in texts], pa.int64()), none]),
+                    pa.concat_arrays([pa.array([len(t) + 1 for t in texts], pa.int64()), none]),
                 ], schema=out)
                 row += n
 
@@ -492,8 +521,11 @@ def frequent(words: DataFrame) -> DataFrame:
     return words.where(level >= least) if least is not None else words.limit(0)
 
 
-def language_scores(docs: DataFrame, depth: int = DEPTH, bits: int = CELL_BITS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
+def language_scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every document.
+
+    ``bits_per_byte`` is the trees' code length of the text and its end, a byte of both.
+    """
     training = docs.where(~held_out(F.col("doc_id")))
     words = cut(vocabulary(training))
     ends = training.count()
@@ -503,6 +535,9 @@ def language_scores(docs: DataFrame, depth: int = DEPTH, bits: int = CELL_BITS)
     found = based(docs, unigram)
     rest = F.coalesce(F.when(F.col("times").isNotNull(), F.col("n")), F.lit(0))
     log = F.log10((rest + 0.5) / (unigram.tokens + 0.5 * (unigram.types + 1)))
-    joined = found.join(words, "word", "left").select("row", "doc_id", "tokens", "name", F.when(F.col("times").isNull(), F.col("known")).when(rest > 0, F.col("times")).otherwise(0).alias("known"), F.when(F.col("times").isNull(), F.col("base")).otherwise(F.col("times") * log).alias("base"))
-    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.max("name").alias("name")).join(predicted(docs, cut(tree(training, depth)), depth, bits), "name")
-    return summed.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(unigram.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    own = F.col("times").isNull()
+    joined = found.join(words, "word", "left").select("row", "doc_id", "tokens", "name", "bytes", F.when(own, F.col("known")).when(rest > 0, F.col("times")).otherwise(0).alias("known"), F.when(own, F.col("base")).otherwise(F.col("times") * log).alias("base"))
+    firsts = (F.max(c).alias(c) for c in ("doc_id", "tokens", "name", "bytes"))
+    summed = joined.groupBy("row").agg(*firsts, F.sum("known").alias("n_known"), F.sum("base").alias("base_score"))
+    bits = -F.col("score") * math.log2(10) / F.col("bytes")
+    return spread_join(summed, predicted(docs, depth), ["name"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("tokens").alias("n_tokens"), "n_known", F.lit(unigram.tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
