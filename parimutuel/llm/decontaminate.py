@@ -20,7 +20,8 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import ahocorasick
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts
@@ -148,6 +149,28 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+class Shared:
+    """A block's items as a broadcast, and the matcher that a worker makes of them once."""
+
+    def __init__(self, spark: SparkSession, block: list[tuple[int, str]], budget: float):
+        self.block, self.budget, self.made = spark.sparkContext.broadcast(block), budget, None
+
+    def matcher(self) -> Matcher:
+        if self.made is None:
+            self.made = Matcher(self.block.value, self.budget)
+        return self.made
+
+
+def holds(shared: Shared):
+    """Whether a text holds an item of the block, for columns."""
+
+    @F.pandas_udf("boolean")
+    def held(texts: pd.Series) -> pd.Series:
+        return pd.Series([next(shared.matcher().matches(t or ""), None) is not None for t in texts], dtype=bool)
+
+    return held
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
     """(doc_id, item_id, distance, ends): each document's items, with the least distance.
 
@@ -156,13 +179,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> Data
     schema = "doc_id long, item_id long, distance int, ends long"
     spark, found = docs.sparkSession, None
     for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
-        held: dict[str, Matcher] = {}
 
-        def rows(ids, texts, shared=shared, held=held):
-            if "matcher" not in held:
-                held["matcher"] = Matcher(shared.value, budget)
-            out = [(doc, *m) for doc, t in zip(ids.to_pylist(), texts) for m in held["matcher"].matches(t)]
+        def rows(ids, texts, shared=Shared(spark, block, budget)):
+            out = [(doc, *m) for doc, t in zip(ids.to_pylist(), texts) for m in shared.matcher().matches(t)]
             return [*zip(*out)] if out else [[]] * 4
 
         part = map_texts(docs, rows, schema)
@@ -171,6 +190,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> Data
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """The documents that hold no item; those without ``doc_id`` are judged by their text."""
-    bad = leaks(docs, benchmark, budget).select(F.col("doc_id").alias("leaked id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["leaked id"]), "left_anti")
+    """The documents, all columns, that hold no item.
+
+    Each row is judged by its text alone, in place: no text is shuffled, and rows
+    with null or repeated ids don't touch each other. Further blocks of items are
+    further filters of the same pass.
+    """
+    for block in blocks(benchmark):
+        docs = docs.where(~holds(Shared(docs.sparkSession, block, budget))(F.col("text").cast("string")))
+    return docs

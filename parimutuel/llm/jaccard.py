@@ -12,15 +12,16 @@ between colliding items is lost.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread_join
+from .common import Tables, pa_schema, spread_join
 from .components import components, forest
 
 #: Bits of the filter that keeps a second pass from shuffling what no bucket holds; its size is fixed.
@@ -63,6 +64,22 @@ def in_bitmap(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return words[low >> 5] >> (low & 31).astype(np.uint32) & np.uint32(1) != 0
 
 
+def banded(items: DataFrame, known: np.ndarray) -> DataFrame:
+    """(id, key): the bands of items (id, bands) that the filter knows."""
+    out = pa_schema(items.sparkSession, "id long, key long")
+    shared = items.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column(1)
+            keys = bands.flatten().to_numpy()
+            wanted = in_bitmap(shared.value, keys)
+            ids = np.repeat(batch.column(0).to_numpy(), pa.compute.list_value_length(bands).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), pa.array(keys[wanted])], schema=out)
+
+    return items.select("id", "bands").where("bands IS NOT NULL").mapInArrow(run, "id long, key long")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, b), those whose sets (id, grams) reach the Jaccard threshold."""
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
@@ -170,26 +187,28 @@ def pairs_of(items: DataFrame, keys: DataFrame) -> DataFrame:
     return left.join(right, "key").where("ca < cb").select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
 
 
-def links(items: DataFrame, grams_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def links(items: DataFrame, grams_of: Callable[[DataFrame], DataFrame], threshold: float, tables: Tables) -> DataFrame:
     """(a, b): links that join the ids of each component.
 
-    ``items`` has (id, bands); an id may repeat and a repeat's bands may be null.
-    ``grams_of`` gives (id, grams: distinct array) for a table of ids, once each.
+    ``items`` is a stored table (id, bands); an id may repeat and a repeat's bands may
+    be null. ``grams_of`` gives (id, grams: distinct array) for a table of ids, once
+    each. The result reads what ``tables`` holds.
     """
     keyed = items.where("bands IS NOT NULL").select("id", F.explode("bands").alias("key"))
-    leads = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").select("key", "lead")
-    members = cut(spread_join(keyed, leads, ["key"]).distinct())
+    leads = tables.store(keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").select("key", "lead"))
+    shared = banded(items, bitmap(leads.select(F.col("key").alias("id"))))
+    members = tables.store(spread_join(shared, leads, ["key"]).distinct())
     pairs = members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    sets = cut(grams_of(members.select("id").distinct()))
-    found = cut(similar(pairs, sets, threshold))
+    sets = tables.store(grams_of(members.select("id").distinct()))
+    found = tables.store(similar(pairs, sets, threshold))
     of = components(found).withColumnRenamed("node", "id")
-    placed = cut(members.join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+    placed = tables.store(members.join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
     small, large = parted(placed)
-    whole = cut(clustered(placed.join(large, "key", "left_semi")))
-    huge = cut(whole.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > DIRECT).select("cluster"))
-    every = [found, similar(pairs_of(placed, small), sets, threshold), in_blocks(whole.join(huge, "cluster", "left_anti"), sets, threshold)]
+    whole = tables.store(clustered(placed.join(large, "key", "left_semi")))
+    huge = tables.store(whole.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > DIRECT).select("cluster"))
+    every = [similar(pairs_of(placed, small), sets, threshold), in_blocks(whole.join(huge, "cluster", "left_anti"), sets, threshold)]
     if not huge.isEmpty():
-        chosen = cut(rarest(whole.join(huge, "cluster", "left_semi").select("id", "c"), sets, threshold))
+        chosen = tables.store(rarest(whole.join(huge, "cluster", "left_semi").select("id", "c"), sets, threshold))
         small, large = parted(chosen)
         every += [similar(pairs_of(chosen, small), sets, threshold), in_blocks(clustered(chosen.join(large, "key", "left_semi")), sets, threshold)]
-    return reduce(DataFrame.union, map(cut, every))
+    return reduce(DataFrame.union, map(tables.store, every), found)

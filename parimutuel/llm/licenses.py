@@ -172,11 +172,15 @@ def scan(text: str) -> tuple:
     words = text.encode("utf-8", "surrogatepass").translate(STREAM).split()
     stream = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
     starts, base, labels, rest, tagged = [], set(), set(), 1.0, False
+    at = word = 0  # the last hit's start, and the words before it
     for end, (back, hits) in automaton().iter(stream):
+        start = end - back
+        word += stream.count(" ", at, start) if start >= at else -stream.count(" ", start, at)
+        at = start
         for kind, label, weight in hits:
             rest *= 1 - weight
             if kind == "base":
-                starts.append(stream.count(" ", 0, end - back))
+                starts.append(word)
                 base.add(label)
             elif kind == "notice":
                 labels.add(label)

@@ -11,8 +11,9 @@ passage of ``width`` words with the least hash. Two texts that share such a stre
 share a passage; equal passages are one class.
 
 Defined results: a null or empty text has neither paragraphs nor passages; of
-repeated rows (same ``doc_id``) one place stands for all; a null ``doc_id`` sorts
-first; other columns are ignored. Words are runs of non-blank characters with A-Z
+repeated rows (same ``doc_id`` and text) one place stands for all; a null ``doc_id``
+sorts first, and of several texts of one ``doc_id`` the one with the least hash;
+other columns are ignored. Words are runs of non-blank characters with A-Z
 lower-cased; positions are code points, ends exclusive.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import LOWER, cut, grams, map_texts, pa_schema, slices, spread_join, words_of
+from .common import LOWER, Tables, cut, grams, hash_of, map_texts, pa_schema, slices, spread_join, text_hash, words_of
 from .components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -53,8 +54,8 @@ def content_id(words: list[bytes]) -> int:
 
 
 def occurrences(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, paragraph, start, end, id, bands); bands are null where the task has sent them already."""
-    schema = "doc_id long, paragraph int, start int, end int, id long, bands array<long>"
+    """(doc_id, h, start, end, id, bands): the text's hash, place and content; bands are null where the task has sent them already."""
+    schema = "doc_id long, h long, start int, end int, id long, bands array<long>"
     out = pa_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +64,8 @@ def occurrences(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataF
             for part in slices(batch):
                 found, sets, new = [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for k, a, b, words in paragraphs_of(text or "", min_words):
+                    h = hash_of(text or "")
+                    for _, a, b, words in paragraphs_of(text or "", min_words):
                         name = content_id(words)
                         if name not in sent:
                             if len(sent) >= REMEMBERED:
@@ -71,7 +73,7 @@ def occurrences(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataF
                             sent.add(name)
                             sets.append(np.array(grams(words, SHINGLE), np.uint64))
                             new.append(len(found))
-                        found.append((doc, k, a, b, name))
+                        found.append((doc, h, a, b, name))
                 if found:
                     sent_bands: list = [None] * len(found)
                     for at, row in zip(new, jaccard.signatures(sets, bands, rows) if sets else ()):
@@ -113,17 +115,19 @@ def shingle_sets(docs: DataFrame, units: Units, ids: DataFrame) -> DataFrame:
 
 
 def similar_paragraphs(docs: DataFrame, min_words: int = 45, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, start, end, class_id, kept_doc_id, kept_start) of paragraphs that repeat an earlier one."""
+    """(doc_id, h, start, end, class_id, kept_doc_id, kept_start) of paragraphs that repeat an earlier one."""
     bands, rows = jaccard.tuned(similarity, RECALL)
-    found = cut(occurrences(docs, min_words, bands, rows))
-    links = jaccard.links(found.select("id", "bands"), lambda ids: shingle_sets(docs, partial(paragraphs_of, min_words=min_words), ids), similarity)
-    of = components(links).withColumnRenamed("node", "id")
-    place = F.struct("doc_id", "start")
-    counted = found.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    classes = counted.join(of, "id", "left").select("id", "first", "last", F.coalesce("component", "id").alias("class_id"))
-    kept = classes.groupBy("class_id").agg(F.min("first").alias("kept"), F.max("last").alias("last")).where("kept <> last").select("class_id", "kept")
-    named = classes.join(kept, "class_id").select("id", "class_id", "kept")
-    return found.join(named, "id").where(place != F.col("kept")).select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), "class_id", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").cast("long").alias("kept_start")).distinct()
+    with Tables(docs.sparkSession) as tables:
+        found = tables.store(occurrences(docs, min_words, bands, rows))
+        links = jaccard.links(found.select("id", "bands"), lambda ids: shingle_sets(docs, partial(paragraphs_of, min_words=min_words), ids), similarity, tables)
+        of = components(links).withColumnRenamed("node", "id")
+        place = F.struct("doc_id", "h", "start")
+        counted = found.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        classes = counted.join(of, "id", "left").select("id", "first", "last", F.coalesce("component", "id").alias("class_id"))
+        kept = classes.groupBy("class_id").agg(F.min("first").alias("kept"), F.max("last").alias("last")).where("kept <> last").select("class_id", "kept")
+        named = classes.join(kept, "class_id").select("id", "class_id", "kept")
+        again = spread_join(found.drop("bands"), named, ["id"]).where(place != F.col("kept"))
+        return cut(again.select("doc_id", "h", F.col("start").cast("long"), F.col("end").cast("long"), "class_id", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").cast("long").alias("kept_start")).distinct())
 
 
 #: Odd base of the rolling hashes, and what makes a second word hash of a first.
@@ -197,46 +201,54 @@ def anchored(text: str, width: int, guarantee: int) -> tuple[np.ndarray, ...] |
 
 
 def passages(docs: DataFrame, width: int, guarantee: int) -> DataFrame:
-    """(doc_id, start, length, h, check) of every anchored passage."""
-    schema = "doc_id long, start int, length int, h long, check int"
+    """(doc_id, h, start, length, one, other): place, length and two hashes of every anchored passage."""
+    schema = "doc_id long, h long, start int, length int, one long, other int"
 
     def rows(ids, texts):
-        found = [(doc, x) for doc, t in zip(ids.to_pylist(), texts) if (x := anchored(t, width, guarantee))]
+        found = [(doc, hash_of(t), x) for doc, t in zip(ids.to_pylist(), texts) if (x := anchored(t, width, guarantee))]
         if not found:
-            return [[]] * 5
-        docs_of = pa.array([doc for doc, _ in found], pa.int64()).take(pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for _, x in found])))
-        a, b, h, c = (np.concatenate(x) for x in zip(*(x for _, x in found)))
-        return [docs_of, a.astype(np.int32), (b - a).astype(np.int32), h.view(np.int64), (c >> np.uint64(32)).astype(np.uint32).view(np.int32)]
+            return [[]] * 6
+        of = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for _, _, x in found]))
+        docs_of, hashes = (pa.array([f[k] for f in found], pa.int64()).take(of) for k in (0, 1))
+        a, b, one, other = (np.concatenate(x) for x in zip(*(x for _, _, x in found)))
+        return [docs_of, hashes, a.astype(np.int32), (b - a).astype(np.int32), one.view(np.int64), (other >> np.uint64(32)).astype(np.uint32).view(np.int32)]
 
     return map_texts(docs, rows, schema)
 
 
 def repeated_passages(docs: DataFrame, width: int = WIDTH, guarantee: int = GUARANTEE) -> DataFrame:
-    """(doc_id, start, end, class_id, kept_doc_id, kept_start): stretches that repeat earlier ones.
+    """(doc_id, h, start, end, class_id, kept_doc_id, kept_start): stretches that repeat earlier ones.
 
     Passages that overlap and repeat the same document become one row.
     """
     found = passages(docs, width, guarantee)
-    place = F.struct("doc_id", "start")
-    groups = found.groupBy("h", "check").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last").drop("last")
-    again = spread_join(found, groups, ["h", "check"]).where(place != F.col("kept"))
-    along = Window.partitionBy("doc_id", "kept_doc_id").orderBy("start", "end", "kept_start")
-    spans = again.select("doc_id", F.col("start").cast("long"), (F.col("start") + F.col("length")).cast("long").alias("end"), F.col("h").alias("class_id"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").cast("long").alias("kept_start"))
+    place = F.struct("doc_id", "h", "start")
+    groups = found.groupBy("one", "other").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last").drop("last")
+    again = spread_join(found, groups, ["one", "other"]).where(place != F.col("kept"))
+    kept = ("kept_doc_id", "kept_h")
+    spans = again.select("doc_id", "h", F.col("start").cast("long"), (F.col("start") + F.col("length")).cast("long").alias("end"), F.col("one").alias("class_id"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.h").alias("kept_h"), F.col("kept.start").cast("long").alias("kept_start"))
+    along = Window.partitionBy("doc_id", "h", *kept).orderBy("start", "end", "kept_start")
     apart = F.coalesce(F.col("start") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     runs = spans.withColumn("new", apart.cast("int")).withColumn("run", F.sum("new").over(along))
-    return runs.groupBy("doc_id", "kept_doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.struct("class_id", "kept_start"), F.struct("start", "end", "kept_start")).alias("f")).select("*", "f.class_id", "f.kept_start").select("doc_id", "start", "end", "class_id", "kept_doc_id", "kept_start")
+    joined = runs.groupBy("doc_id", "h", *kept, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.struct("class_id", "kept_start"), F.struct("start", "end", "kept_start")).alias("f"))
+    return joined.select("doc_id", "h", "start", "end", "f.class_id", "kept_doc_id", "f.kept_start")
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, start, end, class_id, kept_doc_id, kept_start): what later texts repeat."""
-    columns = ["doc_id", "kind", "start", "end", "class_id", "kept_doc_id", "kept_start"]
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, kind, start, end, class_id, kept_doc_id, kept_start): what later texts repeat."""
+    columns = ["doc_id", "h", "kind", "start", "end", "class_id", "kept_doc_id", "kept_start"]
     first = similar_paragraphs(docs, MIN_WORDS).withColumn("kind", F.lit("paragraph"))
     return first.select(columns).union(repeated_passages(docs).withColumn("kind", F.lit("passage")).select(columns))
 
 
+def substring_dedup(docs: DataFrame) -> DataFrame:
+    """``repeats`` without the texts' hashes."""
+    return repeats(docs).drop("h")
+
+
 def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) without what ``substring_dedup`` finds in it."""
-    spans = substring_dedup(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    """(doc_id, text) of every row without what ``repeats`` finds in its text; a null text becomes empty."""
+    spans = repeats(docs).groupBy(F.col("doc_id").alias("cut id"), F.col("h").alias("cut hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,4 +261,6 @@ def removed(docs: DataFrame) -> DataFrame:
                 texts.append("".join([*parts, (text or "")[at:]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(rows, "doc_id long, text string")
+    own = docs.select("doc_id", "text")
+    joined = own.join(spans, own["doc_id"].eqNullSafe(spans["cut id"]) & (text_hash() == spans["cut hash"]), "left")
+    return joined.select("doc_id", "text", "spans").mapInArrow(rows, "doc_id long, text string")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import cut, grams, map_texts, pa_schema, spread_join, words_of
+from .common import Tables, cut, grams, hash_of, map_texts, pa_schema, spread_join, text_hash, words_of
 from .components import components
 from .paragraphs import REMEMBERED, content_id, shingle_sets
 
@@ -171,8 +171,8 @@ def whole(text: str) -> Iterator[tuple[int, int, int, list[bytes]]]:
 
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, id, fp, bands): content, fingerprint and MinHash bands; bands are null where the task has sent them."""
-    schema = "doc_id long, id long, fp long, bands array<long>"
+    """(doc_id, h, id, fp, bands): the text's hash, its words' name, fingerprint and MinHash bands; bands are null where the task has sent them."""
+    schema = "doc_id long, h long, id long, fp long, bands array<long>"
     sent: set[int] = set()
 
     def run(ids, texts):
@@ -190,13 +190,16 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         if new:
             for k, row in zip(new, jaccard.signatures([np.array(sets[k], np.uint64) for k in new], bands, rows)):
                 out[k] = row
-        return [ids, names, majorities(sets), out]
+        return [ids, [hash_of(t) for t in texts], names, majorities(sets), out]
 
     return map_texts(docs, run, schema)
 
 
 def near_copies(docs: DataFrame, width: int = SHINGLE, radius: int = 2, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id): documents in one component are linked by fingerprint or by similarity.
+    """(doc_id, h, component_id, component_h): documents in one component are linked by fingerprint or by similarity.
+
+    ``h`` is the hash of the text. A component is named by its first document: the one
+    with the least ``doc_id``, of several texts of that id the one with the least hash.
 
     At a similarity of 0.8 fingerprints of 64 bits differ in about ten bits, where a
     triangle bound prunes nothing. So beside the fingerprints within the radius,
@@ -204,24 +207,31 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, radius: int = 2, similari
     linked where their exact Jaccard similarity reaches the threshold.
     """
     bands, rows = jaccard.tuned(similarity, RECALL)
-    of = cut(sketches(docs, width, bands, rows))
-    contents = cut(of.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("fp").alias("fp")))
-    points = cut(contents.groupBy("fp").agg(F.min("id").alias("name"), F.count("*").alias("n")))
-    same = contents.join(points.where("n > 1"), "fp").where("id <> name").select(F.col("id").alias("a"), F.col("name").alias("b"))
-    near = links(points.select("fp"), radius)
-    a, b = (points.select(F.col("fp").alias(x), F.col("name").alias(f"{x}_name")) for x in "ab")
-    close = near.join(a, "a").join(b, "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
-    alike = jaccard.links(of.select("id", "bands"), lambda ids: shingle_sets(docs, whole, ids), similarity)
-    reached = components(same.union(close).union(alike)).withColumnRenamed("node", "id")
-    classes = contents.join(reached, "id", "left").select("id", "first", F.coalesce("component", "id").alias("root"))
-    named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return spread_join(of.select("doc_id", "id"), classes.join(named, "root").select("id", "component_id"), ["id"]).select("doc_id", "component_id")
+    with Tables(docs.sparkSession) as tables:
+        of = tables.store(sketches(docs, width, bands, rows))
+        first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first")
+        contents = tables.store(of.groupBy("id").agg(first, F.max("fp").alias("fp")))
+        points = tables.store(contents.groupBy("fp").agg(F.min("id").alias("name"), F.count("*").alias("n")))
+        same = contents.join(points.where("n > 1"), "fp").where("id <> name").select(F.col("id").alias("a"), F.col("name").alias("b"))
+        near = links(points.select("fp"), radius)
+        a, b = (points.select(F.col("fp").alias(x), F.col("name").alias(f"{x}_name")) for x in "ab")
+        close = near.join(a, "a").join(b, "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
+        alike = jaccard.links(of.select("id", "bands"), lambda ids: shingle_sets(docs, whole, ids), similarity, tables)
+        reached = components(same.union(close).union(alike)).withColumnRenamed("node", "id")
+        classes = contents.join(reached, "id", "left").select("id", "first", F.coalesce("component", "id").alias("root"))
+        named = classes.groupBy("root").agg(F.min("first").alias("kept"))
+        placed = spread_join(of.select("doc_id", "h", "id"), classes.join(named, "root").select("id", "kept"), ["id"])
+        return cut(placed.select("doc_id", "h", F.col("kept.doc_id").alias("component_id"), F.col("kept.h").alias("component_h")))
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Documents, all columns, with one kept of each component: the one with the smallest ``doc_id``.
+    """Documents, all columns, with one kept of each component: its first.
 
-    Of repeated rows of that document one stays; rows without ``doc_id`` all stay.
+    Of repeated rows (same ``doc_id`` and text) of that document one stays; rows
+    without ``doc_id`` all stay.
     """
-    kept = near_copies(docs, similarity=similarity).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id IS NULL"))
+    first = near_copies(docs, similarity=similarity).where("doc_id = component_id AND h = component_h")
+    kept = first.select(F.col("doc_id").alias("kept id"), F.col("h").alias("kept hash")).distinct()
+    marked = docs.withColumn("text hash", text_hash())
+    stay = marked.join(kept, (marked["doc_id"] == kept["kept id"]) & (marked["text hash"] == kept["kept hash"]), "left_semi")
+    return stay.dropDuplicates(["doc_id", "text hash"]).select(docs.columns).union(docs.where("doc_id IS NULL"))

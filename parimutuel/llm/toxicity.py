@@ -198,7 +198,9 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     of = known.groupBy("doc_id").agg(*(F.max(F.expr(sql)).cast("int").alias(f"is_{name}") for name, sql in CATEGORIES.items()))
     few = of.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
+    # Of several texts of one document the least counts, so that training never varies.
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
+    return own.groupBy("doc_id", *few.columns[1:]).agg(F.min("text").alias("text")).orderBy("doc_id")
 
 
 def trained(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Chain:

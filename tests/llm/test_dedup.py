@@ -379,3 +379,52 @@ def test_a_third_of_all_rows_in_one_group(documents):
     pairs = [(i, line if i % 2 else f"{line} tail{i} end{i}") for i in range(300)] + [(1000 + i, f"other {i} text") for i in range(20)]
     got = simhash.near_copies(documents(pairs)).where("doc_id < 1000").select(F.countDistinct("component_id")).first()[0]
     assert got == 1
+
+
+# --- rows without doc_id, and several texts of one
+
+
+ITEM = "what is the largest planet of the solar system and how far is it"
+
+
+@pytest.mark.parametrize("ids", [(None, None), (7, 7)], ids=["null", "repeated"])
+def test_rows_are_judged_by_their_own_text(spark, documents, ids):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    texts = [f"so {ITEM} then", "a clean text of some other words"]
+    got = decontaminate.decontaminated(documents([*zip(ids, texts)]), bench).collect()
+    assert [r.text for r in got] == texts[1:]
+
+    run = "\n".join(f"line {k} of the passage" for k in range(4))
+    texts = [f"{run}\nfirst end", f"one\ntwo\nthree\n{run}", "four\nfive\nsix\nseven\neight\nnine"]
+    docs = documents([(1, texts[0]), *zip(ids, texts[1:])])
+    want = {texts[0], "one\ntwo\nthree", texts[2]} if ids[0] else {"first end", *texts[1:]}
+    assert {r.text for r in lines.deduplicated(docs).collect()} == want
+
+    passage = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(80))
+    got = {r.text for r in paragraphs.removed(documents([(1, passage), *zip(ids, [f"start\n{passage}\nend", other])])).collect()}
+    assert other in got and (passage in got) == bool(ids[0]) and any("start" in t for t in got)
+
+
+def test_near_dedup_keeps_other_texts_of_an_id(documents):
+    some = lambda k: " ".join(f"{k}w{i}" for i in range(50))
+    pairs = [(7, some("a")), (7, some("b")), (7, some("b")), (8, some("b")), (9, some("c")), (None, some("c"))]
+    got = sorted((r.doc_id or 0, r.text[0]) for r in simhash.near_dedup(documents(pairs)).collect())
+    assert got == [(0, "c"), (7, "a"), (7, "b"), (9, "c")]
+
+
+def test_long_texts_take_linear_time(documents):
+    """Millions of characters of hits, at which a search from the start for each would not end."""
+    from time import process_time
+
+    from parimutuel.llm import licenses, secrets
+
+    net = secrets.trained()
+    began = process_time()
+    n = 200_000
+    assert licenses.scan("the mit license, " * n)[1:4] == (n, 1, 3 * n - 2)
+    found = secrets.scan(["token = abcdefgh1 " * n], net)[0][0]
+    assert len(found) == n
+    assert process_time() - began < 60
+    text = "\n".join(f"line {i // 2}" for i in range(40_000))
+    assert lines.deduplicated(documents([(1, text), (2, text)])).where("doc_id = 2").first().text == ""
