@@ -20,7 +20,6 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 from functools import cache
 
 import regex
@@ -28,11 +27,15 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: Encoded words that each of the two halves of a worker's cache keeps.
-KEEP = 150_000
+#: Encoded texts between blanks that each of the two halves of a worker's cache keeps.
+KEEP = 250_000
 #: Bits of a symbol's number, and what stands for a pair that no merge joins.
 BITS, NEVER = 20, 1 << 60
 MASK = (1 << BITS) - 1
+#: Characters that Python takes for white space and the tokenizer does not.
+NO_SPACE = re.compile("[\x1c-\x1f]")
+#: Below these code points every one is assigned.
+BEYOND = re.compile("[\u0378-\U0010ffff]")
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
@@ -63,7 +66,8 @@ class WordBpe:
         self.suffix = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in tokenizer["added_tokens"]}
-        self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        #: Token of each id, as a number and as text.
+        self.tokens = {key: t for t, i in [*self.ids.items(), *self.special.items()] for key in (i, str(i))}
         letters = byte_letters()
         inside = {t[i : i + 2] for x in self.ids for t in [x.removesuffix(self.suffix)] for i in range(len(t) - 1)}
         #: Pairs of bytes that no token holds side by side.
@@ -74,13 +78,13 @@ class WordBpe:
         self.inner, self.last = [number(x) for x in letters], [number(x + self.suffix) for x in letters]
         #: For a pair of symbols the merge's rank above the number of what it makes.
         self.pairs = {number(a) << BITS | number(b): r << BITS | number(a + b) for r, (a, b) in enumerate(map(self.pair, model["merges"]))}
-        #: A symbol's id as text and its token; nothing where the vocabulary lacks it.
-        self.names = [(str(self.ids[t]), t) if t in self.ids else None for t in symbols]
+        #: A symbol's id as text; nothing where the vocabulary lacks it.
+        self.names = [str(self.ids[t]) if t in self.ids else None for t in symbols]
         self.letters = letters
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        #: Recent words, and those before them; the older half goes when the recent one is full.
-        self.kept: dict[str, tuple[str, str, int]] = {}
-        self.older: dict[str, tuple[str, str, int]] = {}
+        #: Ids of what recently stood between blanks, and before that; the older half goes when the recent one is full.
+        self.kept: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     @staticmethod
     def pair(merge: list | str) -> tuple[str, str]:
@@ -136,28 +140,31 @@ class WordBpe:
                     heappush(heap, (m, x, s[x], s[y]))
         return [x for x, live in zip(s, alive) if live]
 
-    def word(self, word: str) -> tuple[str, str, int]:
-        """A word's ids and tokens, each blank-joined, and their number."""
-        if not (out := self.older.get(word)):
-            names = [name for f in self.fragments(word) for t in self.merged(f) if (name := self.names[t])]
-            out = (" ".join([i for i, _ in names]), " ".join([t for _, t in names]), len(names))
+    def word(self, word: str) -> str:
+        """A word's ids, blank-joined."""
+        return " ".join([name for f in self.fragments(word) for t in self.merged(f) if (name := self.names[t])])
+
+    def chunk(self, chunk: str) -> str:
+        """The ids of the words between two blanks."""
+        if (out := self.older.get(chunk)) is None:
+            out = " ".join(filter(None, map(self.word, WORDS.findall(chunk))))
         if len(self.kept) >= KEEP:
             self.older, self.kept = self.kept, {}
-        if len(word) < 100:
-            self.kept[word] = out
+        if len(chunk) < 100:
+            self.kept[chunk] = out
         return out
 
-    def cut(self, text: str) -> list[str]:
-        """Composed, lower-cased words of a text without special tokens."""
+    def plain(self, text: str) -> str | None:
+        """A text composed and lower-cased; nothing if it holds characters newer than Python's tables."""
         if not text.isascii():
-            if unassigned().search(text):
-                return self.cut_by_library(text)
+            if BEYOND.search(text) and unassigned().search(text):
+                return None
             # A capital sigma has one lower case here, wherever it stands.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return WORDS.findall(text.lower())
+        return text.lower()
 
     def cut_by_library(self, text: str) -> list[str]:
-        """The same by the tokenizer library's own Unicode tables, for characters newer than Python's."""
+        """Words by the tokenizer library's own Unicode tables, for characters newer than Python's."""
         if self.library is None:
             from tokenizers import Tokenizer
 
@@ -166,27 +173,32 @@ class WordBpe:
         plain = self.library.normalizer.normalize_str(text)
         return [bytes(of[c] for c in w).decode("utf-8") for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
 
-    def words(self, text: str) -> Iterator[tuple[str, str, int]]:
-        for k, part in enumerate(self.split.split(text) if self.split else [text]):
+    def told(self, text: str) -> list[str]:
+        """The ids of a text, as texts. No word reaches over white space, so what lies between is looked up whole."""
+        out: list[str] = []
+        for k, part in enumerate(self.split.split(text) if any(t in text for t in self.special) else [text]):
             if k % 2:
-                yield str(self.special[part]), part, 1
+                out.append(str(self.special[part]))
             elif part:
-                kept = self.kept
-                for w in self.cut(part):
-                    yield kept.get(w) or self.word(w)
+                plain = self.plain(part)
+                if plain is None or NO_SPACE.search(plain):
+                    out += map(self.word, self.cut_by_library(part) if plain is None else WORDS.findall(plain))
+                else:
+                    get = self.kept.get
+                    out += [get(c) or self.chunk(c) for c in plain.split()]
+        return " ".join(filter(None, out)).split()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self.words(text) for i in ids.split()]
+        return [*map(int, self.told(text))]
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+    def decode(self, ids: list[int] | list[str]) -> str:
+        """The tokens of ids, as numbers or as text; unknown ids are left out."""
+        return " ".join(filter(None, map(self.tokens.get, ids)))
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, and SHA-256 of the ids and of the decoded text."""
-        found = [*self.words(text)]
-        ids = " ".join([x[0] for x in found if x[2]])
-        decoded = self.decode([int(i) for i in ids.split()])
-        return sum([x[2] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        """Number of tokens, and SHA-256 of the ids and of the text decoded from them."""
+        ids = self.told(text)
+        return len(ids), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
 
 
 def load(path: str) -> dict:
