@@ -1,7 +1,9 @@
 """Operators that look at one text at a time."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -254,3 +256,31 @@ def test_odd_tables(odd, op):
     assert got.count() == odd.count() and "doc_id" in got.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in got.collect()) == sorted((r.doc_id is None, r.doc_id) for r in odd.select("doc_id").collect())
     assert op(odd.limit(0)).count() == 0
+
+
+def test_recall_on_findings_of_neither_generator():
+    """Credentials of formats that neither training nor calibration wrote, in sentences, without a keyword; and plain look-alikes."""
+    r = random.Random(31)
+    some = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
+    letters, digits = string.ascii_letters, string.digits
+    makers = [lambda: "hf_" + some(letters, 34), lambda: "dop_v1_" + some("0123456789abcdef", 64), lambda: f"{some(digits, 10)}-AA{some(letters + digits + '-_', 33)}", lambda: "ya29-" + some(letters + digits + "_-", 60), lambda: some(letters + digits + "/+", 40), lambda: "whsec_" + some(letters + digits, 32), lambda: some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), lambda: f"EAAC{some(letters + digits, 50)}"]
+    prose = "the committee met again in the old harbour town and wrote that {} was left on the table, as nobody had asked for it".format
+    hidden = [r.choice(makers)() for _ in range(300)]
+    plain = ["internationalization/of/user-facing-strings", "Donaudampfschifffahrtsgesellschaft", "2024-05-17T08-30-00", "978-3-16-148410-0", "counterrevolutionaries", "src/main/resources/application-settings", "CONSTANTINOPLE", "state-of-the-art-solutions", "antidisestablishmentarianism", "well_known_variable_name"]
+    net = secrets.trained()
+    found = [[s for s in spans if s[2] == "cnn"] for _, spans in secrets.scan([prose(x) for x in hidden + plain], net)]
+    right = sum(any(prose(x)[a:b].endswith(x[-8:]) for a, b, _ in spans) for x, spans in zip(hidden, found))
+    wrong = [x for x, spans in zip(plain, found[len(hidden) :]) if spans]
+    assert right >= 0.9 * len(hidden) and len(wrong) <= 1, (right, wrong)
+
+
+def test_threshold_keeps_the_recall_on_the_other_generator():
+    windows, y = secrets.findings(2000, 77, secrets.CALIBRATION)
+    p = secrets.probabilities(secrets.trained(), windows) >= secrets.trained().threshold
+    assert p[y > 0].mean() >= 0.95 and y[p].mean() >= 0.97
+
+
+def test_candidates_inside_base_spans_are_read():
+    text = "password = " + KEY
+    (base, every), = secrets.scan([text], secrets.trained())
+    assert [k for *_, k in base] == ["assign"] and (11, 11 + len(KEY), "cnn") in every
