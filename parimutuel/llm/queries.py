@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, ctw, decontaminate, licenses, lines, media, paragraphs, secrets, simhash, toxicity
 from .common import read
@@ -52,6 +53,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_runs(read(spark, sf_dir, "documents"))
 
 
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_license_scan that SQL can say too; -1 where there is no place."""
+    places = (F.coalesce(c, F.lit(-1)).alias(c) for c in ("first_word", "last_word"))
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", *places, "base_labels")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_secret_scan that SQL can say too."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -65,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe,
         op9_lm_scoring,
         op10_line_dedup,
+        base_licenses,
+        base_secrets,
     )
 }
 
@@ -91,4 +105,23 @@ SELECT doc_id, min(line) AS line, max(last) AS last, kept_doc_id, min(kept_line)
 FROM runs GROUP BY doc_id, kept_doc_id, shift, run
 """
 
-ORACLE: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL}
+LICENSE_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, len(w) AS n_words, list_filter(range(len(w)), lambda i: w[i+1:i+4] = ['gnu', 'general', 'public', 'license']) AS gpl, list_filter(range(len(w)), lambda i: w[i+1:i+2] = ['apache', 'license']) AS apache,
+    list_filter(range(len(w)), lambda i: w[i+1:i+2] = ['cc', 'by']) AS cc, list_filter(range(len(w)), lambda i: w[i+1:i+2] = ['mit', 'license']) AS mit FROM w
+), f AS (
+  SELECT *, gpl || apache || cc || mit AS places FROM p
+)
+SELECT doc_id, n_words, len(places) AS n_base, coalesce(list_min(places), -1) AS first_word, coalesce(list_max(places), -1) AS last_word,
+  concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels FROM f
+"""
+
+SECRET_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: len(x) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: len(x) >= 24)) AS n_hex FROM t
+"""
+
+ORACLE: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL, "base_licenses": LICENSE_SQL, "base_secrets": SECRET_SQL}
