@@ -12,16 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.labels import outcome_label
-from .functions.numbers import fixed, implied_probability
 from .operators import matches as M
 from .operators import rules, text
 from .operators.matching import named_matches
+from .plans import session
 from .plans.checkpoint import shared_folder
 from .plans.flows import analysis_input, upcoming_list
 from .queries import MONTHS, PLAIN_SQL, query, read
 from .schemas import BOTH_SCORE, DISPLAY_ORDER, MARKET_LABELS, NO_NEWS, NO_NEWS_HEADING, NO_ODDS, NO_ODDS_HEADING, NEWS_HEADING, ODDS_HEADING
 from .sources.files import typed_odds
 from .sources.history import History
+from .sources.odds_api import typed
+from .sources.snapshots import cached
+from .streaming.frames import CHUNK_TYPE, DELTA_TYPE, folded, said, text_events
 
 NOW = "1998-01-01 00:00:00"
 WITHIN = ["l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_quantity"]
@@ -218,6 +221,49 @@ def stored_odds(spark, sf_dir):
     return back.groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("outcomes"), F.round(F.sum("price"), 6).alias("prices"))
 
 
+@query(f"WITH {QUOTES_SQL} SELECT CAST(o_orderkey AS VARCHAR) AS id, concat('soccer_', o_orderkey % 10) AS sport, CAST(o_orderkey AS INT) AS src_ord, home AS home_team, n AS outcomes FROM (SELECT *, {TEAMS_SQL.format('o_orderkey')} FROM orders) JOIN (SELECT event_id, count(*) AS n FROM q GROUP BY event_id) ON event_id = CAST(o_orderkey AS VARCHAR)")
+def typed_feed(spark, sf_dir):
+    """Matches as the feed's rows of JSON text, typed as a scan of the feed types them."""
+    every = matches(spark, sf_dir)
+    rows = every.select(F.concat(F.lit("soccer_"), (F.col("src_ord") % 10).cast("string")).alias("sport"), "src_ord", F.to_json(F.struct(*(c for c in every.columns if c != "src_ord"))).alias("match"))
+    found = typed(rows)
+    counts = M.quotes(found).groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("outcomes"))
+    return found.select("id", "sport", "src_ord", "home_team").join(counts, "id")
+
+
+@query("SELECT concat(conv_id, '-', turn) AS stream_id, replace(text, ' ', '') AS content FROM conversations")
+def model_stream(spark, sf_dir):
+    """What a model that repeats a prompt's words streams, as events that are folded again."""
+    turns = read(spark, sf_dir, "conversations")
+    prompts = turns.select(F.concat_ws("-", "conv_id", "turn").alias("stream_id"), F.col("text").alias("prompt"))
+
+    def model(prompt: str):
+        yield "message_start", None, None
+        for part in prompt.split(" "):
+            yield CHUNK_TYPE, DELTA_TYPE, part
+
+    events = text_events(said(prompts, model)).select("stream_id", F.col("seq").alias("ord"), "event.*")
+    return folded(events).select("stream_id", "content")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def remembered_values(spark, sf_dir):
+    """A table handed on within the session under a name."""
+    session.remember(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "nations_handed_on")
+    found = session.recall(spark, "nations_handed_on")
+    session.forget(spark, "nations_handed_on")
+    return found
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def cached_scan(spark, sf_dir):
+    """A scan kept as a snapshot: the second call reads what the first has written."""
+    path = f"{shared_folder(spark)}/snapshots-{uuid4().hex}"
+    load = lambda: read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    cached(spark, path, load)
+    return cached(spark, path, lambda: load().limit(0))
+
+
 @query("""
 WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r, n_name, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS name FROM nation)
 SELECT w.k AS want_id, min_by(m.n_name, m.k) AS home_team, min(m.k) AS src_ord FROM n w JOIN n m ON contains(m.name, left(w.name, 3)) GROUP BY w.k
