@@ -7,6 +7,11 @@ components are compared: in small buckets pair by pair, in large ones block by b
 within tasks. Where large buckets connect very many items, these are first brought
 together anew by their rarest members, as a similar pair must share some. So no link
 between colliding items is lost.
+
+Defined results: items without bands (repeats, or empty sets) have no links of their
+own; equal sets of different ids are linked; a similarity of exactly the threshold
+counts; which of several paths joins a component is not fixed, the components are; an
+empty table gives no links. Ids and sets are never null, and further columns are ignored.
 """
 
 from __future__ import annotations
