@@ -7,8 +7,10 @@ that the label table has: low quality (``quality`` 0), then toxic.
 
 Features are byte runs of the lower-cased words with one blank between, hashed; the
 chain keeps those whose document frequencies tell a category from the rest best, and
-takes their rates per word, with four figures of a text's looks beside them. Training uses at most SAMPLE labelled documents, the ones
-with the least hash of their id; scoring reads every text whole. A category's
+takes their rates per word, with four figures of a text's looks beside them. What a
+fold is predicted by was chosen and fitted without it, and equal texts share a fold.
+Training uses at most SAMPLE labelled documents, the ones with the least hash of their
+id; scoring reads every text whole. A category's
 threshold is the one with the best F1 out of fold.
 
 Defined results: a null or empty text has no features; labels that are null or belong
@@ -19,6 +21,7 @@ nothing is labelled toxic; repeated rows are scored each; other columns are igno
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -158,32 +161,45 @@ def chained(models: tuple[Linear, ...], x: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], labels: np.ndarray, names: tuple[str, ...]) -> Chain:
     """Fit a chain; ``labels`` has one column a category, in the order of ``names``."""
-    chosen = select(texts, labels)
-    x, fold = rates(texts, chosen), np.arange(len(texts)) % FOLDS
-    models, thresholds, feats = [], [], x
+    fold = np.array([zlib.crc32(stream(t)) % FOLDS for t in texts], np.int64)
+    held = frequencies(texts, labels, fold)
+    chosen = select(held.sum(0), counted(labels))
+    # Each fold's features are chosen from the others alone, as its models are fitted.
+    apart = [rates(texts, select(held.sum(0) - held[f], counted(labels[fold != f]))) for f in range(FOLDS)]
+    feats, models, thresholds = rates(texts, chosen), [], []
     for k in range(len(names)):
         y = labels[:, k]
         # Out of fold, so that later models see what earlier ones say of unseen texts.
         out = np.zeros(len(texts), np.float32)
         for f in range(FOLDS):
-            out[fold == f] = fitted(feats[fold != f], y[fold != f]).logits(feats[fold == f])
+            out[fold == f] = fitted(apart[f][fold != f], y[fold != f]).logits(apart[f][fold == f])
         models.append(fitted(feats, y))
         thresholds.append(best_threshold(out, y))
-        feats = np.column_stack([feats, np.clip(out, -10, 10)])
+        feats, *apart = (np.column_stack([x, np.clip(out, -10, 10)]) for x in (feats, *apart))
     return Chain(names, chosen, tuple(models), tuple(thresholds))
 
 
-def select(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Hashes whose document frequencies differ most between a category and the rest."""
+def frequencies(texts: list[str], labels: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """How many texts of each fold, category and class hold each hash."""
     every = np.arange(1 << HASH_BITS)
-    held = np.zeros((labels.shape[1], 2, 1 << HASH_BITS), np.float32)
+    held = np.zeros((FOLDS, labels.shape[1], 2, 1 << HASH_BITS), np.float32)
     for i, text in enumerate(texts):
         _, at, _, _ = found([text], every, 1 << HASH_BITS)
         for k, y in enumerate(labels[i]):
-            held[k, int(y), at] += 1
+            held[fold[i], k, int(y), at] += 1
+    return held
+
+
+def counted(labels: np.ndarray) -> np.ndarray:
+    """Texts of each category and class."""
+    return np.stack([(labels == c).sum(0) for c in (0, 1)], axis=1).astype(np.float32)
+
+
+def select(held: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes whose document frequencies differ most between a category and the rest."""
     chosen = np.zeros(0, np.int64)
-    for k in range(labels.shape[1]):
-        n = np.array([(labels[:, k] == c).sum() for c in (0, 1)], np.float32)[:, None]
+    for k in range(len(held)):
+        n = sizes[k][:, None]
         if not n.all():
             continue
         p, all_p = held[k] / n, held[k].sum(0) / n.sum()

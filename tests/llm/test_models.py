@@ -233,7 +233,7 @@ def test_planted_words(documents, spark):
 
 def test_chain_feeds_earlier_categories():
     r = np.random.default_rng(0)
-    texts = ["alphaone " * 3 if a else "plainword " * 3 for a in r.random(200) < 0.5]
+    texts = [("alphaone " if a else "plainword ") * 3 + f"n{i}" for i, a in enumerate(r.random(200) < 0.5)]
     y = np.array([[t.startswith("alpha")] * 2 for t in texts], np.float32)
     chain = toxicity.train(texts, y, ("first", "second"))
     assert len(chain.models[1].weights) == len(chain.models[0].weights) + 1 and chain.models[1].weights[-1] > 0
