@@ -9,7 +9,9 @@ within the radius; the ring of the farther one then holds both. Leaves are searc
 exactly, and linked fingerprints become components.
 
 Shards that stay too large after the first levels (many close variants of a text)
-are cut further around vantage points of their own.
+are cut further around vantage points of their own. Where these don't thin a shard any
+more, its fingerprints are dealt by their bits: cut into one block more than the
+radius, two within the radius have a block in common.
 
 Defined results: a null or empty text, or one of blanks, has fingerprint zero, which
 links like any other; repeated rows share a component; rows whose ``doc_id`` is null
@@ -114,6 +116,21 @@ def thinned(cells: DataFrame, radius: int) -> DataFrame:
     return cells
 
 
+def blocks_of(fp, radius: int) -> list:
+    """The bits of ``fp`` in ``radius + 1`` blocks, for columns."""
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [F.shiftrightunsigned(fp, a).bitwiseAND((1 << b - a) - 1) for a, b in zip(cuts, cuts[1:])]
+
+
+def crowded(cells: DataFrame, radius: int) -> DataFrame:
+    """Deal shards that are still too large by blocks of bits, some one of which two linked fingerprints share."""
+    big = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > TOO_LARGE).select("cell", F.lit(True).alias("large"))
+    joined = cells.join(big, "cell", "left")
+    keys = F.array(*(F.xxhash64("cell", F.lit(i), block) for i, block in enumerate(blocks_of(F.col("fp"), radius))))
+    again = joined.where("large").select(F.explode(keys).alias("cell"), "fp")
+    return joined.where("large IS NULL").select("cell", "fp").union(again)
+
+
 def linked(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Each fingerprint reached over links from an earlier one, and that one.
 
@@ -140,7 +157,7 @@ def links(points: DataFrame, radius: int) -> DataFrame:
     levels = max(0, math.ceil(math.log2(max(1, points.count()) / LEAF) / 0.85))
     cells = dealt(points, levels, radius)
     if levels:
-        cells = thinned(cut(cells), radius)
+        cells = crowded(thinned(cut(cells), radius), radius)
     out = pa_schema(points.sparkSession, "a long, b long")
 
     def search(table: pa.Table) -> pa.Table:
