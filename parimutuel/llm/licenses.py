@@ -1,8 +1,8 @@
 """License scan (operator 3): Aho-Corasick notices and licence expressions.
 
 A text is lower-cased (A-Z only) and cut into words; one automaton then finds every
-notice phrase and every identifier tag in the word stream. What follows a tag is
-read as a licence expression: a shunting-yard parser turns it into postfix order
+notice phrase and every identifier tag in the word stream. What follows the place of a
+tag and a colon or equals sign is read as a licence expression: a shunting-yard parser turns it into postfix order
 (``with`` binds tighter than ``and``, ``and`` tighter than ``or``) and evaluates it.
 
 Defined results: a null or empty text has no words, no places and score 0; repeated
@@ -46,8 +46,8 @@ NOTICES = {
     "public domain": ("public-domain", 0.4),
     "all rights reserved": ("proprietary", 0.5),
 }
-#: Identifier tags, as words.
-TAGS = ("spdx license identifier",)
+#: Identifier tags, as words; a colon or an equals sign has to follow.
+TAGS = ("spdx license identifier", "spdx licence identifier", "license expression", "licence expression", "packagelicensedeclared", "packagelicenseconcluded", "licenseconcluded", "licenseinfoinfile")
 BASE_WEIGHT, TAG_WEIGHT = 0.7, 0.95
 #: Licence identifiers by family, longest family first; what none matches keeps its name.
 FAMILIES = ("cc-by-nc", "cc-by-sa", "cc-by-nd", "cc-by", "lgpl", "agpl", "gpl", "apache", "mit", "mpl", "bsd", "epl", "isc", "cc0", "unlicense")
@@ -55,7 +55,7 @@ PERMISSIVE = {"apache", "mit", "bsd", "isc", "cc0", "unlicense", "cc-by"}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-TAG = re.compile(r"spdx-license-identifier:")
+SIGN = re.compile(r"""["'\x20\t]*[:=]""")
 LINE_END = re.compile(r"[\r\n]|\Z")
 PART = re.compile(r"[()]|[a-z0-9.+:-]+")
 #: Bytes of the lower-cased word stream: word bytes as they are, all others a blank.
@@ -70,7 +70,7 @@ def automaton() -> ahocorasick.Automaton:
     for phrase, (label, weight) in NOTICES.items():
         found.setdefault(phrase, []).append(("notice", label, weight))
     for phrase in TAGS:
-        found.setdefault(phrase, []).append(("tag", "", TAG_WEIGHT))
+        found.setdefault(phrase, []).append(("tag", "", len(phrase.split())))
     a = ahocorasick.Automaton()
     for phrase, hits in found.items():
         a.add_word(f" {phrase} ", (len(phrase) + 1, hits))
@@ -155,10 +155,21 @@ def longest(parts: list[str]) -> int:
     return best
 
 
-def expressions(lowered: str) -> list[tuple[str, frozenset[str], bool]]:
+def signed(lowered: str, tags: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of tags, as numbers of their first and last words, those that a sign follows: where they begin and it ends."""
+    first, last = ({x: i for i, x in enumerate(side)} for side in zip(*tags))
+    spans = [[0, 0] for _ in tags]
+    for k, m in enumerate(WORD.finditer(lowered)):
+        if k in first:
+            spans[first[k]][0] = m.start()
+        if k in last:
+            spans[last[k]][1] = m.end()
+    return [(a, m.end()) for a, b in spans if (m := SIGN.match(lowered, b))]
+
+
+def expressions(lowered: str, tags: list[tuple[int, int]]) -> list[tuple[str, frozenset[str], bool]]:
     """Each tag's expression, its licences and value; comment ends and prose after it are cut off."""
     found = []
-    tags = [m.span() for m in TAG.finditer(lowered)]
     for (_, at), (following, _) in zip(tags, [*tags[1:], (len(lowered), 0)]):
         end = LINE_END.search(lowered, at, following)
         parts = PART.findall(lowered, at, end.start())
@@ -171,24 +182,28 @@ def scan(text: str) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions."""
     words = text.encode("utf-8", "surrogatepass").translate(STREAM).split()
     stream = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-    starts, base, labels, rest, tagged = [], set(), set(), 1.0, False
+    starts, base, labels, rest, tags = [], set(), set(), 1.0, []
     at = word = 0  # the last hit's start, and the words before it
     for end, (back, hits) in automaton().iter(stream):
         start = end - back
         word += stream.count(" ", at, start) if start >= at else -stream.count(" ", start, at)
         at = start
         for kind, label, weight in hits:
+            if kind == "tag":
+                tags.append((word, word + weight - 1))
+                continue
             rest *= 1 - weight
             if kind == "base":
                 starts.append(word)
                 base.add(label)
-            elif kind == "notice":
-                labels.add(label)
             else:
-                tagged = True
+                labels.add(label)
     told = []
-    if tagged:
-        for expression, licences, permissive in expressions(ascii_lower(text)):
+    if tags:
+        lowered = ascii_lower(text)
+        placed = signed(lowered, tags)
+        rest *= (1 - TAG_WEIGHT) ** len(placed)
+        for expression, licences, permissive in expressions(lowered, placed):
             labels |= {family(x) for x in licences}
             told.append((expression, permissive))
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 - rest, told)

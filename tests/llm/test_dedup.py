@@ -90,8 +90,10 @@ def test_simhash(documents, monkeypatch, leaf, large):
     assert {r.doc_id: r.component_id for r in got} == want()
 
 
-def test_close_variants_are_cut_further(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [20, 0], ids=["vantage points", "bits"])
+def test_close_variants_are_cut_further(spark, monkeypatch, rounds):
     """A crowded ball, which the first levels leave whole."""
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
     monkeypatch.setattr(simhash, "LEAF", 64)
     monkeypatch.setattr(simhash, "TOO_LARGE", 64)
     r = random.Random(2)

@@ -66,6 +66,15 @@ def test_every_tag_of_a_line_is_read():
     assert got[5] == "gpl,isc,mit" and got[7] == [("mit", True), ("gpl-2.0", False), ("isc", True)]
 
 
+@pytest.mark.parametrize("text,labels", [
+    ("License-Expression: MIT OR ISC", "isc,mit"), ("PackageLicenseDeclared: Apache-2.0", "apache"), ('"SPDX-Licence-Identifier" = "MPL-2.0"', "mpl"),
+    ("spdx license identifier of the file", ""), ("the license expression is not given: MIT", ""), ("SPDX License Identifier : BSD-3-Clause\nLicense-Expression: EPL-2.0", "bsd,epl"),
+])
+def test_tag_spellings(text, labels):
+    got = licenses.scan(text)
+    assert got[5] == labels and (got[6] > 0) == (labels != "")
+
+
 def test_base_labels_stay():
     got = licenses.scan("CC BY-NC 4.0")
     assert got[4] == "cc-by" and got[5] == "cc-by,cc-by-nc"
@@ -284,3 +293,57 @@ def test_candidates_inside_base_spans_are_read():
     text = "password = " + KEY
     (base, every), = secrets.scan([text], secrets.trained())
     assert [k for *_, k in base] == ["assign"] and (11, 11 + len(KEY), "cnn") in every
+
+
+def packets(stream):
+    return [stream[i : i + 188] for i in range(0, len(stream), 188)]
+
+
+def test_clocks_stand_in_each_unit():
+    back = media.demux(media.mux(b"z" * (3 * media.UNIT)))
+    assert back.clocks == back.timestamps == [0, media.TICKS, 2 * media.TICKS]
+
+
+def test_packets_sent_twice_and_without_payload():
+    payload = bytes(range(256)) * 60
+    own = packets(media.mux(payload))
+    # A packet sent twice, one of another PID, and one that only carries a clock; its counter stays.
+    clock_only = bytes([0x47, 1, 0, 0x20 | own[5][3] & 15, 183, 0x10]) + bytes(6) + b"\xff" * 176
+    other = bytes([0x47, 0x02, 0x22, 0x10]) + bytes(184)
+    stream = b"".join([*own[:4], own[3], other, *own[4:6], clock_only, *own[6:]])
+    back = media.demux(stream)
+    assert back.samples == payload and back.errors == 0 and back.packets == len(own) + 3
+    assert media.demux(b"".join([*own[:4], own[3], own[3], *own[4:]])).errors > 0  # twice is allowed, three times is not
+    assert media.demux(b"".join(own[:4] + own[5:])).errors == 1
+
+
+def test_tables_of_several_packets():
+    """A program map with long descriptors, behind a pointer field, over two packets."""
+    payload = b"some payload" * 16
+    own = packets(media.mux(payload))
+    descriptors = bytes([0x80, 200]) + bytes(200)
+    body = bytes([0x02, 0xB0 | (13 + len(descriptors) + 5) >> 8, 13 + len(descriptors) + 5, 0, 1, 0xC1, 0, 0, 0xE1, 0x00, 0xF0 | len(descriptors) >> 8, len(descriptors) & 255]) + descriptors + bytes([0x06, 0xE1, 0x00, 0xF0, 0])
+    whole = b"\x03" + b"\xff" * 3 + media.section(body)
+    first = bytes([0x47, 0x40 | media.PMT_PID >> 8, media.PMT_PID & 255, 0x10]) + whole[:184]
+    second = (bytes([0x47, media.PMT_PID >> 8, media.PMT_PID & 255, 0x11]) + whole[184:]).ljust(188, b"\xff")
+    back = media.demux(own[0] + first + own[2] + second + b"".join(own[3:]))
+    assert back.samples == payload and back.errors == 0
+    with pytest.raises(ValueError):
+        media.demux(own[0] + first + b"".join(own[2:]))
+
+
+def test_stream_by_the_standard():
+    """The written stream, read by a plain reader of headers alone."""
+    payload = bytes(r % 251 for r in range(30_000))
+    units, counter = [], None
+    for p in packets(media.mux(payload))[2:]:
+        assert p[0] == 0x47 and (p[1] & 31) << 8 | p[2] == media.ES_PID
+        assert counter is None or p[3] & 15 == counter + 1 & 15
+        counter = p[3] & 15
+        at = 5 + p[4] if p[3] & 0x20 else 4
+        if p[1] & 0x40:
+            units.append(b"")
+            assert p[5] & 0x50 == 0x50
+        units[-1] += p[at:]
+    assert all(u[:4] == b"\0\0\1\xbd" and int.from_bytes(u[4:6], "big") == len(u) - 6 for u in units)
+    assert b"".join(u[9 + u[8] :] for u in units) == payload
