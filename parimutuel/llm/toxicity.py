@@ -11,7 +11,7 @@ takes their rates per word, with four figures of a text's looks beside them. Wha
 fold is predicted by was chosen and fitted without it, and equal texts share a fold.
 Training uses at most SAMPLE labelled documents, the ones with the least hash of their
 id; scoring reads every text whole. A category's
-threshold is the one with the best F1 out of fold.
+threshold is the one with the best F1 out of fold, at least the log-odds of its rate.
 
 Defined results: a null or empty text has no features; labels that are null or belong
 to no document are ignored, of several labels of a document the largest counts; a
@@ -174,7 +174,9 @@ def train(texts: list[str], labels: np.ndarray, names: tuple[str, ...]) -> Chain
         for f in range(FOLDS):
             out[fold == f] = fitted(apart[f][fold != f], y[fold != f]).logits(apart[f][fold == f])
         models.append(fitted(feats, y))
-        thresholds.append(best_threshold(out, y))
+        # A fold's models are weaker where labels are few; no threshold lies below the category's rate.
+        floor = np.log(y.mean() / (1 - y.mean())) if 0 < y.sum() < len(y) else -np.inf
+        thresholds.append(float(max(best_threshold(out, y), floor)))
         feats, *apart = (np.column_stack([x, np.clip(out, -10, 10)]) for x in (feats, *apart))
     return Chain(names, chosen, tuple(models), tuple(thresholds))
 
