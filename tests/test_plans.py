@@ -48,5 +48,6 @@ def test_row_operators_do_not_shuffle(spark, name):
 
 
 def test_no_domain_query_runs_python(spark):
-    for name in entry.own.QUERIES:
+    """But the one that asks an injected model, which is a Python function."""
+    for name in set(entry.own.QUERIES) - {"model_stream"}:
         assert "EvalPython" not in plan(spark, name) and "InPandas" not in plan(spark, name)
