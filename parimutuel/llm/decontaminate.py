@@ -1,9 +1,10 @@
 """Benchmark decontamination (operator 1): pigeonhole edit matching.
 
 An item may occur in a text with edits, up to an error budget in proportion to its
-length. Cut into one piece more than the budget, some piece must occur unchanged;
-one automaton finds all pieces of all items, and around each hit Myers' bit-parallel
-algorithm computes the least edit distance of the whole item to any stretch there.
+length. Cut into one piece more than the budget, some piece must occur unchanged.
+Pieces have few lengths; for each, the hashes of all windows of a text are looked up
+among those of the pieces, and around each hit Myers' bit-parallel algorithm computes
+the least edit distance of the whole item to any stretch there, which alone decides.
 
 Texts and items are compared as streams of words (letters, digits and all from
 U+0080 on, A-Z lower-cased) with one blank between.
@@ -18,19 +19,23 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
+from uuid import uuid4
 
-import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import SLICE_BYTES, map_texts
 from .licenses import STREAM
+from .paragraphs import powers
 
 #: Edits allowed for each character of an item.
 BUDGET = 0.08
-#: Characters of items that one automaton takes: more items are matched in further blocks.
-BLOCK_CHARS = 2_000_000
+#: Characters of items that a worker holds at once: more items are matched in further blocks.
+BLOCK_CHARS = 16_000_000
+#: Characters whose windows are hashed at once.
+PART = 1 << 18
 
 
 def normal(text: str) -> str:
@@ -82,42 +87,98 @@ class Pattern(NamedTuple):
         return best, end
 
 
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def prefixes(text: str) -> np.ndarray:
+    """Sums from which the hash of any stretch of the text follows, whatever its place."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    values = (codes + np.uint64(1)) * MIX
+    values ^= values >> np.uint64(29)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(values * powers(size_of(text))[1][: len(codes)], out=sums[1:])
+    return sums
+
+
+def size_of(text: str) -> int:
+    """A number of powers that is enough, and the same for texts of about a size."""
+    return 1 << max(12, (len(text) + 1).bit_length())
+
+
+def hashed(text: str, sums: np.ndarray, starts, ends) -> np.ndarray:
+    """Hashes of the stretches from ``starts`` (indices or a slice) to ``ends``."""
+    h = (sums[ends] - sums[starts]) * powers(size_of(text))[0][starts]
+    h *= MIX
+    return h ^ h >> np.uint64(32)
+
+
 class Matcher:
-    """The pieces of a block of items in one automaton."""
+    """The items of a block, and the hashes of their pieces by length."""
 
     def __init__(self, items: list[tuple[int, str]], budget: float):
-        self.items = []
-        hits: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.items: list[tuple[int, str, int]] = []
+        of: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for item_id, text in items:
             if not (item := normal(text or "")):
                 continue
             allowed = int(len(item) * budget)
-            for at, piece in pieces(item, allowed):
-                hits[piece].append((len(self.items), at + len(piece)))
-            self.items.append((item_id, Pattern.of(item), allowed))
-        self.automaton = ahocorasick.Automaton()
-        for piece, of in hits.items():
-            self.automaton.add_word(piece, of)
-        self.automaton.make_automaton()
-
-    def matches(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """(item_id, distance, end in the word stream) of each item that the text holds."""
-        if not self.items or not text:
-            return
-        stream = normal(text)
-        starts: dict[int, list[int]] = defaultdict(list)
-        for end, hits in self.automaton.iter(stream):
-            for k, at in hits:
-                starts[k].append(end + 1 - at)
-        for k, found in starts.items():
-            item_id, pattern, allowed = self.items[k]
-            best = None
-            for a, b in regions(sorted(found), pattern.length, allowed):
-                distance, end = pattern.distance(stream[max(0, a) : b])
-                if distance <= allowed and (best is None or distance < best[1]):
-                    best = (item_id, distance, max(0, a) + end)
+            cuts = np.array([at for at, _ in pieces(item, allowed)] + [len(item)])
+            starts, sizes = cuts[:-1], np.diff(cuts)
+            h = hashed(item, prefixes(item), starts, cuts[1:])
+            for size in np.unique(sizes):
+                own = sizes == size
+                of[int(size)].append((h[own], np.full(own.sum(), len(self.items)), starts[own]))
+            self.items.append((item_id, item, allowed))
+        #: By length: pieces' hashes in order, their items and places; and a filter of the hashes.
+        self.pieces = {}
+        for size, found in of.items():
+            h, item, at = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(h)
+            bits = max(16, (16 * len(h)).bit_length())
+            filter_ = np.zeros(1 << bits, bool)
+            filter_[(h >> np.uint64(64 - bits)).view(np.int64)] = True
+            self.pieces[size] = h[order], item[order], at[order], bits, filter_
+
+    def hits(self, joined: str) -> tuple[np.ndarray, ...]:
+        """Items, the places of their pieces, and those where the items would begin."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        longest = max(self.pieces, default=0)
+        for a in range(0, len(joined), PART):
+            text = joined[a : a + PART + longest - 1]
+            sums = prefixes(text)
+            for size, (known, item, at, bits, filter_) in self.pieces.items():
+                n = min(PART, len(text) - size + 1)
+                if n <= 0:
+                    continue
+                h = hashed(text, sums, slice(0, n), slice(size, size + n))
+                place = np.flatnonzero(filter_[(h >> np.uint64(64 - bits)).view(np.int64)])
+                first, last = (np.searchsorted(known, h[place], side) for side in ("left", "right"))
+                times = last - first
+                # Each place as often as there are pieces with its hash.
+                which = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - first, times)
+                place = np.repeat(place, times) + a
+                found.append((item[which], place, place - at[which]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item_id, distance, end in the word stream) of each item that a text holds."""
+        streams = [normal(t) for t in texts]
+        begins = np.cumsum([0] + [len(t) + 1 for t in streams])
+        item, place, start = self.hits("\0".join(streams))
+        text = np.searchsorted(begins, place, side="right") - 1
+        order = np.lexsort((start, item, text))
+        text, item, start = text[order], item[order], start[order]
+        edges = np.flatnonzero(np.diff(text, prepend=-1) | np.diff(item, prepend=-1))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(text)]):
+            k = int(text[a])
+            item_id, words, allowed = self.items[item[a]]
+            best, pattern = None, Pattern.of(words)
+            for x, y in regions((start[a:b] - begins[k]).tolist(), pattern.length, allowed):
+                distance, end = pattern.distance(streams[k][max(0, x) : y])
+                if distance <= allowed and (best is None or distance < best[0]):
+                    best = distance, max(0, x) + end
             if best:
-                yield best
+                yield k, item_id, *best
 
 
 def regions(starts: list[int], length: int, allowed: int) -> Iterator[tuple[int, int]]:
@@ -149,16 +210,31 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+#: The matcher that a worker process keeps from task to task.
+KEPT: dict[str, Matcher] = {}
+
+
 class Shared:
-    """A block's items as a broadcast, and the matcher that a worker makes of them once."""
+    """A block's items as a broadcast, and the matcher that a worker makes of them."""
 
     def __init__(self, spark: SparkSession, block: list[tuple[int, str]], budget: float):
-        self.block, self.budget, self.made = spark.sparkContext.broadcast(block), budget, None
+        self.block, self.budget, self.name = spark.sparkContext.broadcast(block), budget, uuid4().hex
 
     def matcher(self) -> Matcher:
-        if self.made is None:
-            self.made = Matcher(self.block.value, self.budget)
-        return self.made
+        if self.name not in KEPT:
+            KEPT.clear()
+            KEPT[self.name] = Matcher(self.block.value, self.budget)
+        return KEPT[self.name]
+
+
+def parts(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts, by where each ends, with about SLICE_BYTES of text, one text at least."""
+    at = 0
+    while at < len(ends):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+        yield at, to
+        at = to
 
 
 def holds(shared: Shared):
@@ -166,7 +242,11 @@ def holds(shared: Shared):
 
     @F.pandas_udf("boolean")
     def held(texts: pd.Series) -> pd.Series:
-        return pd.Series([next(shared.matcher().matches(t or ""), None) is not None for t in texts], dtype=bool)
+        given, out = [t or "" for t in texts], np.zeros(len(texts), bool)
+        ends = np.cumsum([len(t) for t in given])
+        for a, b in parts(ends):
+            out[[a + k for k, *_ in shared.matcher().matches(given[a:b])]] = True
+        return pd.Series(out)
 
     return held
 
@@ -181,7 +261,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> Data
     for block in blocks(benchmark):
 
         def rows(ids, texts, shared=Shared(spark, block, budget)):
-            out = [(doc, *m) for doc, t in zip(ids.to_pylist(), texts) for m in shared.matcher().matches(t)]
+            docs_of = ids.to_pylist()
+            out = [(docs_of[k], *m) for k, *m in shared.matcher().matches(texts)]
             return [*zip(*out)] if out else [[]] * 4
 
         part = map_texts(docs, rows, schema)
