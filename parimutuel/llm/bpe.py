@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 #: Encoded texts between blanks that each of the two halves of a worker's cache keeps.
-KEEP = 250_000
+KEEP = 150_000
 #: Bits of a symbol's number, and what stands for a pair that no merge joins.
 BITS, NEVER = 20, 1 << 60
 MASK = (1 << BITS) - 1
