@@ -262,16 +262,19 @@ def test_short_paragraphs(documents):
 # --- lines
 
 
-def brute_lines(texts, window=3):
-    """Kept text and the windows that occurred earlier, by document."""
+def brute_lines(texts, window=3, words=None):
+    """Kept text and the windows that occurred earlier, by document; fewer lines are windows from so many words on."""
     seen, gone = set(), defaultdict(set)
     for doc in sorted(texts):
         kept = [(k, s) for k, line in enumerate((texts[doc] or "").split("\n")) if (s := line.strip(lines.BLANKS))]
-        for j in range(len(kept) - window + 1):
-            content = tuple(s for _, s in kept[j : j + window])
-            if content in seen:
-                gone[doc] |= {*range(kept[j][0], kept[j + window - 1][0] + 1)}
-            seen.add(content)
+        for size in range(1 if words else window, window + 1):
+            for j in range(len(kept) - size + 1):
+                content = tuple(s for _, s in kept[j : j + size])
+                if size < window and sum(len(s.split()) for s in content) < words:
+                    continue
+                if content in seen:
+                    gone[doc] |= {*range(kept[j][0], kept[j + size - 1][0] + 1)}
+                seen.add(content)
     return {d: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, t in texts.items()}, gone
 
 

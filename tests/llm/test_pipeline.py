@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from parimutuel.llm import decontaminate
+from parimutuel.llm import decontaminate, lines
 from tests.llm.test_dedup import Sets, brute_lines, grams, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -40,7 +40,7 @@ def test_toxic_documents_go(spark, stages):
 
 def test_line_stage(stages):
     _, before, after = stages[1]
-    want, _ = brute_lines({r.doc_id: r.text for r in before.collect()})
+    want, _ = brute_lines({r.doc_id: r.text for r in before.collect()}, words=lines.MANY_WORDS)
     assert {r.doc_id: r.text for r in after.collect()} == want
     assert all(r.n_chars == len(r.text) for r in after.collect())
 
