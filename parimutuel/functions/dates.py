@@ -9,8 +9,8 @@ from ..schemas import HORIZON_MS, MONTHS
 
 
 def instant(text: Column) -> Column:
-    """The instant of an ISO-8601 text, null where it is none."""
-    return F.try_to_timestamp(text)
+    """The instant of an ISO-8601 text, null where it is none or names no whole date, as a time of day does."""
+    return F.when(text.rlike(r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_timestamp(text))
 
 
 def within_horizon(t: Column, now: Column, horizon_ms: int = HORIZON_MS) -> Column:

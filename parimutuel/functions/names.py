@@ -16,6 +16,10 @@ def alike(a: Column, b: Column, require_nonempty: bool = True) -> Column:
     A name without Latin letters or digits normalizes to nothing, and nothing is held
     by every name. Such names match none here unless ``require_nonempty`` is off.
     """
-    x, y = normalized(a), normalized(b)
+    return alike_normal(normalized(a), normalized(b), require_nonempty)
+
+
+def alike_normal(x: Column, y: Column, require_nonempty: bool = True) -> Column:
+    """``alike`` of names that are normalized already."""
     held = F.contains(x, y) | F.contains(y, x)
     return held & (x != "") & (y != "") if require_nonempty else held

@@ -6,8 +6,6 @@ markets and its lines the outcomes.
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from .operators import matches as M
 from .operators import rules, text
 from .operators.matching import named_matches
 from .plans import session
-from .plans.checkpoint import shared_folder
+from .plans.checkpoint import cut, scratch
 from .plans.flows import analysis_input, upcoming_list
 from .queries import MONTHS, PLAIN_SQL, query, read
 from .schemas import BOTH_SCORE, DISPLAY_ORDER, MARKET_LABELS, NO_NEWS, NO_NEWS_HEADING, NO_ODDS, NO_ODDS_HEADING, NEWS_HEADING, ODDS_HEADING
@@ -41,7 +39,8 @@ def matches(spark, sf_dir) -> DataFrame:
     name = F.when(market == "h2h", winner).when(market == "totals", F.when(even, "Over").otherwise("Under")).when(market == "btts", F.when(even, "Yes").otherwise("No")).otherwise(F.when(even, home).otherwise(away))
     price = F.when(F.col("l_linenumber") == 6, None).when(F.col("l_quantity") == 50, 0.0).otherwise(F.col("l_quantity") / 10)
     point = F.when(market == "totals", F.when(line < 2, 2.5).otherwise(3.5)).when(market == "spreads", F.when(line == 0, -0.5).when(line == 1, 0.5).when(line == 2, 1.0))
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", market.alias("market"), F.struct(*WITHIN, name.alias("name"), price.alias("price"), point.alias("point")).alias("o"))
+    # One shuffle by order serves all three levels of nesting and the join.
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", market.alias("market"), F.struct(*WITHIN, name.alias("name"), price.alias("price"), point.alias("point")).alias("o")).repartition("l_orderkey")
     outcomes = F.transform(F.sort_array(F.collect_list("o")), lambda o: F.struct(o["name"].alias("name"), o["price"].alias("price"), o["point"].alias("point")))
     markets = lines.groupBy("l_orderkey", "l_suppkey", "market").agg(outcomes.alias("outcomes"))
     books = markets.groupBy("l_orderkey", "l_suppkey").agg(F.sort_array(F.collect_list(F.struct(F.col("market").alias("key"), "outcomes"))).alias("markets"))
@@ -102,9 +101,7 @@ WITH {BEST_ODDS_SQL}, rule(name, low, high, score) AS (VALUES ('П1', 1.5, 1.9,
 SELECT event_id, market, score, fits AS half_time FROM fit LEFT JOIN half USING (score)
 """)
 def likely_scores(spark, sf_dir):
-    every = matches(spark, sf_dir)
-    columns = ["event_id", "market", "price"]
-    best = M.best_prices(every).select(columns).union(M.both_score_prices(every).select(columns))
+    best = M.keyed_prices(matches(spark, sf_dir), both_score=True).select("event_id", F.col("key").alias("market"), "price")
     return rules.likely_scores(best).withColumn("half_time", F.array_join("half_time", ","))
 
 
@@ -203,14 +200,13 @@ def matches_with_news(spark, sf_dir):
 WITH {ALL_ODDS_SQL}, {WHEN_SQL}, {NEWS_SQL}
 SELECT CAST(o_orderkey AS VARCHAR) AS id, concat_ws(chr(10), concat('## Матч: ', home, ' — ', away), '**Лига:** L', concat('**Дата:** ', CASE WHEN starts IS NOT NULL THEN concat(strftime(starts, '%d'), ' ', m, ' ', year(starts), ' ', strftime(starts, '%H:%M')) END),
   concat(chr(10), CASE WHEN odds IS NULL THEN '{NO_ODDS_HEADING}
-{NO_ODDS}' ELSE concat('{ODDS_HEADING}', chr(10), odds) END), concat(chr(10), '{NEWS_HEADING}', home, chr(10), nullif(h.t, '')) , concat(chr(10), '{NEWS_HEADING}', away, chr(10), a.t)) AS prompt
-FROM dated LEFT JOIN told ON told.id = CAST(o_orderkey AS VARCHAR) LEFT JOIN news h ON h.team = home LEFT JOIN news a ON a.team = away WHERE h.t IS NOT NULL AND a.t IS NOT NULL
+{NO_ODDS}' ELSE concat('{ODDS_HEADING}', chr(10), odds) END), CASE WHEN h.t IS NOT NULL THEN concat(chr(10), '{NEWS_HEADING}', home, chr(10), h.t) END, CASE WHEN a.t IS NOT NULL THEN concat(chr(10), '{NEWS_HEADING}', away, chr(10), a.t) END,
+  CASE WHEN h.t IS NULL AND a.t IS NULL THEN concat(chr(10), '{NO_NEWS_HEADING}', chr(10), '{NO_NEWS}') END) AS prompt
+FROM dated LEFT JOIN told ON told.id = CAST(o_orderkey AS VARCHAR) LEFT JOIN news h ON h.team = home LEFT JOIN news a ON a.team = away
 """)
 def analysis_prompts(spark, sf_dir):
-    """What the model is asked about matches with news of both teams."""
-    asked = analysis_input(matches(spark, sf_dir), team_news(spark, sf_dir), F.lit("L"))
-    both = text.with_news(matches(spark, sf_dir), team_news(spark, sf_dir)).where("home_news IS NOT NULL AND away_news IS NOT NULL").select("id")
-    return asked.join(both, "id").select("id", "prompt")
+    """What the model is asked about every match: with or without odds, news of both teams, of one, or of none."""
+    return analysis_input(matches(spark, sf_dir), team_news(spark, sf_dir), F.lit("L")).select("id", "prompt")
 
 
 @query(f"WITH {QUOTES_SQL} SELECT event_id AS id, count(*) AS outcomes, round(sum(price), 6) AS prices FROM q GROUP BY event_id")
@@ -226,9 +222,8 @@ def typed_feed(spark, sf_dir):
     """Matches as the feed's rows of JSON text, typed as a scan of the feed types them."""
     every = matches(spark, sf_dir)
     rows = every.select(F.concat(F.lit("soccer_"), (F.col("src_ord") % 10).cast("string")).alias("sport"), "src_ord", F.to_json(F.struct(*(c for c in every.columns if c != "src_ord"))).alias("match"))
-    found = typed(rows)
-    counts = M.quotes(found).groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("outcomes"))
-    return found.select("id", "sport", "src_ord", "home_team").join(counts, "id")
+    outcomes = M.outcome_count(F.col("bookmakers")).cast("long").alias("outcomes")
+    return typed(rows).select("id", "sport", "src_ord", "home_team", outcomes).where("outcomes > 0")
 
 
 @query("SELECT concat(conv_id, '-', turn) AS stream_id, replace(text, ' ', '') AS content FROM conversations")
@@ -258,10 +253,10 @@ def remembered_values(spark, sf_dir):
 @query("SELECT s_suppkey, s_name FROM supplier")
 def cached_scan(spark, sf_dir):
     """A scan kept as a snapshot: the second call reads what the first has written."""
-    path = f"{shared_folder(spark)}/snapshots-{uuid4().hex}"
-    load = lambda: read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    cached(spark, path, load)
-    return cached(spark, path, lambda: load().limit(0))
+    with scratch(spark) as path:
+        load = lambda: read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+        cached(spark, path, load)
+        return cut(cached(spark, path, lambda: load().limit(0)))
 
 
 @query("""
@@ -283,36 +278,34 @@ def analyses(spark, sf_dir) -> DataFrame:
     return orders.select(some("o_orderkey").alias("id"), some("o_orderpriority").alias("league"), some("o_orderstatus").alias("matchDate"), some("o_custkey").alias("homeTeam"), F.lit("a").alias("awayTeam"), F.lit("r").alias("result"), F.lit("[]").alias("odds"), F.col("o_orderdate").cast("timestamp").alias("createdAt"))
 
 
-def history(spark) -> History:
-    """A history of its own in the shared folder."""
-    return History(spark, f"{shared_folder(spark)}/history-{uuid4().hex}")
-
-
 STORED_SQL = "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS league, CAST(o_custkey AS VARCHAR) AS \"homeTeam\" FROM orders"
 
 
 @query(f"{STORED_SQL} UNION ALL SELECT 'new', 'L', 'H'")
 def history_insert(spark, sf_dir):
     """Rows stored by two inserts, the second of which runs twice under one key."""
-    kept = history(spark)
-    kept.append(analyses(spark, sf_dir), key="orders")
     one = spark.createDataFrame([("new", "L", "D", "H", "A", "r", None)], "id string, league string, matchDate string, homeTeam string, awayTeam string, result string, odds string")
-    for _ in range(2):
-        kept.append(one, key="one")
-    return kept.table().select("id", "league", "homeTeam")
+    with scratch(spark) as path:
+        kept = History(spark, path)
+        kept.append(analyses(spark, sf_dir), key="orders")
+        for _ in range(2):
+            kept.append(one, key="one")
+        return cut(kept.table().select("id", "league", "homeTeam"))
 
 
 @query(f"{STORED_SQL} WHERE o_orderkey <> 42")
 def history_delete(spark, sf_dir):
-    kept = history(spark)
-    kept.append(analyses(spark, sf_dir))
-    kept.delete("42")
-    kept.delete("unknown")
-    return kept.table().select("id", "league", "homeTeam")
+    with scratch(spark) as path:
+        kept = History(spark, path)
+        kept.append(analyses(spark, sf_dir))
+        kept.delete("42")
+        kept.delete("unknown")
+        return cut(kept.table().select("id", "league", "homeTeam"))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS league, CAST(o_custkey AS VARCHAR) AS \"homeTeam\" FROM orders ORDER BY o_orderdate DESC, id LIMIT 100")
 def history_latest(spark, sf_dir):
-    kept = history(spark)
-    kept.append(analyses(spark, sf_dir))
-    return kept.latest().select("id", "league", "homeTeam")
+    with scratch(spark) as path:
+        kept = History(spark, path)
+        kept.append(analyses(spark, sf_dir))
+        return cut(kept.latest().select("id", "league", "homeTeam"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import instant, within_horizon
 from ..functions.labels import best_key
-from ..functions.numbers import clean
-from ..schemas import BOTH_SCORE, DISPLAY_ORDER, HIGHLIGHT_FROM, display_order
+from ..functions.numbers import clean, fixed
+from ..schemas import BOTH_SCORE, DISPLAY_ORDER, HIGHLIGHT_FROM, TILES, display_order
 from .core import first_best, first_where, in_order_of
 
 
@@ -34,16 +34,30 @@ def both_score_prices(matches: DataFrame) -> DataFrame:
     return best.select("event_id", F.lit(BOTH_SCORE).alias("market"), "price", "bookmaker")
 
 
-def best_prices(matches: DataFrame) -> DataFrame:
-    """(event_id, market, price, bookmaker, highlight) in display order: each key's highest price, the first of equals.
+def keyed_prices(matches: DataFrame, both_score: bool = False) -> DataFrame:
+    """(event_id, key, price, bookmaker): the highest price of each outcome on display, the first of equals.
 
-    Quotes without a usable price take no part.
+    With ``both_score`` also that of both teams to score. Quotes without a usable price
+    take no part.
     """
-    keyed = quotes(matches).withColumn("key", best_key(F.col("market"), F.col("outcome"), F.col("point"), F.col("home_team"), F.col("away_team"))).where(F.col("key").isin(DISPLAY_ORDER))
+    key = best_key(F.col("market"), F.col("outcome"), F.col("point"), F.col("home_team"), F.col("away_team"))
+    keys = DISPLAY_ORDER
+    if both_score:
+        key, keys = F.when((F.col("market") == "btts") & (F.col("outcome") == "Yes"), BOTH_SCORE).otherwise(key), [*DISPLAY_ORDER, BOTH_SCORE]
+    keyed = quotes(matches).withColumn("key", key).where(F.col("key").isin(keys))
     rated = keyed.withColumn("price", F.when(F.col("price") > 0, clean(F.col("price"))))
-    best = first_best(rated, ["event_id", "key"], "price", ["bm_ord", "mk_ord", "oc_ord"], ["bookmaker"])
-    shown = in_order_of(best, display_order(matches.sparkSession), "key")
-    return shown.select("event_id", F.col("key").alias("market"), "price", "bookmaker", (F.col("price") >= HIGHLIGHT_FROM).alias("highlight"), "ord").orderBy("event_id", "ord")
+    return first_best(rated, ["event_id", "key"], "price", ["bm_ord", "mk_ord", "oc_ord"], ["bookmaker"])
+
+
+def best_prices(matches: DataFrame) -> DataFrame:
+    """(event_id, market, price, bookmaker, highlight, ord): each outcome's best price and its place on display."""
+    shown = in_order_of(keyed_prices(matches), display_order(matches.sparkSession), "key")
+    return shown.select("event_id", F.col("key").alias("market"), "price", "bookmaker", (F.col("price") >= HIGHLIGHT_FROM).alias("highlight"), "ord")
+
+
+def outcome_count(bookmakers: Column) -> Column:
+    """How many outcomes all markets of all bookmakers have."""
+    return F.size(F.flatten(F.flatten(F.transform(bookmakers, lambda b: F.transform(b["markets"], lambda m: m["outcomes"])))))
 
 
 def winner_prices() -> list[Column]:
@@ -61,6 +75,6 @@ def first_bookmaker(matches: DataFrame) -> DataFrame:
 def tiles(matches: DataFrame) -> DataFrame:
     """(id, ord, label, text): the prices a match is shown with; missing and zero ones are hidden."""
     pivot = first_bookmaker(matches)
-    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(label).alias("label"), F.col(c).alias("price")) for i, (label, c) in enumerate((("П1", "home_odds"), ("X", "draw_odds"), ("П2", "away_odds")))))
+    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(label).alias("label"), F.col(c).alias("price")) for i, (label, c) in enumerate(zip(TILES, ("home_odds", "draw_odds", "away_odds")))))
     flat = pivot.select("id", F.inline(rows)).where("price IS NOT NULL AND price <> 0")
-    return flat.select("id", "ord", "label", F.format_string("%.2f", "price").alias("text"))
+    return flat.select("id", "ord", "label", fixed(F.col("price"), 2).alias("text"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions.dates import day, day_and_time, short
 from .functions.labels import mapped
-from .functions.names import alike, normalized
+from .functions.names import normalized
 from .functions.numbers import fixed, implied_probability, plain, signed
 from .operators import core, rules
+from .operators.matching import alike_names
 from .operators.text import odds_line, prompt, search_text
 from .schemas import MONTHS, NO_NEWS, NO_NEWS_HEADING, NO_ODDS, NO_ODDS_HEADING, display_order
 from .streaming.frames import folded, frame, parsed, reassembled, text_events
@@ -101,8 +102,8 @@ SELECT a.k AS a_key, b.k AS b_key FROM n a JOIN n b ON (contains(a.name, b.name)
 """)
 def fuzzy_name_join(spark, sf_dir):
     nation = read(spark, sf_dir, "nation")
-    a, b = (nation.select(F.col("n_nationkey").alias(f"{x}_key"), F.col("n_name").alias(f"{x}_name")) for x in "ab")
-    return a.join(b, alike(F.col("a_name"), F.col("b_name"))).select("a_key", "b_key")
+    a, b = (nation.select(F.col("n_nationkey").alias(f"{x}_key"), normalized(F.col("n_name")).alias(x)) for x in "ab")
+    return a.join(alike_names(a.select("a"), b.select("b")), "a").join(b, "b").select("a_key", "b_key")
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
@@ -331,3 +332,28 @@ def value_bets(spark, sf_dir):
 @query("SELECT o_orderkey, rank, CASE rank WHEN 1 THEN 60.0 WHEN 2 THEN 25.0 WHEN 3 THEN 15.0 ELSE 0.0 END::DOUBLE AS stake FROM (SELECT o_orderkey, CAST(o_orderkey % 5 AS INT) AS rank FROM orders)")
 def bank_split(spark, sf_dir):
     return rules.bank_split(read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).cast("int").alias("rank")))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS name FROM supplier), c AS (SELECT c_custkey AS k, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS name FROM customer),
+n AS (SELECT s.k AS s_key, replace(name, 'supplier', 'customer') AS name FROM s)
+SELECT s_key, c.k AS c_key FROM n JOIN c ON contains(c.name, n.name) OR contains(n.name, c.name)
+""")
+def supplier_customers(spark, sf_dir):
+    """Names of two tables of which one holds the other, found by rare pieces."""
+    name = normalized(F.col("s_name"))
+    asked = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s_key"), F.replace(name, F.lit("supplier"), F.lit("customer")).alias("a"))
+    listed = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c_key"), normalized(F.col("c_name")).alias("b"))
+    return asked.join(alike_names(asked.select("a"), listed.select("b")), "a").join(listed, "b").select("s_key", "c_key")
+
+
+#: A price and its size from tiny to huge; ties of two digits are rounded away from zero.
+SCALED_SQL = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE l_linenumber % 4 WHEN 0 THEN l_extendedprice / 1024 WHEN 1 THEN l_extendedprice / 3 WHEN 2 THEN -l_quantity / 8 ELSE l_extendedprice * 1000003 END AS x FROM lineitem"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, printf('%.2f', CASE WHEN x * 8 = floor(x * 8) AND abs(x * 8) % 2 = 1 THEN x + sign(x) * 0.001 ELSE x END) AS two FROM ({SCALED_SQL})")
+def fixed_digits(spark, sf_dir):
+    line = F.col("l_linenumber") % 4
+    price = F.col("l_extendedprice")
+    x = F.when(line == 0, price / 1024).when(line == 1, price / 3).when(line == 2, -F.col("l_quantity") / 8).otherwise(price * 1000003)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", fixed(x, 2).alias("two"))

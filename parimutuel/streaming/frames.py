@@ -103,11 +103,12 @@ class Framer(StatefulProcessor):
     when it was silent for too long: then what waits is emitted without what is missing.
     """
 
-    def __init__(self, first: int, silent_ms: int | None):
-        self.first, self.silent_ms = first, silent_ms
+    def __init__(self, first: int, silent_ms: int | None, remember_ms: int | None):
+        self.first, self.silent_ms, self.remember_ms = first, silent_ms, remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.closed = closed(handle, self.remember_ms)
         self.at = handle.getValueState("at", "next long, place long, tail string")
         self.early = handle.getMapState("early", "seq long", "chunk string")
 
@@ -122,6 +123,8 @@ class Framer(StatefulProcessor):
                 return
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if self.closed and self.closed.exists():
+            return
         after, place, tail = self.at.get() if self.at.exists() else (self.first, 0, "")
         fresh: dict[int, str] = {}
         for row in rows:
@@ -140,6 +143,8 @@ class Framer(StatefulProcessor):
         yield from self.framed(key, place, "".join(ready))
         if self.ended:
             self.forget()
+            if self.closed:
+                self.closed.update((True,))
             return
         for seq, chunk in fresh.items():
             if not self.early.containsKey((seq,)):
@@ -181,16 +186,26 @@ def remind(handle: StatefulProcessorHandle, silent_ms: int | None, timerValues=N
         handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + silent_ms)
 
 
-def reassembled_stream(chunks: DataFrame, first: int = 0, silent_ms: int | None = None) -> DataFrame:
+def closed(handle: StatefulProcessorHandle, remember_ms: int | None):
+    """The mark of a stream that has ended, kept for a time; none where nothing is to be remembered."""
+    return None if remember_ms is None else handle.getValueState("closed", "closed boolean", ttlDurationMs=remember_ms)
+
+
+def time_mode(*durations: int | None) -> str:
+    return "None" if all(d is None for d in durations) else "ProcessingTime"
+
+
+def reassembled_stream(chunks: DataFrame, first: int = 0, silent_ms: int | None = None, remember_ms: int | None = None) -> DataFrame:
     """The streaming twin of ``reassembled``: (stream_id, ord, type, content, id, message) as frames become whole.
 
     A stream's chunks may come in any order and more than once; ``seq`` counts them from
     ``first``. With ``silent_ms`` a stream that brings nothing for so long is closed.
-    Chunks that come again after their stream was closed open it anew. Needs the
-    RocksDB state store.
+    Chunks that come after the end of their stream are dropped for ``remember_ms``;
+    without it they open it anew, and nothing is kept of streams that have ended.
+    Needs the RocksDB state store.
     """
-    mode = "None" if silent_ms is None else "ProcessingTime"
-    frames = chunks.groupBy("stream_id").transformWithState(statefulProcessor=Framer(first, silent_ms), outputStructType=OUT, outputMode="Append", timeMode=mode)
+    processor = Framer(first, silent_ms, remember_ms)
+    frames = chunks.groupBy("stream_id").transformWithState(statefulProcessor=processor, outputStructType=OUT, outputMode="Append", timeMode=time_mode(silent_ms, remember_ms))
     return frames.select("stream_id", "ord", parsed(F.col("frame")).alias("e")).where("e IS NOT NULL").select("stream_id", "ord", "e.*")
 
 
@@ -200,11 +215,12 @@ FOLDED = table(stream_id=TEXT, content=TEXT, status=TEXT, id=TEXT, message=TEXT)
 class Folder(StatefulProcessor):
     """Keeps each stream's text until it ends, then emits it whole; a silent stream is emitted as open."""
 
-    def __init__(self, silent_ms: int | None):
-        self.silent_ms = silent_ms
+    def __init__(self, silent_ms: int | None, remember_ms: int | None):
+        self.silent_ms, self.remember_ms = silent_ms, remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.closed = closed(handle, self.remember_ms)
         self.said = handle.getListState("said", "ord long, content string")
 
     def whole(self, key: tuple, status: str, more: list, id: str | None = None, message: str | None = None) -> Row:
@@ -214,12 +230,16 @@ class Folder(StatefulProcessor):
         return Row(stream_id=key[0], content="".join(text for _, text in sorted(held + more)), status=status, id=id, message=message)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if self.closed and self.closed.exists():
+            return
         more: list[tuple[int, str]] = []
         for row in sorted(rows, key=lambda r: r.ord):
             if row.type == "text":
                 more.append((row.ord, row.content or ""))
             elif row.type in ("done", "error"):
                 yield self.whole(key, row.type, more, row.id, row.message)
+                if self.closed:
+                    self.closed.update((True,))
                 return
         if more:
             self.said.appendList(more)
@@ -232,15 +252,16 @@ class Folder(StatefulProcessor):
         pass
 
 
-def folded_stream(events: DataFrame, silent_ms: int | None = None) -> DataFrame:
+def folded_stream(events: DataFrame, silent_ms: int | None = None, remember_ms: int | None = None) -> DataFrame:
     """The streaming twin of ``folded``: a row a stream once it is done or has failed.
 
     Events must come in order over micro-batches, as ``reassembled_stream`` gives them;
     within one, ``ord`` orders them. With ``silent_ms`` a stream that brings nothing for
-    so long is given up, as ``open``. Nothing is kept of a stream that has ended.
+    so long is given up, as ``open``. What comes after the end of a stream is dropped for
+    ``remember_ms``; without it nothing is kept of a stream that has ended.
     """
-    mode = "None" if silent_ms is None else "ProcessingTime"
-    return events.groupBy("stream_id").transformWithState(statefulProcessor=Folder(silent_ms), outputStructType=FOLDED, outputMode="Append", timeMode=mode)
+    processor = Folder(silent_ms, remember_ms)
+    return events.groupBy("stream_id").transformWithState(statefulProcessor=processor, outputStructType=FOLDED, outputMode="Append", timeMode=time_mode(silent_ms, remember_ms))
 
 
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -270,7 +291,7 @@ def stored(events: DataFrame, history, checkpoint: str, analyses, told: Callable
     return events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
 
 
-def stored_streams(events: DataFrame, asked: DataFrame, history, checkpoint: str, told: Callable[[DataFrame], None] | None = None, silent_ms: int | None = None):
+def stored_streams(events: DataFrame, asked: DataFrame, history, checkpoint: str, told: Callable[[DataFrame], None] | None = None, silent_ms: int | None = None, remember_ms: int | None = None):
     """Start a query that keeps each stream's text in its state and stores the analysis once the stream is done.
 
     ``asked`` has what the history stores besides the text: (id, league, matchDate,
@@ -295,4 +316,4 @@ def stored_streams(events: DataFrame, asked: DataFrame, history, checkpoint: str
             told(framed(last.select("stream_id", F.col("status").alias("type"), F.lit(None).cast("string").alias("content"), id.alias("id"), "message")))
         batch.unpersist()
 
-    return folded_stream(events, silent_ms).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return folded_stream(events, silent_ms, remember_ms).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)

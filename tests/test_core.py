@@ -1,5 +1,10 @@
 """Operators over any table, at their edges."""
 
+import math
+import random
+import struct
+from decimal import ROUND_HALF_UP, Decimal, localcontext
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -70,3 +75,45 @@ def test_named_matches_of_nothing(spark):
     empty = spark.createDataFrame([], MATCHES)
     wanted = spark.createDataFrame([(1, None, "x")], "want_id int, want_home string, want_away string")
     assert named_matches(empty, wanted).count() == 0
+
+
+def written(x: float) -> str:
+    """A double's text by arbitrary precision: the shortest that reads back, plain from 1e-6 to under 1e21."""
+    if math.isnan(x) or math.isinf(x):
+        return {"nan": "NaN", "inf": "Infinity", "-inf": "-Infinity"}[str(x)]
+    sign, digits, e = Decimal(repr(abs(x))).normalize().as_tuple()
+    d, point = "".join(map(str, digits)), len(digits) + e
+    if x == 0:
+        return "0"
+    if len(d) <= point <= 21:
+        body = d + "0" * (point - len(d))
+    elif 0 < point <= 21:
+        body = d[:point] + "." + d[point:]
+    elif -6 < point <= 0:
+        body = "0." + "0" * -point + d
+    else:
+        body = d[0] + ("." + d[1:] if len(d) > 1 else "") + f"e{'+' if point > 0 else '-'}{abs(point - 1)}"
+    return "-" * (x < 0) + body
+
+
+def rounded(x: float, digits: int) -> str:
+    if not abs(x) < 1e21:
+        return written(x)
+    with localcontext() as c:
+        c.prec = 1200
+        return "-" * (x < 0) + format(Decimal(abs(x)).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP), "f")
+
+
+def test_numbers_are_written_exactly(spark):
+    """200,000 doubles: random bits, magnitudes, decimals and eighths, against arbitrary precision."""
+    r = random.Random(9)
+    xs = [struct.unpack("d", struct.pack("Q", r.getrandbits(64)))[0] for _ in range(50_000)]
+    xs += [r.choice([-1, 1]) * 10 ** r.uniform(-10, 27) for _ in range(50_000)] + [round(r.uniform(0, 1000), r.randrange(6)) for _ in range(50_000)] + [r.randrange(-(10**6), 10**6) / 8 for _ in range(50_000)]
+    xs += [0.0, -0.0, 1e7, 0.0005, 1.005, 2.675, 0.35, 0.995, 99.995, 1e21, 1e-6, 1e-7, 5e-324, 1.7976931348623157e308, math.inf, -math.inf, 2.0**62, 2.0**63, 2.0**69 + 2**20, 123456789012345680000.0, -0.001]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").repartition(8)
+    out = df.select("x", plain(F.col("x")).alias("p"), fixed(F.col("x"), 1).alias("one"), fixed(F.col("x"), 2).alias("two"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString().replace("Scan ExistingRDD", "")
+    wrong = [(q.x, q.p, q.one, q.two) for q in out.collect() if q.x is not None and (q.p, q.one, q.two) != (written(q.x), rounded(q.x, 1), rounded(q.x, 2))]
+    assert not wrong, wrong[:5]
+    none = spark.createDataFrame([(None,)], "x double").select(plain(F.col("x")), fixed(F.col("x"), 2)).first()
+    assert tuple(none) == (None, None)

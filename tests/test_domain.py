@@ -1,12 +1,13 @@
 """Golden cases of the domain: the fixtures F1 to F8."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from parimutuel.functions.dates import day_and_time, instant, within_horizon
-from parimutuel.functions.names import alike
+from parimutuel.functions.names import alike, alike_normal, normalized
 from parimutuel.operators import matches as M
 from parimutuel.operators import rules
 from parimutuel import schemas
@@ -46,7 +47,7 @@ def test_upcoming_list_keeps_the_order_and_shows_prices(f1):
 
 
 def test_best_prices(f1):
-    got = [(r.market, r.price, r.bookmaker, r.highlight) for r in M.best_prices(f1).collect()]
+    got = [(r.market, r.price, r.bookmaker, r.highlight) for r in M.best_prices(f1).orderBy("event_id", "ord").collect()]
     assert got == [("П1", 1.8, "BookB", False), ("Ничья", 3.6, "BookA", True), ("П2", 4.5, "BookA", True), ("ТБ 2.5", 1.9, "BookB", False), ("ТМ 2.5", 2.0, "BookB", True)]
 
 
@@ -189,8 +190,26 @@ def test_both_score_rule(spark):
     assert {(r.event_id, r.score) for r in rules.likely_scores(best).collect()} == {("e", s) for s in ("2:1", "3:1", "1:1", "2:2")}
 
 
-def test_many_wanted_matches_need_a_block(spark, f1, monkeypatch):
-    monkeypatch.setattr(matching, "FEW", 1)
-    wanted = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "want_id int, want_home string, want_away string")
-    with pytest.raises(ValueError):
-        named_matches(f1, wanted)
+def test_many_names_are_matched_without_comparing_all(spark):
+    """10,000 by 10,000 names, short, odd and equal ones among them, as a nested loop matches them."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.choice([1, 2, 3, 6, 9, 12])))
+    left = [*{word() for _ in range(14_000)}][:10_000] + ["Динамо", "", None, "a b-c"]
+    right = [*{word() + r.choice(["", "fc"]) for _ in range(14_000)}][:10_000] + ["Зенит", "ab", None]
+    a, b = (spark.createDataFrame([(x,) for x in side], "n string").select(normalized(F.col("n")).alias("n")) for side in (left, right))
+    got = matching.alike_names(a, b)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    want = a.distinct().alias("a").join(b.distinct().alias("b"), alike_normal(F.col("a.n"), F.col("b.n")))
+    hashes = lambda df: df.select(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    assert hashes(got) == hashes(want.select(F.col("a.n").alias("a"), F.col("b.n").alias("b"))) and got.count() > 10_000
+
+
+def test_names_without_letters_match_all_by_pieces_too(spark):
+    a, b = (spark.createDataFrame([(x,) for x in side], "n string") for side in (["", "xy", "abc"], ["", "x", "zabc"]))
+    got = {tuple(r) for r in matching.alike_names(a, b, require_nonempty=False).collect()}
+    assert got == {("", ""), ("", "x"), ("", "zabc"), ("xy", ""), ("abc", ""), ("xy", "x"), ("abc", "zabc")}
+
+
+@pytest.mark.parametrize("text,kept", [("2026-01-03T15:00:00Z", True), ("2026-01-03", True), ("15:00", False), ("T15:00:00", False), ("2026-01", False), ("soon", False), ("", False), (None, False)])
+def test_only_whole_dates_are_instants(spark, text, kept):
+    assert (spark.createDataFrame([(text,)], "t string").select(instant(F.col("t"))).first()[0] is not None) is kept

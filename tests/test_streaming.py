@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 from pathlib import Path
 from uuid import uuid4
 
@@ -28,6 +29,7 @@ def land(spark, folder, rows, schema, n):
     """One file, taken as one micro-batch."""
     at = folder / f"{n:03d}.json"
     at.write_text("".join(json.dumps(dict(zip([c.split()[0] for c in schema.split(", ")], r))) + "\n" for r in rows))
+    os.utime(at, (1_000_000_000 + n, 1_000_000_000 + n))  # files are taken by their age
 
 
 def source(spark, folder, schema):
@@ -138,6 +140,27 @@ def test_a_stream_that_never_ends_is_given_up(spark, rocksdb, tmp_path):
         query.stop()
 
 
+def test_what_comes_after_the_end_is_dropped(spark, rocksdb, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    query = frames.folded_stream(source(spark, folder, EVENT), remember_ms=600_000).writeStream.format("memory").queryName("after_end").trigger(processingTime="200 milliseconds").option("checkpointLocation", str(tmp_path / "c")).start()
+
+    def taken(n):
+        for _ in range(60):
+            query.awaitTermination(0.5)
+            if sum(p["numInputRows"] for p in query.recentProgress) >= n:
+                return
+
+    try:
+        land(spark, folder, [("a", 0, "text", "x", None, None), ("a", 1, "done", None, "1", None)], EVENT, 0)
+        taken(2)
+        land(spark, folder, [("a", 2, "text", "late", None, None), ("a", 3, "done", None, "2", None)], EVENT, 1)
+        taken(4)
+    finally:
+        query.stop()
+    assert [(r.content, r.id) for r in spark.table("after_end").collect()] == [("x", "1")]
+
+
 # --- the model as a source
 
 
