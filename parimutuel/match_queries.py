@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from .functions.labels import outcome_label
 from .operators import matches as M
-from .operators import rules, text
-from .operators.matching import named_matches
+from .operators import answers, core, rules, text
+from .operators.matching import named_matches, with_league_label
 from .plans import session
 from .plans.checkpoint import cut, scratch
 from .plans.flows import analysis_input, upcoming_list
 from .queries import MONTHS, PLAIN_SQL, query, read
-from .schemas import BOTH_SCORE, DISPLAY_ORDER, MARKET_LABELS, NO_NEWS, NO_NEWS_HEADING, NO_ODDS, NO_ODDS_HEADING, NEWS_HEADING, ODDS_HEADING
+from .schemas import BOTH_SCORE, DISPLAY_ORDER, LEAGUES, MARKET_LABELS, NO_NEWS, NO_NEWS_HEADING, NO_ODDS, NO_ODDS_HEADING, NEWS_HEADING, ODDS_HEADING
+from .sources import files, requests
 from .sources.files import typed_odds
 from .sources.history import History
 from .sources.odds_api import typed
@@ -309,3 +310,52 @@ def history_latest(spark, sf_dir):
         kept = History(spark, path)
         kept.append(analyses(spark, sf_dir))
         return cut(kept.latest().select("id", "league", "homeTeam"))
+
+
+@query(f"WITH {WHEN_SQL} SELECT CAST(o_orderkey AS VARCHAR) AS id, concat('soccer_', o_orderkey % 3) AS sport, home AS home_team FROM soon")
+def landed_upcoming(spark, sf_dir):
+    """Matches landed by league and stretch of eight weeks, of which a scan of seven days reads those that can hold them."""
+    listed = matches(spark, sf_dir).withColumn("sport", F.concat(F.lit("soccer_"), (F.col("src_ord") % 3).cast("string")))
+    with scratch(spark) as path:
+        files.land(listed, path, days=56)
+        return cut(files.landed_upcoming(spark, path, F.lit(NOW).cast("timestamp"), days=56).select("id", "sport", "home_team"))
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS request_id, CASE WHEN o_orderkey % 6 > 4 THEN concat('Home ', o_orderkey % 97) END AS "homeTeam", CASE WHEN o_orderkey % 6 > 4 THEN o_orderpriority END AS league,
+  CASE o_orderkey % 6 WHEN 0 THEN 'malformed' WHEN 1 THEN 'missing awayTeam' WHEN 2 THEN 'wrong type homeTeam' WHEN 3 THEN 'wrong type bookmakers' WHEN 4 THEN 'malformed' END AS reason FROM orders
+""")
+def request_bodies(spark, sf_dir):
+    """Bodies cut short, without a field, with wrong kinds of values, or good."""
+    key = F.col("o_orderkey")
+    home, case = F.concat(F.lit("Home "), (key % 97).cast("string")), key % 6
+    good = F.to_json(F.struct(home.alias("homeTeam"), F.lit("Away").alias("awayTeam"), F.col("o_orderpriority").alias("league"), F.array(F.struct(F.lit("S").alias("title"))).alias("bookmakers")))
+    lacking = F.to_json(F.struct(home.alias("homeTeam"), F.col("o_orderpriority").alias("league")))
+    number = F.to_json(F.struct(key.alias("homeTeam"), F.lit("Away").alias("awayTeam")))
+    text = F.to_json(F.struct(home.alias("homeTeam"), F.lit("Away").alias("awayTeam"), F.lit("none").alias("bookmakers")))
+    body = F.when(case == 0, F.substring(good, 1, 20)).when(case == 1, lacking).when(case == 2, number).when(case == 3, text).when(case == 4, "[1, 2]").otherwise(good)
+    bodies = read(spark, sf_dir, "orders").select(key.cast("string").alias("request_id"), body.alias("body"))
+    return requests.parsed(bodies).select("request_id", "homeTeam", "league", "reason")
+
+
+@query("""
+SELECT CAST(c_nationkey AS VARCHAR) AS id, concat('Segment ', c_mktsegment) AS section, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) - 1 AS row, c_name AS name, CAST(c_custkey AS VARCHAR) AS key FROM customer
+""")
+def answer_tables(spark, sf_dir):
+    """Answers with a heading and a table a market segment, read back as rows."""
+    line = F.concat(F.lit("| "), F.col("c_name"), F.lit(" | "), F.col("c_custkey").cast("string"), F.lit(" |"))
+    parts = core.joined_in_order(read(spark, sf_dir, "customer").withColumn("line", line), ["c_nationkey", "c_mktsegment"], ["c_custkey"], "line", "\n", "lines")
+    titled = F.concat(F.lit("## Segment "), F.col("c_mktsegment"), F.lit("\n\nWho:\n- all\n\n| Name | Key |\n|---|:-:|\n"), F.col("lines"), F.lit("\n"))
+    told = core.joined_in_order(parts.withColumn("part", titled), ["c_nationkey"], ["c_mktsegment"], "part", "\n", "result")
+    found = answers.table_cells(told.select(F.col("c_nationkey").cast("string").alias("id"), "result"))
+    wide = found.groupBy("id", "section", "row").agg(F.max(F.when(F.col("heading") == "Name", F.col("cell"))).alias("name"), F.max(F.when(F.col("heading") == "Key", F.col("cell"))).alias("key"))
+    return wide.withColumn("row", F.col("row").cast("long"))
+
+
+@query(f"SELECT o_orderkey, CASE o_orderkey % 12 {' '.join(f"WHEN {i} THEN '{label}'" for i, (_, label) in enumerate(LEAGUES))} ELSE concat('league', o_orderkey % 12) END AS label FROM orders")
+def league_labels(spark, sf_dir):
+    """Orders as matches of the ten leagues on offer and two others."""
+    known = F.array(*(F.lit(sport) for sport, _ in LEAGUES))
+    of = (F.col("o_orderkey") % 12).cast("int")
+    sport = F.coalesce(F.get(known, of), F.concat(F.lit("league"), of.cast("string")))
+    return with_league_label(read(spark, sf_dir, "orders").select("o_orderkey", sport.alias("sport"))).select("o_orderkey", "label")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +12,8 @@ from ..operators.matches import upcoming, winner_prices
 from ..operators.matching import named_matches, sport_key
 from ..operators.text import odds_text, prompt, with_news
 from ..schemas import LEAGUE_SCAN_MARKETS
-from ..sources.odds_api import negotiated, typed
+from .checkpoint import cut
+from ..sources.odds_api import fetched, typed
 
 
 def upcoming_list(matches: DataFrame, now: Column) -> DataFrame:
@@ -58,12 +58,8 @@ def league_game(spark, fetch, key: str | None, league: str, home: str, away: str
     """The first match of a league with both names alike; nothing without a key, a match or a working feed."""
     if not key:
         return None
-    sport = spark.range(1).select(sport_key(F.lit(league))).first()[0]
-    try:
-        found = negotiated(fetch, key, sport, LEAGUE_SCAN_MARKETS)
-    except Exception:  # noqa: BLE001  any failure of the feed leaves the game without odds
-        return None
-    rows = spark.createDataFrame([(sport, i, json.dumps(m, ensure_ascii=False)) for i, m in enumerate(found)], "sport string, src_ord int, match string")
+    sports = spark.range(1).select(sport_key(F.lit(league)).alias("sport"))
+    rows = cut(fetched(sports, fetch, key, LEAGUE_SCAN_MARKETS))  # asked once, whatever is done with the game
     wanted = spark.createDataFrame([(0, home, away)], "want_id int, want_home string, want_away string")
     game = named_matches(typed(rows), wanted)
     return None if game.isEmpty() else game

@@ -1,17 +1,19 @@
-"""Web search as a landed table. Failures of any kind leave a team without news."""
+"""Web search as a table. Failures of any kind leave a team without news."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 
 from ..schemas import NEWS, SEARCH_RESULTS
 
-#: Calls under way at the same time.
-AT_ONCE = 8
+#: Calls of a task under way at the same time, and those whose answers are handed on together.
+AT_ONCE, BLOCK = 8, 64
 Search = Callable[[dict], tuple[int, str]]
 
 
@@ -28,8 +30,32 @@ def searched(search: Search, key: str | None, query: str) -> tuple[str | None, l
         return None, None
 
 
-def news(spark: SparkSession, search: Search, key: str | None, queries: dict[str, str]) -> DataFrame:
-    """A row per team of ``queries``; a few calls from the driver at the same time, as one match needs."""
-    with ThreadPoolExecutor(max(1, min(len(queries), AT_ONCE))) as pool:
-        found = pool.map(lambda query: searched(search, key, query), queries.values())
-        return spark.createDataFrame([(team, *x) for team, x in zip(queries, found)], NEWS)
+def tried(search: Search, key: str | None, query: str, tries: int, wait: float) -> tuple[str | None, list | None]:
+    """``searched``, again after a while where it found nothing at all."""
+    found = None, None
+    for n in range(tries if key else 1):
+        found = searched(search, key, query)
+        if found != (None, None):
+            break
+        if n + 1 < tries:
+            time.sleep(wait * 2**n)
+    return found
+
+
+def news(queries: DataFrame, search: Search, key: str | None, tries: int = 1, wait: float = 1.0, block: int = BLOCK) -> DataFrame:
+    """(team, answer, results) of each row of ``queries`` (team, query).
+
+    Tasks search, each a share of the queries and some of them at the same time; what
+    fails ``tries`` times, each after twice the wait, is no news.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for batch in batches:
+                for a in range(0, len(batch), block):
+                    teams, asked = batch["team"][a : a + block], batch["query"][a : a + block]
+                    found = [*pool.map(lambda query: tried(search, key, query, tries, wait), asked)]
+                    rows = [(answer, None if results is None else [{"title": t, "content": c} for t, c in results]) for answer, results in found]
+                    yield pd.DataFrame({"team": [*teams], "answer": [r[0] for r in rows], "results": [r[1] for r in rows]})
+
+    return queries.select("team", "query").mapInPandas(ask, NEWS)

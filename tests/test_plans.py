@@ -48,6 +48,18 @@ def test_row_operators_do_not_shuffle(spark, name):
 
 
 def test_no_domain_query_runs_python(spark):
-    """But the one that asks an injected model, which is a Python function."""
-    for name in set(entry.own.QUERIES) - {"model_stream"}:
+    """But the one that asks an injected model, which is a Python function, and those that run streams to their end."""
+    for name in set(entry.own.QUERIES) - {"model_stream", "streamed_frames", "streamed_analyses", "sent_frames"}:
         assert "EvalPython" not in plan(spark, name) and "InPandas" not in plan(spark, name)
+
+
+@pytest.mark.parametrize("name,shuffles", [("match_quotes", 2), ("all_odds_text", 2), ("typed_feed", 2), ("first_bookmaker", 2), ("best_odds", 3)])
+def test_matches_are_nested_by_one_shuffle(spark, name, shuffles):
+    """One of lines and one of orders, and one a grouping of the query's own."""
+    p = plan(spark, name)
+    assert p.count("Exchange hashpartitioning") <= shuffles and p.count("rangepartitioning") == 0
+
+
+def test_names_are_not_compared_with_all(spark):
+    for name in ("fuzzy_name_join", "supplier_customers", "first_named_match"):
+        assert "NestedLoop" not in plan(spark, name) and "Cartesian" not in plan(spark, name)

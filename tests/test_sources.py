@@ -1,6 +1,7 @@
 """Feed, search, history and stream frames."""
 
 import json
+from threading import Barrier
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from parimutuel.plans import session
 from parimutuel.plans.flows import league_game, listing, listing_status, upcoming_list
 from parimutuel.schemas import ANALYSIS
-from parimutuel.sources import files, odds_api, search, snapshots
+from parimutuel.schemas import BOOKMAKERS
+from parimutuel.sources import files, odds_api, requests, search, snapshots
 from parimutuel.sources.history import LISTED, History
 from parimutuel.streaming import frames
 
@@ -80,7 +82,7 @@ def test_search_failures_are_no_news(spark):
 
     answers = {"ok": (200, json.dumps({"answer": "yes", "results": [{"title": "t", "content": "c"}]})), "bad": (500, ""), "junk": (200, "{")}
     ask = lambda body: broken(body) if body["query"] == "gone" else answers[body["query"]]
-    got = {r.team: (r.answer, r.results and len(r.results)) for r in search.news(spark, ask, "k", {q: q for q in ("ok", "bad", "junk", "gone")}).collect()}
+    got = {r.team: (r.answer, r.results and len(r.results)) for r in search.news(queries(spark, *("ok", "bad", "junk", "gone")), ask, "k").collect()}
     assert got == {"ok": ("yes", 1), "bad": (None, None), "junk": (None, None), "gone": (None, None)}
     assert search.searched(ask, None, "ok") == (None, None)
 
@@ -161,18 +163,22 @@ def test_session_values(spark):
     assert session.forget(spark, "last_matches") and session.recall(spark, "last_matches") is None
 
 
-def test_league_game(spark):
-    asked = []
+def fails(url):
+    return 500, ""
 
-    def fetch(url):
-        asked.append(url)
-        return 200, json.dumps(FEED)
 
-    assert league_game(spark, fetch, "k", "NBA", "h", "W!").collect()[0].id == "a"
-    assert "basketball_nba" in asked[0] and "markets=h2h,totals,btts" in asked[0]
-    assert league_game(spark, fetch, "k", "?", "zzz", "w") is None and "soccer_epl" in asked[1]
-    assert league_game(spark, fetch, None, "NBA", "h", "w") is None
-    assert league_game(spark, lambda url: (500, ""), "k", "NBA", "h", "w") is None
+def league_feed(url):
+    """Answers with what was asked, as the match's id."""
+    sport, markets = url.split("sports/")[1].split("/")[0], url.split("markets=")[1].split("&")[0]
+    return 200, json.dumps([{**m, "id": f"{m['id']} {sport} {markets}"} for m in FEED])
+
+
+def test_league_game(spark):
+    assert league_game(spark, league_feed, "k", "NBA", "h", "W!").collect()[0].id == "a basketball_nba h2h,totals,btts"
+    assert league_game(spark, league_feed, "k", "?", "h", "w").collect()[0].id.split()[1] == "soccer_epl"
+    assert league_game(spark, league_feed, "k", "?", "zzz", "w") is None
+    assert league_game(spark, league_feed, None, "NBA", "h", "w") is None
+    assert league_game(spark, fails, "k", "NBA", "h", "w") is None
 
 
 def test_listing_status(spark):
@@ -260,16 +266,93 @@ def test_a_model_is_a_source_of_chunks(spark, tmp_path):
         query.stop()
 
 
+def queries(spark, *texts):
+    return spark.createDataFrame([(q, q) for q in texts], "team string, query string").coalesce(1)
+
+
+BOTH = Barrier(2, timeout=20)
+
+
+def meets(_):
+    BOTH.wait()
+    return 200, json.dumps({"answer": "x", "results": []})
+
+
 def test_searches_run_at_the_same_time(spark):
-    from threading import Barrier
+    assert {r.team: r.answer for r in search.news(queries(spark, "a", "b"), meets, "k").collect()} == {"a": "x", "b": "x"}
 
-    both = Barrier(2, timeout=20)
 
-    def ask(_):
-        both.wait()
-        return 200, json.dumps({"answer": "x", "results": []})
+CALLS = []
 
-    assert {r.team: r.answer for r in search.news(spark, ask, "k", {"a": "1", "b": "2"}).collect()} == {"a": "x", "b": "x"}
+
+def moody(body):
+    """Fails the first time that a worker asks something."""
+    CALLS.append(body["query"])
+    return (500, "") if CALLS.count(body["query"]) < 2 else (200, json.dumps({"answer": body["query"], "results": [{"title": "t", "content": None}]}))
+
+
+def test_searches_are_tried_again(spark):
+    rows = search.news(queries(spark, "a1", "a2", "a3"), moody, "k", tries=2, wait=0.01, block=2).collect()
+    assert {r.team: (r.answer, [tuple(x) for x in r.results]) for r in rows} == {q: (q, [("t", None)]) for q in ("a1", "a2", "a3")}
+    assert {r.answer for r in search.news(queries(spark, "b1"), moody, "k").collect()} == {None}
+    assert {r.answer for r in search.news(queries(spark, "b2"), moody, None, tries=3).collect()} == {None}
+
+
+def counting(url):
+    """Leaves a mark for each league that is asked for."""
+    from pathlib import Path
+
+    sport = url.split("sports/")[1].split("/")[0]
+    folder = Path(url.split("apiKey=")[1].split("&")[0])
+    (folder / sport).touch()
+    return 200, json.dumps([{"id": sport, "home_team": t, "away_team": "w"} for t in ("h", "other")])
+
+
+def test_only_the_leagues_and_teams_asked_for_are_fetched(spark, tmp_path):
+    spark.dataSource.register(odds_api.OddsSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = spark.read.format("odds").option("apiKey", str(tmp_path)).option("fetcher", "tests.test_sources:counting").option("sport", "a,b,c,d").option("pushDown", "true").load()
+        got = rows.where(F.col("sport").isin("b", "d", "e")).where("home_team = 'h'").collect()
+        assert sorted((r.sport, r.home_team, json.loads(r.match)["id"]) for r in got) == [("b", "h", "b"), ("d", "h", "d")]
+        assert sorted(p.name for p in tmp_path.iterdir()) == ["b", "d"]
+        assert rows.where("sport = 'z'").collect() == [] and rows.where("sport = 'a' AND src_ord > 0").count() == 1
+        assert rows.where("sport = 'c'").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_a_scan_of_a_week_reads_a_week(spark, tmp_path):
+    feed = spark.range(400).select(F.when(F.col("id") == 9, None).otherwise(F.col("id").cast("string")).alias("id"), F.when(F.col("id") == 8, "15:00").otherwise(F.date_format(F.timestamp_seconds(F.lit(1767225600) + F.col("id") * 21600), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("commence_time"), F.lit("h").alias("home_team"), F.lit("w").alias("away_team"), F.from_json(F.lit("[]"), BOOKMAKERS).alias("bookmakers"), F.col("id").cast("int").alias("src_ord"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("sport"))
+    files.land(feed, str(tmp_path))
+    now = F.lit("2026-01-20T07:00:00Z").cast("timestamp")
+    got = files.landed_upcoming(spark, str(tmp_path), now, sports=["even"])
+    want = {r.id for r in upcoming_list(feed.where("id % 2 = 0"), now).collect()}
+    assert {r.id for r in got.collect()} == want and len(want) == 14
+    assert "PartitionFilters: [" in got._jdf.queryExecution().executedPlan().toString()
+    days = {p.name for p in (tmp_path / "matches" / "sport=even").iterdir() if "=" in p.name}
+    assert len(days) == 100 and len({r.d for r in got.select(F.to_date("starts_at").alias("d")).collect()}) == 8
+    scanned = got.select(F.input_file_name().alias("f")).distinct().count()
+    assert scanned <= 10 * 4
+    reasons = {r.reason: r.id for r in spark.read.parquet(f"{tmp_path}/rejects").collect()}
+    assert reasons == {"no date": "8", "no id": None}
+
+
+@pytest.mark.parametrize("body,reason", [
+    ('{"homeTeam":"h","awayTeam":"w","league":"l","matchDate":"d","bookmakers":[{"title":"t","markets":[]}],"more":1}', None),
+    ('{"homeTeam":"h","awayTeam":"w"}', None), ('{"homeTeam":"h","awayTeam":"w","league":null}', None),
+    ('{"homeTeam":"h"', "malformed"), ("", "malformed"), (None, "malformed"), ("[]", "malformed"), ('"x"', "malformed"), ("null", "malformed"),
+    ("{}", "missing homeTeam"), ('{"homeTeam":"h"}', "missing awayTeam"), ('{"homeTeam":null,"awayTeam":"w"}', "missing homeTeam"),
+    ('{"homeTeam":1,"awayTeam":"w"}', "wrong type homeTeam"), ('{"homeTeam":"h","awayTeam":"w","bookmakers":{}}', "wrong type bookmakers"), ('{"homeTeam":"h","awayTeam":"w","league":[1]}', "wrong type league"),
+])
+def test_request_bodies(spark, body, reason):
+    bodies = spark.createDataFrame([("r", body)], "request_id string, body string")
+    (r,) = requests.parsed(bodies).collect()
+    assert r.reason == reason and r.homeTeam == (None if reason else "h")
+    good, bad = requests.split(bodies)
+    assert (good.count(), bad.count()) == ((0, 1) if reason else (1, 0))
+    if body and "title" in body:
+        assert r.bookmakers[0].title == "t" and (r.league, r.matchDate) == ("l", "d")
 
 
 def test_listing(spark):
