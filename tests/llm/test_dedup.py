@@ -369,6 +369,51 @@ def test_leaks(spark, documents):
     assert {x.doc_id for x in clean.collect()} == set(texts) - {d for d, *_ in want}
 
 
+def test_joined_pieces_lose_no_match():
+    """Items of few words, so that chance hits abound, found with edits up to their budget and not beyond."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcd") for _ in range(r.randrange(1, 6))) for _ in range(30)]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, say(r.choice([1, 3, 8, 20, 60]))) for i in range(120)]
+    texts = []
+    for _ in range(60):
+        chars = list(say(30) + " " + r.choice(items)[1] + " " + say(10))
+        for _ in range(r.randrange(0, 14)):
+            at = r.randrange(len(chars))
+            chars[at : at + r.randrange(2)] = r.choice(["", "a", "b", "dd"])
+        texts.append("".join(chars))
+    for budget in (0.08, 0.2):
+        got = {(k, i, d) for k, i, d, _ in decontaminate.Matcher(items, budget).matches(texts)}
+        want = set()
+        for k, text in enumerate(map(decontaminate.normal, texts)):
+            for i, item in ((i, decontaminate.normal(t)) for i, t in items):
+                distance = decontaminate.Pattern.of(item).distance(text)[0]
+                if distance <= int(len(item) * budget):
+                    want.add((k, i, distance))
+        assert got == want and len(want) > 500
+
+
+def test_items_in_many_blocks(spark, documents, monkeypatch):
+    """More blocks than a worker holds, in batches of few rows, give what one block gives."""
+    r = random.Random(13)
+    say = lambda n: " ".join(f"w{r.randrange(400)}" for _ in range(n))
+    items = [(i, say(20)) for i in range(30)]
+    docs = documents([(i, say(30) + (" " + items[i % 30][1] if i % 3 == 0 else "")) for i in range(90)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = {tuple(x) for x in decontaminate.leaks(docs, bench).collect()}
+    assert len(one) >= 30
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(decontaminate, "HELD_CHARS", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert len(decontaminate.shared_blocks(bench, 0.08)) > decontaminate.KEPT_BLOCKS
+        assert {tuple(x) for x in decontaminate.leaks(docs, bench).collect()} == one
+        kept = {x.doc_id for x in decontaminate.decontaminated(docs, bench).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert kept == {i for i in range(90)} - {d for d, *_ in one}
+
+
 def test_leaks_of_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "licensed under the mit license"), (2, None), (3, "")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, bench).collect()} == {(7, 1)}
