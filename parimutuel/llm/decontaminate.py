@@ -186,7 +186,7 @@ class Matcher:
 
     def hits(self, joined: str) -> tuple[np.ndarray, ...]:
         """Items, the places of their pieces, and those where the items would begin."""
-        found = [(np.zeros(0, np.int64),) * 3]
+        found, raw, size_of_raw = [(np.zeros(0, np.int64),) * 3], [], 0
         longest = max(self.pieces, default=0)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         for a in range(0, len(joined), PART):
@@ -202,10 +202,13 @@ class Matcher:
                 times = last - first
                 # Each place as often as there are pieces with its hash.
                 which = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - first, times)
-                place = np.repeat(place, times) + a
-                for i in range(0, len(which), PART):
-                    some = self.joinable(codes, item[which[i : i + PART]], place[i : i + PART], piece[which[i : i + PART]])
-                    found.append(some)
+                raw.append((item[which], np.repeat(place, times) + a, piece[which]))
+                size_of_raw += len(which)
+                if size_of_raw >= PART:
+                    found.append(self.joinable(codes, *(np.concatenate(x) for x in zip(*raw))))
+                    raw, size_of_raw = [], 0
+        if size_of_raw:
+            found.append(self.joinable(codes, *(np.concatenate(x) for x in zip(*raw))))
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def joinable(self, text: np.ndarray, item: np.ndarray, place: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, ...]:
