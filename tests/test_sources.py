@@ -96,7 +96,7 @@ def test_history(spark, tmp_path):
     assert len(got) == 100 and got[0].id == "100" and got[-1].id == "1"
     assert h.get("7").first().odds is None and files.typed_odds(h.get("8")).first().bookmakers == []
     assert h.get("nope").isEmpty()
-    assert h.delete("7") == 1 and h.delete("7") == 0 and h.table().count() == 100 and h.versions() == [1, 2]
+    assert h.delete("7") == 1 and h.delete("7") == 0 and h.table().count() == 100
     h.append(rows.drop("id", "createdAt").limit(1))
     assert h.table().count() == 101 and h.table().schema.names == ANALYSIS.names
 
@@ -213,13 +213,31 @@ def test_inserts_are_whole_and_count_once(spark, tmp_path):
     h.append(analysis(spark, "2"))
     assert sorted(r.id for r in h.table().collect()) == ["1", "2"]
     # A write that has not ended is not read.
-    broken = path / "v000001" / "part-half"
+    broken = path / "insert=half"
     broken.mkdir()
     (broken / "part-0.parquet").write_bytes(b"no parquet")
     assert h.table().count() == 2
     assert h.delete("2") == 1
     h.append(analysis(spark, "1"), key="k")  # still known after the delete
-    assert [r.id for r in h.table().collect()] == ["1"] and h.versions() == [1, 2]
+    assert [r.id for r in h.table().collect()] == ["1"]
+
+
+def test_lookups_and_deletes_touch_one_bucket(spark, tmp_path):
+    h = History(spark, str(tmp_path / "h"), buckets=8)
+    rows = spark.range(400).select(F.col("id").cast("string"), *(F.lit("x").alias(c) for c in ("league", "matchDate", "homeTeam", "awayTeam", "result", "odds")))
+    h.append(rows.where("id < 200"), key="a")
+    h.append(rows.where("id >= 200"), key="b")
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "h").rglob("*.parquet")}
+    before = files()
+    assert len(before) == 16
+    found = h.get("42")
+    assert [r.id for r in found.collect()] == ["42"] and "PartitionFilters: [isnotnull(bucket" in found._jdf.queryExecution().executedPlan().toString()
+    assert h._held("42").select(F.input_file_name()).distinct().count() == 1
+    assert h.delete("42") == 1 and h.delete("42") == 0
+    after = files()
+    gone, new = before.keys() - after.keys(), after.keys() - before.keys()
+    assert len(gone) == 1 and {p.parent for p in new} == {p.parent for p in gone} and all(before[p] == after[p] for p in before.keys() & after.keys())
+    assert sorted(int(r.id) for r in h.table().collect()) == [i for i in range(400) if i != 42]
 
 
 def test_a_stored_batch_is_told_once_it_is_kept(spark, tmp_path):
