@@ -7,7 +7,8 @@ tag and a colon or equals sign is read as a licence expression: a shunting-yard
 
 Defined results: a null or empty text has no words, no places and score 0; repeated
 rows give repeated results; ``doc_id`` may be null; all other columns are ignored.
-An expression that cannot be parsed counts as a tag without labels.
+After a tag the longest expression of known identifiers counts; a tag that none follows,
+as with NONE and NOASSERTION, has no labels and is weak evidence.
 """
 
 from __future__ import annotations
@@ -41,6 +42,19 @@ NOTICES = {
     "cc by nc": ("cc-by-nc", 0.8),
     "cc by nd": ("cc-by-nd", 0.8),
     "cc0": ("cc0", 0.6),
+    "bsd 2 clause": ("bsd", 0.8),
+    "bsd 3 clause": ("bsd", 0.8),
+    "gpl v2": ("gpl", 0.8),
+    "gpl v3": ("gpl", 0.8),
+    "gplv2": ("gpl", 0.8),
+    "gplv3": ("gpl", 0.8),
+    "lgpl v3": ("lgpl", 0.8),
+    "apache 2 0": ("apache", 0.8),
+    "license mit": ("mit", 0.6),
+    "licensed under mit": ("mit", 0.7),
+    "under the mit": ("mit", 0.6),
+    "boost software license": ("bsl", 0.8),
+    "zlib license": ("zlib", 0.7),
     "isc license": ("isc", 0.7),
     "the unlicense": ("unlicense", 0.6),
     "public domain": ("public-domain", 0.4),
@@ -48,7 +62,13 @@ NOTICES = {
 }
 #: Identifier tags, as words; a colon or an equals sign has to follow.
 TAGS = ("spdx license identifier", "spdx licence identifier", "license expression", "licence expression", "packagelicensedeclared", "packagelicenseconcluded", "licenseconcluded", "licenseinfoinfile")
-BASE_WEIGHT, TAG_WEIGHT = 0.7, 0.95
+BASE_WEIGHT, TAG_WEIGHT, BARE_TAG_WEIGHT = 0.7, 0.95, 0.2
+#: Identifiers, lower-cased: families with versions and variants, single ones, and those that documents define.
+KNOWN = re.compile(
+    r"(?:[al]?gpl-[0-9](?:\.[0-9])?(?:-only|-or-later)?\+?|gpl|lgpl|agpl|apache-[0-9]\.[0-9]|mit(?:-[a-z0-9-]+)?|bsd-[0-9]-clause(?:-[a-z0-9-]+)?|0bsd|bsd|mpl-[0-9]\.[0-9](?:-[a-z-]+)?|epl-[0-9]\.[0-9]|eupl-[0-9]\.[0-9]|cddl-[0-9]\.[0-9]|cecill-[0-9a-z.]+|afl-[0-9]\.[0-9]|osl-[0-9]\.[0-9]|artistic-[0-9]\.[0-9](?:-[a-z0-9]+)?|cc-by(?:-nc)?(?:-nd|-sa)?-[0-9]\.[0-9](?:-[a-z]+)?|cc0-1\.0|ofl-[0-9]\.[0-9](?:-[a-z-]+)?|bsl-1\.0|ms-[pr]l|isc|zlib|unlicense|wtfpl|beerware|postgresql|python-2\.0(?:\.1)?|psf-2\.0|ncsa|x11|curl|libpng(?:-2\.0)?|openssl|ruby|php-3\.01?|vim|w3c|unicode-3\.0|blueoak-1\.0\.0|upl-1\.0|hpnd|ijg|json"
+    r"|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+)\+?"
+)
+EXCEPTION = re.compile(r"[a-z0-9.+-]*exception[a-z0-9.+-]*|linux-syscall-note")
 #: Licence identifiers by family, longest family first; what none matches keeps its name.
 FAMILIES = ("cc-by-nc", "cc-by-sa", "cc-by-nd", "cc-by", "lgpl", "agpl", "gpl", "apache", "mit", "mpl", "bsd", "epl", "isc", "cc0", "unlicense")
 PERMISSIVE = {"apache", "mit", "bsd", "isc", "cc0", "unlicense", "cc-by"}
@@ -137,11 +157,14 @@ def evaluate(expression: str) -> tuple[frozenset[str], bool]:
 
 
 def longest(parts: list[str]) -> int:
-    """How many parts, from the first on, make up the longest expression."""
-    depth, operand, best = 0, True, 0
+    """How many parts, from the first on, make up the longest expression of known identifiers."""
+    depth, operand, best, before = 0, True, 0, ""
     for i, part in enumerate(parts, 1):
         if (part in PRECEDENCE or part == ")") == operand:
             break
+        if part not in PRECEDENCE and part not in "()" and not (EXCEPTION if before == "with" else KNOWN).fullmatch(part):
+            break
+        before = part
         if part == "(":
             depth += 1
         elif part == ")":
@@ -202,8 +225,9 @@ def scan(text: str) -> tuple:
     if tags:
         lowered = ascii_lower(text)
         placed = signed(lowered, tags)
-        rest *= (1 - TAG_WEIGHT) ** len(placed)
-        for expression, licences, permissive in expressions(lowered, placed):
+        found = expressions(lowered, placed)
+        rest *= (1 - TAG_WEIGHT) ** len(found) * (1 - BARE_TAG_WEIGHT) ** (len(placed) - len(found))
+        for expression, licences, permissive in found:
             labels |= {family(x) for x in licences}
             told.append((expression, permissive))
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 - rest, told)

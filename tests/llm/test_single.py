@@ -75,6 +75,33 @@ def test_tag_spellings(text, labels):
     assert got[5] == labels and (got[6] > 0) == (labels != "")
 
 
+@pytest.mark.parametrize("text,labels,told", [
+    ("SPDX-License-Identifier: NOASSERTION", "", []), ("PackageLicenseConcluded: NONE", "", []), ("SPDX-License-Identifier: MIT and so on", "mit", ["mit"]),
+    ("License expression: the best one", "", []), ("SPDX-License-Identifier: LicenseRef-Own-1.0 OR MIT", "licenseref-own-1.0,mit", ["licenseref-own-1.0 or mit"]),
+    ("SPDX-License-Identifier: DocumentRef-x:LicenseRef-y", "documentref-x:licenseref-y", ["documentref-x:licenseref-y"]),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note and text", "gpl", ["gpl-2.0-only with linux-syscall-note"]), ("SPDX-License-Identifier: (MIT OR nothing)", "", []),
+    ("SPDX-License-Identifier: Apache-2.0 WITH care", "apache", ["apache-2.0"]),
+    ("BSD 3-Clause License", "bsd", []), ("GPL v3", "gpl", []), ("license: MIT", "mit", []), ("Apache-2.0", "apache", []), ("permit licenses and mitigate", "", []),
+])
+def test_only_known_identifiers_are_labels(text, labels, told):
+    got = licenses.scan(text)
+    assert got[5] == labels and [e for e, _ in got[7]] == told
+
+
+@given(st.lists(st.sampled_from([w for p in (*licenses.BASE, *licenses.NOTICES) for w in p.split()] + [p.upper() for p in licenses.NOTICES] + ["x", "-", "\n"]), max_size=25).map(" ".join))
+@settings(max_examples=300, deadline=None)
+def test_labels_and_score_of_notices(text):
+    words = WORD.findall(text.lower())
+    labels, rest = set(), 1.0
+    for phrase, (label, weight) in {**{p: (l, licenses.BASE_WEIGHT) for p, l in licenses.BASE.items()}, **licenses.NOTICES}.items():
+        p = phrase.split()
+        n = sum(words[i : i + len(p)] == p for i in range(len(words)))
+        rest *= (1 - weight) ** n
+        labels |= {label} if n else set()
+    got = licenses.scan(text)
+    assert got[5] == ",".join(sorted(labels)) and abs(got[6] - (1 - rest)) < 1e-9
+
+
 def test_base_labels_stay():
     got = licenses.scan("CC BY-NC 4.0")
     assert got[4] == "cc-by" and got[5] == "cc-by,cc-by-nc"
