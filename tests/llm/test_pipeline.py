@@ -87,10 +87,11 @@ def test_stages_take_odd_tables(spark, odd, k):
 def test_queries(spark, name):
     frame = entry.queries()[name](spark, SF)
     got = frame.toPandas()
-    assert "doc_id" in got.columns
+    assert {"doc_id", "conv_id", "vec_id"} & set(got.columns)
     if name in entry.llm.ORACLE:
         con = duckdb.connect()
-        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+        for table in ("documents", "conversations", "embeddings"):
+            con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
         want = con.sql(entry.llm.ORACLE[name]).df()
         rows = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(object).itertuples(index=False)))
         assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
