@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import uuid
 import zlib
 
 import numpy as np
@@ -127,10 +128,15 @@ def test_secret_base(text):
     assert base == brute_spans(text) and set(base) <= set(every)
 
 
+def found_of(net, findings, y):
+    """Which findings the network takes for secrets, and which are."""
+    scores = secrets.probabilities(net, [piece for pieces in findings for piece in pieces])
+    return secrets.best_of(scores, findings) >= net.threshold, y
+
+
 def test_network_tells_held_out_findings():
     net = secrets.trained()
-    windows, y = secrets.findings(800, 991)
-    p = secrets.probabilities(net, windows) >= net.threshold
+    p, y = found_of(net, *secrets.findings(800, 991))
     assert p[y > 0].mean() >= 0.96 and p[y == 0].mean() <= 0.02
 
 
@@ -159,8 +165,8 @@ def test_plain_runs_without_digits_are_none(run):
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = secrets.trained()
-    windows, y = secrets.findings(6, 5)
-    x = secrets.planes(windows)
+    found, y = secrets.findings(6, 5)
+    x = secrets.planes([pieces[0] for pieces in found])
 
     def loss(n):
         z = secrets.logits(n, x).astype(float)
@@ -310,9 +316,24 @@ def test_recall_on_findings_of_neither_generator():
     assert right >= 0.9 * len(hidden) and len(wrong) <= 1, (right, wrong)
 
 
+@pytest.mark.parametrize("alphabet, n", [("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 20), (string.ascii_lowercase, 24), (string.ascii_letters, 24), (string.ascii_letters + string.digits, 20), (string.ascii_lowercase + string.digits, 24), ("0123456789ABCDEF", 32)])
+def test_keys_of_few_kinds_of_characters_are_found(alphabet, n):
+    r = random.Random(17)
+    texts = [f"the report says {''.join(r.choices(alphabet, k=n))} and then it ends" for _ in range(300)]
+    found = secrets.scan(texts, secrets.trained())
+    assert sum((16, 16 + n, "cnn") in spans for _, spans in found) >= 0.9 * 300
+
+
+@pytest.mark.parametrize("make", [lambda r: str(uuid.UUID(int=r.getrandbits(128))), lambda r: str(uuid.UUID(int=r.getrandbits(128))).upper(), lambda r: str(r.randrange(10**15, 10**16)), lambda r: str(r.randrange(10**19, 10**20))])
+def test_identifiers_and_long_numbers_are_no_secrets(make):
+    r = random.Random(18)
+    texts = [f"the report says {make(r)} and then it ends" for _ in range(300)]
+    found = [spans for _, spans in secrets.scan(texts, secrets.trained()) if any(k == "cnn" for *_, k in spans)]
+    assert len(found) <= 0.1 * 300
+
+
 def test_threshold_keeps_the_recall_on_the_other_generator():
-    windows, y = secrets.findings(2000, 77, secrets.CALIBRATION)
-    p = secrets.probabilities(secrets.trained(), windows) >= secrets.trained().threshold
+    p, y = found_of(secrets.trained(), *secrets.findings(2000, 77, secrets.CALIBRATION))
     assert p[y > 0].mean() >= 0.95 and y[p].mean() >= 0.97
 
 
