@@ -5,7 +5,8 @@ word shingles. Distinct fingerprints go down a vantage-point tree that is spread
 over the cluster: each level cuts Hamming space into rings around a vantage point.
 By the triangle bound, two fingerprints within the radius lie in one ring or at a
 shared border, so a fingerprint also goes to the next ring where the border is
-within the radius; the ring of the farther one then holds both. Leaves are searched
+within the radius; the ring of the farther one then holds both. What one task gets
+is parted further by a tree with vantage points of its own. Its leaves are searched
 exactly, and linked fingerprints become components.
 
 Shards that stay too large after the first levels (many close variants of a text)
@@ -38,6 +39,8 @@ from .paragraphs import REMEMBERED, content_id, shingle_sets
 SEED = 42
 #: Fingerprints that a leaf should hold, and above which a shard is cut again.
 LEAF, TOO_LARGE = 4096, 16384
+#: Fingerprints that a leaf's own tree stops at.
+SMALL = 256
 #: Width of a ring in the first levels and in shards of close variants.
 RING, NARROW = 8, 4
 #: Rounds of cutting large shards; each cut thins a shard by its distances' spread.
@@ -131,13 +134,49 @@ def crowded(cells: DataFrame, radius: int) -> DataFrame:
     return joined.where("large IS NULL").select("cell", "fp").union(again)
 
 
+def halves(fp: np.ndarray, radius: int) -> list[np.ndarray]:
+    """A node of the tree: what lies within the median distance of a vantage point, and what lies farther or at the border.
+
+    By the triangle bound, of two fingerprints within the radius one half holds both.
+    The vantage point is one of the node's, or else the farthest from that one. A node
+    that neither thins is a leaf.
+    """
+    v = fp[len(fp) // 2]
+    for _ in range(2):
+        far = np.bitwise_count(fp ^ v)
+        middle = int(np.median(far))
+        parts = [fp[far <= middle], fp[far.astype(np.int64) > middle - radius]]
+        if sum(len(p) ** 2 for p in parts) < 0.8 * len(fp) ** 2:
+            return parts
+        v = fp[far.argmax()]
+    return []
+
+
 def linked(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each fingerprint reached over links from an earlier one, and that one.
+    """Links that join what the radius joins: each end, and what it is reached from.
+
+    A vantage-point tree parts the shard down to SMALL fingerprints, or to leaves of
+    close variants that no vantage point thins; these are searched exactly.
+    """
+    nodes, ends, seeds = [np.unique(fp)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    while nodes:
+        node = nodes.pop()
+        parts = halves(node, radius) if len(node) > SMALL else []
+        nodes += parts
+        if not parts:
+            reach(node, radius, ends, seeds)
+    return np.concatenate(ends), np.concatenate(seeds)
+
+
+def reach(left: np.ndarray, radius: int, ends: list[np.ndarray], seeds: list[np.ndarray]) -> None:
+    """Add each fingerprint of a leaf reached over links from an earlier one, and that one.
 
     A breadth-first search over exact distances: every fingerprint is compared
-    with those not reached yet, so no list of pairs is built.
+    with those not reached yet, so no list of pairs is built. In a small leaf those
+    without any link are dropped first.
     """
-    left, ends, seeds = np.unique(fp), [], []
+    if len(left) <= SMALL:
+        left = left[(np.bitwise_count(left[:, None] ^ left) <= radius).sum(axis=1) > 1]
     while len(left):
         seed, left = left[0], left[1:]
         front = np.array([seed])
@@ -148,8 +187,6 @@ def linked(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             front, left = left[near], left[~near]
             ends.append(front)
             seeds.append(np.full(len(front), seed))
-    empty = np.zeros(0, np.uint64)
-    return np.concatenate([empty, *ends]), np.concatenate([empty, *seeds])
 
 
 def links(points: DataFrame, radius: int) -> DataFrame:

@@ -478,3 +478,33 @@ def test_long_texts_take_linear_time(documents):
     assert process_time() - began < 60
     text = "\n".join(f"line {i // 2}" for i in range(40_000))
     assert lines.deduplicated(documents([(1, text), (2, text)])).where("doc_id = 2").first().text == ""
+
+
+@pytest.mark.parametrize("variants", [0, 0.5, 1])
+@pytest.mark.parametrize("radius", [0, 1, 2, 5])
+def test_tree_of_a_shard_links_what_all_pairs_link(variants, radius):
+    """Components over random fingerprints, close variants of a few, and both."""
+    rng = np.random.default_rng(radius)
+    fp = rng.integers(0, 2**64, 1500, dtype=np.uint64)
+    some = int(variants * len(fp))
+    fp[:some] = np.resize(fp[:7], some)
+    for _ in range(5):
+        fp[:some] ^= np.uint64(1) << rng.integers(0, 64, some).astype(np.uint64)
+    distinct = np.unique(fp)
+    near = np.bitwise_count(distinct[:, None] ^ distinct) <= radius
+    wanted = roots(distinct, *((distinct[x] for x in np.nonzero(near))))
+    assert roots(distinct, *simhash.linked(fp, radius)) == wanted
+
+
+def roots(nodes, a, b):
+    parent = {int(x): int(x) for x in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    return {x: root(x) for x in parent}
