@@ -5,8 +5,8 @@ token characters is a candidate, whatever it is made of and whether or not a bas
 holds it; a small convolutional network in numpy reads it with its surroundings, a
 long one in overlapping pieces of which the best counts, and scores it. The network is
 trained here, on labelled findings written by a seeded generator. Its scores are
-calibrated on findings of another generator, whose formats and settings training has
-not seen, and the threshold is the one that keeps the wanted recall there at the
+calibrated on findings of another generator, whose settings and most of whose formats
+training has not seen, each judged by its best piece, and the threshold is the one that keeps the wanted recall there at the
 fewest errors. What is found and is not a base span itself becomes a span of its own.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated
