@@ -6,9 +6,13 @@ five-word shingles, and components of verified links are classes of which the fi
 paragraph stays.
 
 A passage that is pasted into different paragraphs makes these only partly alike, so
-every text also yields anchored passages: of each stretch of ``guarantee`` words the
-passage of ``width`` words with the least hash. Two texts that share such a stretch
-share a passage; equal passages are one class.
+every text also yields anchors: of each stretch of ``guarantee`` words the run of
+``width`` words with the least hash. Two texts that share such a stretch share an
+anchor in it. A first pass counts the anchors; a second takes those that occur more
+than once, each with one byte of every word beside it. Occurrences of an anchor whose
+words beside it agree so far that ``guarantee`` words are shared are repeats. So no
+repeat of that length is missed; one a word shorter is taken for one in a few of a
+thousand cases, as a byte can agree by chance.
 
 Defined results: a null or empty text has neither paragraphs nor passages; of
 repeated rows (same ``doc_id`` and text) one place stands for all; a null ``doc_id``
@@ -33,8 +37,10 @@ from .common import LOWER, Tables, cut, grams, hash_of, map_texts, pa_schema, sl
 from .components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
-#: Words that make a line a paragraph; words of a passage; words within which one is chosen.
-MIN_WORDS, WIDTH, GUARANTEE = 10, 28, 51
+#: Words that make a line a paragraph; words of an anchor; words that a repeated passage has at least.
+MIN_WORDS, WIDTH, GUARANTEE = 10, 12, 20
+#: Words on each side of an anchor that are told apart, one byte each: the most by which a passage may be longer.
+BESIDE = 8
 #: Ids that a task remembers so as not to send the bands of a repeated paragraph again.
 REMEMBERED = 200_000
 
@@ -175,63 +181,133 @@ def minima(hashes: np.ndarray, span: int) -> np.ndarray:
 PART = 1 << 19
 
 
-def anchored(text: str, width: int, guarantee: int) -> tuple[np.ndarray, ...] | None:
-    """Starts, ends and two hashes of a text's anchored passages."""
-    if len(text) < 2 * width - 1:
+def anchored(text: str, width: int, guarantee: int, names_only: bool = False) -> tuple[np.ndarray, ...] | None:
+    """Starts, ends and two hashes of a text's anchors, and the words on their left and right; or the first hashes alone.
+
+    The words beside an anchor are bytes of one integer a side, the nearest word in the
+    lowest; zero stands for no word.
+    """
+    if len(text) < 2 * guarantee - 1:
         return None
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(LOWER), np.uint8)
     inside = ~((raw == 32) | (raw - np.uint8(9) < 5))
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     starts, ends = edge[::2], edge[1::2]
-    if len(starts) < width:
+    if len(starts) < guarantee:
         return None
+    beside = np.zeros(len(starts) + 2 * BESIDE, np.uint8)
     parts = []
-    for a in range(0, max(1, len(starts) - guarantee + 1), PART):
+    for a in range(0, len(starts) - guarantee + 1, PART):
         s, e = starts[a : a + PART + guarantee - 1], ends[a : a + PART + guarantee - 1]
         words = spans_hashed(BYTE_HASH[raw[s[0] : e[-1]]], s - s[0], e - s[0])
         first = np.arange(len(s) - width + 1)
-        one, other = (spans_hashed(w, first, first + width) for w in (words, (words ^ words >> np.uint64(32)) * np.uint64(OTHER)))
-        chosen = minima(one, min(guarantee - width + 1, len(first)))
-        parts.append((s[chosen], e[chosen + width - 1], one[chosen], other[chosen]))
-    a, b, one, other = (np.concatenate(x) for x in zip(*parts))
-    if text.isascii():
-        return a, b, one, other
-    point = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32) - 1
-    return point[a], point[b - 1] + 1, one, other
+        one = spans_hashed(words, first, first + width)
+        chosen = minima(one, guarantee - width + 1)
+        if names_only:
+            parts.append((one[chosen],))
+            continue
+        beside[BESIDE + a : BESIDE + a + len(s)] = np.maximum(words >> np.uint64(40) & np.uint64(255), np.uint64(1))
+        other = spans_hashed((words ^ words >> np.uint64(32)) * np.uint64(OTHER), chosen, chosen + width)
+        parts.append((one[chosen], a + chosen, other))
+    if names_only:
+        return (np.concatenate([one for one, in parts]),)
+    one, at, other = (np.concatenate(x) for x in zip(*parts))
+    near = np.arange(BESIDE)
+    left, right = (np.ascontiguousarray(beside[BESIDE + at[:, None] + k]).view(np.int64).ravel() for k in (-1 - near, width + near))
+    a, b = starts[at], ends[at + width - 1]
+    if not text.isascii():
+        point = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32) - 1
+        a, b = point[a], point[b - 1] + 1
+    return a, b, one, other, left, right
+
+
+def anchor_counts(docs: DataFrame, width: int, guarantee: int) -> DataFrame:
+    """(id, n): hashes of anchors, and how often a task's slice of texts holds them."""
+
+    def rows(ids, texts):
+        found = [x[0] for t in texts if (x := anchored(t, width, guarantee, names_only=True))]
+        names, counts = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+        return [names.view(np.int64), counts.astype(np.int32)]
+
+    return map_texts(docs, rows, "id long, n int")
 
 
-def passages(docs: DataFrame, width: int, guarantee: int) -> DataFrame:
-    """(doc_id, h, start, length, one, other): place, length and two hashes of every anchored passage."""
-    schema = "doc_id long, h long, start int, length int, one long, other int"
+def anchors(docs: DataFrame, width: int, guarantee: int, repeated: np.ndarray) -> DataFrame:
+    """(doc_id, h, start, length, one, other, left, right): the anchors that the filter knows, with the words beside them."""
+    schema = "doc_id long, h long, start int, length int, one long, other int, left long, right long"
+    known = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def rows(ids, texts):
-        found = [(doc, hash_of(t), x) for doc, t in zip(ids.to_pylist(), texts) if (x := anchored(t, width, guarantee))]
+        found = []
+        for doc, t in zip(ids.to_pylist(), texts):
+            if x := anchored(t, width, guarantee):
+                wanted = jaccard.in_bitmap(known.value, x[2].view(np.int64))
+                if wanted.any():
+                    found.append((doc, hash_of(t), [c[wanted] for c in x]))
         if not found:
-            return [[]] * 6
+            return [[]] * 8
         of = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for _, _, x in found]))
         docs_of, hashes = (pa.array([f[k] for f in found], pa.int64()).take(of) for k in (0, 1))
-        a, b, one, other = (np.concatenate(x) for x in zip(*(x for _, _, x in found)))
-        return [docs_of, hashes, a.astype(np.int32), (b - a).astype(np.int32), one.view(np.int64), (other >> np.uint64(32)).astype(np.uint32).view(np.int32)]
+        a, b, one, other, left, right = (np.concatenate(x) for x in zip(*(x for _, _, x in found)))
+        return [docs_of, hashes, a.astype(np.int32), (b - a).astype(np.int32), one.view(np.int64), (other >> np.uint64(32)).astype(np.uint32).view(np.int32), left, right]
 
     return map_texts(docs, rows, schema)
 
 
+def shared_runs(slack: int) -> F.Column:
+    """Keys of the passages around an anchor that are ``slack`` words longer, null where the text has no such words.
+
+    One key for each number of words on the left; two occurrences with a key in common share that passage.
+    """
+
+    def nearest(side: str, n: int):
+        return F.col(side).bitwiseAND(F.lit(-1 if n == BESIDE else (1 << 8 * n) - 1))
+
+    def has(side: str, n: int):
+        return F.shiftrightunsigned(F.col(side), 8 * n - 8).bitwiseAND(255) != 0 if n else F.lit(True)
+
+    return F.array(*(F.when(has("left", n) & has("right", slack - n), F.xxhash64("other", F.lit(n), nearest("left", n), nearest("right", slack - n))) for n in range(slack + 1)))
+
+
+def first_places(found: DataFrame, slack: int, tables: Tables) -> DataFrame:
+    """(one, other, left, right, kept): the first place that shares a passage with each anchor and words beside it.
+
+    Occurrences are brought together by equal words beside them first, so what many
+    copies hold counts once. Only anchors that occur beside different words go on
+    under the keys of their passages.
+    """
+    place, context = F.struct("doc_id", "h", "start"), ["one", "other", "left", "right"]
+    contexts = tables.store(found.groupBy(context).agg(F.min(place).alias("first"), F.max(place).alias("last")))
+    several = contexts.groupBy("one", "other").agg(F.count("*").alias("n"), F.min("first").alias("low"), F.max("last").alias("high")).where("low <> high").select("one", "other", "n")
+    keyed = tables.store(spread_join(contexts, several, ["one", "other"]).withColumn("keys", F.array_compact(shared_runs(slack))).where("size(keys) > 0"))
+    alone = keyed.where("n = 1").select(*context, F.col("first").alias("kept"))
+    runs = keyed.where("n > 1").select(*context, "first", "last", F.explode("keys").alias("key"))
+    kept = runs.groupBy("one", "key").agg(F.min("first").alias("kept"), F.max("last").alias("end")).where("kept <> end").select("one", "key", "kept")
+    return alone.union(spread_join(runs, kept, ["one", "key"]).groupBy(context).agg(F.min("kept").alias("kept")))
+
+
 def repeated_passages(docs: DataFrame, width: int = WIDTH, guarantee: int = GUARANTEE) -> DataFrame:
     """(doc_id, h, start, end, class_id, kept_doc_id, kept_start): stretches that repeat earlier ones.
 
-    Passages that overlap and repeat the same document become one row.
+    Every passage of ``guarantee`` words that repeats an earlier one has a row, which lies
+    inside the repeat and lacks at most ``guarantee - width`` words at each of its ends.
+    Anchors that overlap and repeat the same document become one row.
     """
-    found = passages(docs, width, guarantee)
-    place = F.struct("doc_id", "h", "start")
-    groups = found.groupBy("one", "other").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last").drop("last")
-    again = spread_join(found, groups, ["one", "other"]).where(place != F.col("kept"))
-    kept = ("kept_doc_id", "kept_h")
-    spans = again.select("doc_id", "h", F.col("start").cast("long"), (F.col("start") + F.col("length")).cast("long").alias("end"), F.col("one").alias("class_id"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.h").alias("kept_h"), F.col("kept.start").cast("long").alias("kept_start"))
-    along = Window.partitionBy("doc_id", "h", *kept).orderBy("start", "end", "kept_start")
-    apart = F.coalesce(F.col("start") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    runs = spans.withColumn("new", apart.cast("int")).withColumn("run", F.sum("new").over(along))
-    joined = runs.groupBy("doc_id", "h", *kept, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.struct("class_id", "kept_start"), F.struct("start", "end", "kept_start")).alias("f"))
-    return joined.select("doc_id", "h", "start", "end", "f.class_id", "kept_doc_id", "f.kept_start")
+    slack = guarantee - width
+    if not 0 <= slack <= BESIDE:
+        raise ValueError(f"a passage may be up to {BESIDE} words longer than its anchor, not {slack}")
+    with Tables(docs.sparkSession) as tables:
+        counted = anchor_counts(docs, width, guarantee).groupBy("id").agg(F.sum("n").alias("n")).where("n > 1")
+        found = tables.store(anchors(docs, width, guarantee, jaccard.bitmap(counted.select("id"))))
+        place = F.struct("doc_id", "h", "start")
+        again = spread_join(found, first_places(found, slack, tables), ["one", "other", "left", "right"]).where(place != F.col("kept"))
+        kept = ("kept_doc_id", "kept_h")
+        spans = again.select("doc_id", "h", F.col("start").cast("long"), (F.col("start") + F.col("length")).cast("long").alias("end"), F.col("one").alias("class_id"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.h").alias("kept_h"), F.col("kept.start").cast("long").alias("kept_start"))
+        along = Window.partitionBy("doc_id", "h", *kept).orderBy("start", "end", "kept_start")
+        apart = F.coalesce(F.col("start") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+        runs = spans.withColumn("new", apart.cast("int")).withColumn("run", F.sum("new").over(along))
+        joined = runs.groupBy("doc_id", "h", *kept, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.struct("class_id", "kept_start"), F.struct("start", "end", "kept_start")).alias("f"))
+        return cut(joined.select("doc_id", "h", "start", "end", "f.class_id", "kept_doc_id", "f.kept_start"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:

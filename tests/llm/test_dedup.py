@@ -1,6 +1,7 @@
 """Operators that compare texts, against brute force."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -220,6 +221,74 @@ def test_embedded_passages(documents):
         assert texts[x.doc_id][x.start : x.end] in " ".join(shared[x.doc_id % 5])
 
 
+def repeated_runs(pairs, length):
+    """Brute force: of each text, places of its words, and which of its runs of so many words an earlier place has too."""
+    seen, out = {}, {}
+    for i, text in sorted(pairs):
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        names = [text[a:b].lower() for a, b in words]
+        runs = range(max(0, len(words) - length + 1))
+        out[i] = words, np.array([seen.setdefault(tuple(names[k : k + length]), (i, k)) != (i, k) for k in runs], bool)
+    return out
+
+
+@pytest.mark.parametrize("part", [1 << 19, 23])
+def test_passages_against_brute_force(monkeypatch, documents, part):
+    """Pasted passages of 12 to 60 words, some with changed words, at any place of a text, edges and periodic texts included."""
+    monkeypatch.setattr(paragraphs, "PART", part)
+    r = random.Random(21)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    fill = lambda n: [word() for _ in range(n)]
+    pool = [fill(n) for n in (12, 15, 18, 19, 20, 20, 21, 24, 28, 32, 36, 40, 45, 60)]
+    pairs = []
+    for i in range(260):
+        parts = fill(r.choice((0, 3, 30)))
+        for _ in range(r.randint(0, 2)):
+            piece = list(r.choice(pool))
+            if r.random() < 0.4:
+                piece[r.randrange(len(piece))] = word()
+            cut = r.randrange(4) if r.random() < 0.3 else 0
+            parts += piece[cut:] + fill(r.choice((0, 1, 5, 30)))
+        pairs.append((i, r.choice((" ", "\n", " é ")).join(parts)))
+    pairs += [(300, "na " * 90), (301, "one two three " * 30), (302, "x"), (303, "Na " * 19)]
+    slack = paragraphs.GUARANTEE - paragraphs.WIDTH
+    spans = defaultdict(list)
+    for x in paragraphs.repeated_passages(documents(pairs)).collect():
+        spans[x.doc_id].append((x.start, x.end))
+        texts = dict(pairs)
+        assert (x.kept_doc_id, x.kept_start) < (x.doc_id, x.start)
+        first = texts[x.doc_id][x.start : x.end].lower().split()[: paragraphs.WIDTH]
+        assert texts[x.kept_doc_id][x.kept_start :].lower().split()[: paragraphs.WIDTH] == first
+    chance = found = 0
+    for i, (words, again) in repeated_runs(pairs, paragraphs.GUARANTEE).items():
+        covered = np.array([any(a <= p and q <= b for a, b in spans[i]) for p, q in words], bool)
+        edges = np.flatnonzero(np.diff(again.astype(np.int8), prepend=0, append=0))
+        allowed = np.zeros(len(words), bool)
+        for a, b in zip(edges[::2], edges[1::2] + paragraphs.GUARANTEE - 1):
+            found += 1
+            allowed[a:b] = True
+            assert covered[a + slack : b - slack].all() and covered[a:b].sum() >= paragraphs.WIDTH
+        chance += bool((covered & ~allowed).any())
+    assert found > 60 and chance <= 1
+
+
+@pytest.mark.parametrize("words", [20, 28, 36, 45])
+def test_recall_of_embedded_passages(documents, words):
+    r = random.Random(words)
+    fill = lambda n: ["".join(r.choices("abcdefghij", k=6)) for _ in range(n)]
+    pairs = []
+    for i in range(300):
+        shared = fill(words)
+        pairs += [(k, " ".join(fill(40) + shared + fill(40))) for k in (i, 1000 + i)]
+    pairs += [(2000 + i, " ".join(fill(100))) for i in range(300)]
+    assert {x.doc_id for x in paragraphs.repeated_passages(documents(pairs)).collect()} == set(range(1000, 1300))
+
+
+def test_passage_longer_than_its_anchor(documents):
+    with pytest.raises(ValueError):
+        paragraphs.repeated_passages(documents([]), 28, 51)
+
+
 @pytest.mark.parametrize("part", [1 << 19, 40])
 def test_passages_in_parts(monkeypatch, part):
     r = random.Random(3)
