@@ -59,8 +59,8 @@ def bitmap(ids: DataFrame) -> np.ndarray:
     low = F.col("id").bitwiseAND((1 << FILTER_BITS) - 1)
     words = ids.select(F.shiftright(low, 5).alias("w"), F.expr(f"shiftleft(1L, cast(id & 31 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
     out = np.zeros(1 << FILTER_BITS - 5, np.uint32)
-    got = words.toPandas()
-    out[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64).astype(np.uint32)
+    got = words.toArrow()
+    out[got["w"].to_numpy()] = got["v"].to_numpy().astype(np.uint32)
     return out
 
 
