@@ -277,13 +277,15 @@ def first_places(found: DataFrame, slack: int, tables: Tables) -> DataFrame:
     under the keys of their passages.
     """
     place, context = F.struct("doc_id", "h", "start"), ["one", "other", "left", "right"]
-    contexts = tables.store(found.groupBy(context).agg(F.min(place).alias("first"), F.max(place).alias("last")))
-    several = contexts.groupBy("one", "other").agg(F.count("*").alias("n"), F.min("first").alias("low"), F.max("last").alias("high")).where("low <> high").select("one", "other", "n")
-    keyed = tables.store(spread_join(contexts, several, ["one", "other"]).withColumn("keys", F.array_compact(shared_runs(slack))).where("size(keys) > 0"))
-    alone = keyed.where("n = 1").select(*context, F.col("first").alias("kept"))
-    runs = keyed.where("n > 1").select(*context, "first", "last", F.explode("keys").alias("key"))
-    kept = runs.groupBy("one", "key").agg(F.min("first").alias("kept"), F.max("last").alias("end")).where("kept <> end").select("one", "key", "kept")
-    return alone.union(spread_join(runs, kept, ["one", "key"]).groupBy(context).agg(F.min("kept").alias("kept")))
+    places = found.groupBy(context).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    contexts = tables.store(places.select(*context, "first", (F.col("first") != F.col("last")).alias("again")))
+    several = contexts.groupBy("one", "other").agg(F.count("*").alias("n"), F.max("again").alias("repeats")).where("n > 1 OR repeats").select("one", "other", "n")
+    held = tables.store(spread_join(contexts, several, ["one", "other"]))
+    keys = F.array_compact(shared_runs(slack))
+    alone = held.where("n = 1").where(F.size(keys) > 0).select(*context, F.col("first").alias("kept"))
+    runs = held.where("n > 1").select(*context, "first", "again", F.explode(keys).alias("key"))
+    kept = runs.groupBy("one", "key").agg(F.min("first").alias("kept"), F.count("*").alias("n"), F.max("again").alias("repeats")).where("n > 1 OR repeats").select("one", "key", "kept")
+    return alone.union(spread_join(runs.drop("first", "again"), kept, ["one", "key"]).groupBy(context).agg(F.min("kept").alias("kept")))
 
 
 def repeated_passages(docs: DataFrame, width: int = WIDTH, guarantee: int = GUARANTEE) -> DataFrame:
