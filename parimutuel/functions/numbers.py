@@ -83,11 +83,12 @@ def written(digits: Column, point: Column) -> Column:
 def plain(x: Column) -> Column:
     """A number as text: 2 rather than 2.0, 10000000 rather than 1.0E7."""
     size = F.abs(x)
-    # Few decimals in an ordinary range need no care.
-    easy = (size >= 0.001) & (size < 1e7) & (F.round(x, 3) == x)
+    # Few decimals in an ordinary range need no care: a quotient of whole numbers is the nearest double.
+    easy = (size >= 0.001) & (size < 1e7) & (F.floor(x * 1000 + 0.5) / 1000 == x)
+    short = F.when(F.floor(x) == x, F.floor(x).cast("string")).otherwise(x.cast("string"))
     sign = F.when(x < 0, "-").otherwise("")
     rare = F.when(F.isnan(x), "NaN").when(size == float("inf"), F.concat(sign, F.lit("Infinity"))).when(x == 0, "0")
-    return F.when(x.isNull(), None).when(easy, F.regexp_replace(x.cast("string"), r"\.0$", "")).otherwise(F.coalesce(rare, F.concat(sign, parts(shortest(size), written))))
+    return F.when(x.isNull(), None).when(easy, short).otherwise(F.coalesce(rare, F.concat(sign, parts(shortest(size), written))))
 
 
 def signed(x: Column) -> Column:
@@ -103,16 +104,20 @@ def fixed(x: Column, digits: int) -> Column:
     """
     if digits not in (1, 2):
         raise ValueError("one or two digits")
+    return let(x, lambda known: fixed_text(known, digits))
+
+
+def fixed_text(x: Column, digits: int) -> Column:
+    """``fixed`` of a number that is read many times, so it should not be computed anew each time."""
     ten = 10**digits
     size = F.abs(x)
 
     def text(s: Column) -> Column:
         whole = F.floor(s)
         rest = F.floor((s - whole.cast("double")) * float(1 << 60))
-        high, low = F.shiftright(rest, 30), rest.bitwiseAND((1 << 30) - 1)
-        last = F.shiftright(high * ten + F.shiftright(low * ten, 30) + (1 << 29), 30)
+        last = lambda r: F.shiftright(F.shiftright(r, 30) * ten + F.shiftright(r.bitwiseAND((1 << 30) - 1) * ten, 30) + (1 << 29), 30)
         point = lambda n: F.concat((whole + F.floor(n / ten)).cast("string"), F.lit("."), F.lpad((n % ten).cast("string"), digits, "0"))
-        return let(last, point)
+        return let(let(rest, last), point)
 
     sign = F.when(x < 0, "-").otherwise("")
     usual = F.when(size < float(1 << 62), F.concat(sign, text(F.when(size < float(1 << 62), size))))

@@ -27,10 +27,12 @@ def analysis_input(matches: DataFrame, news: DataFrame, league: Column) -> DataF
 
     Missing bookmakers are stored as an empty list.
     """
-    known = with_news(matches.withColumn("bookmakers", F.coalesce("bookmakers", F.array())), news)
-    date = day_and_time(instant(F.col("commence_time")))
     home, away = F.col("home_team"), F.col("away_team")
-    asked = prompt(league, date, home, away, odds_text(F.col("bookmakers"), home, away), F.col("home_news"), F.col("away_news"))
+    listed = matches.withColumn("bookmakers", F.coalesce("bookmakers", F.array()))
+    # Written below the joins: the prompt names the text three times, and above them each would be written anew.
+    known = with_news(listed.withColumn("odds text", odds_text(F.col("bookmakers"), home, away)), news)
+    date = day_and_time(instant(F.col("commence_time")))
+    asked = prompt(league, date, home, away, F.col("odds text"), F.col("home_news"), F.col("away_news"))
     return known.select("id", league.alias("league"), date.alias("matchDate"), home.alias("homeTeam"), away.alias("awayTeam"), asked.alias("prompt"), F.to_json("bookmakers").alias("odds"))
 
 

@@ -213,3 +213,9 @@ def test_names_without_letters_match_all_by_pieces_too(spark):
 @pytest.mark.parametrize("text,kept", [("2026-01-03T15:00:00Z", True), ("2026-01-03", True), ("15:00", False), ("T15:00:00", False), ("2026-01", False), ("soon", False), ("", False), (None, False)])
 def test_only_whole_dates_are_instants(spark, text, kept):
     assert (spark.createDataFrame([(text,)], "t string").select(instant(F.col("t"))).first()[0] is not None) is kept
+
+
+def test_the_odds_of_a_prompt_are_written_once(spark, f1):
+    news = spark.createDataFrame([], NEWS)
+    plan = analysis_input(f1, news, F.lit("L")).select("id", "prompt")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(schemas.ODDS_COUNT) == 1
