@@ -63,9 +63,17 @@ def prompt(league: Column, date: Column, home: Column, away: Column, odds: Colum
 
 
 def with_news(matches: DataFrame, news: DataFrame) -> DataFrame:
-    """Adds ``home_news`` and ``away_news``; teams without news keep null. ``news`` has a row a team."""
+    """Adds ``home_news`` and ``away_news``; teams without news keep null. ``news`` has a row a team.
+
+    Texts are brought to pairs of teams, and each match then finds its pair, so no text
+    is sorted or shuffled once for every match of a team. ``matches`` is read twice, the
+    first time for its teams alone.
+    """
     texts = news.select("team", search_text(F.col("answer"), F.col("results")).alias("text"))
+    pairs = matches.select("home_team", "away_team").distinct()
     for side in ("home", "away"):
         of = texts.select(F.col("team").alias(f"{side}_team"), F.col("text").alias(f"{side}_news"))
-        matches = matches.join(of, f"{side}_team", "left")
-    return matches
+        pairs = pairs.join(of, f"{side}_team", "left")
+    told = pairs.select(F.col("home_team").alias("home of pair"), F.col("away_team").alias("away of pair"), "home_news", "away_news")
+    same = F.col("home_team").eqNullSafe(F.col("home of pair")) & F.col("away_team").eqNullSafe(F.col("away of pair"))
+    return matches.join(told, same, "left").drop("home of pair", "away of pair")

@@ -13,7 +13,7 @@ from parimutuel.operators import rules
 from parimutuel import schemas
 from parimutuel.operators import matching
 from parimutuel.operators.matching import named_matches, sport_key, with_league_label
-from parimutuel.operators.text import odds_text, prompt, search_text, short_odds_text
+from parimutuel.operators.text import odds_text, prompt, search_text, short_odds_text, with_news
 from parimutuel.plans.flows import analysis_input, finished, upcoming_list
 from parimutuel.schemas import MATCHES, NEWS
 
@@ -219,3 +219,21 @@ def test_the_odds_of_a_prompt_are_written_once(spark, f1):
     news = spark.createDataFrame([], NEWS)
     plan = analysis_input(f1, news, F.lit("L")).select("id", "prompt")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(schemas.ODDS_COUNT) == 1
+
+
+def test_news_are_brought_to_pairs_of_teams(spark):
+    """No join takes in rows that hold both a match and a text; nulls and missing teams keep their match."""
+    listed = spark.createDataFrame([("1", "A", "B"), ("2", "A", "B"), ("3", None, "B"), ("4", "A", None), ("5", None, None), ("6", "X", "Y"), ("7", "B", "A")], "id string, home_team string, away_team string")
+    news = spark.createDataFrame([("A", "a", []), ("B", "b", [])], "team string, answer string, results array<struct<title string, content string>>")
+    told = with_news(listed, news)
+    a, b = "Summary: a", "Summary: b"
+    assert sorted(tuple(r) for r in told.select("id", "home_news", "away_news").collect()) == [("1", a, b), ("2", a, b), ("3", None, b), ("4", a, None), ("5", None, None), ("6", None, None), ("7", b, a)]
+    nodes = [told._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        below = node.children().iterator()
+        while below.hasNext():
+            child = below.next()
+            nodes.append(child)
+            names = {c.strip().split("#")[0] for c in child.output().mkString(",").split(",")}
+            assert node.nodeName() != "Join" or not {"id", "home_news"} <= names
