@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, StringType, StructField, StructType, TimestampType
@@ -46,11 +47,15 @@ def land(matches: DataFrame, path: str, days: int = 1) -> None:
     start = F.date_sub(day, F.pmod(F.datediff(day, F.lit("1970-01-01")), F.lit(days)))
     timed = matches.withColumn("starts_at", instant(F.col("commence_time"))).withColumn("from_day", start)
     reason = F.when(F.col("id").isNull(), "no id").when(F.col("starts_at").isNull(), "no date")
-    rated = timed.withColumn("reason", reason)
-    rated.where("reason IS NOT NULL").drop("starts_at", "from_day").write.mode("append").parquet(f"{path}/rejects")
-    salt = F.pmod(F.xxhash64("id"), F.lit(4))
-    good = rated.where("reason IS NULL").drop("reason").repartition("sport", "from_day", salt)
-    good.sortWithinPartitions("sport", "from_day", "starts_at").write.mode("append").partitionBy("sport", "from_day").parquet(f"{path}/matches")
+    # Kept on disk for both writes, so that matches nested or fetched on the way are so once.
+    rated = timed.withColumn("reason", reason).persist(StorageLevel.DISK_ONLY)
+    try:
+        salt = F.pmod(F.xxhash64("id"), F.lit(4))
+        good = rated.where("reason IS NULL").drop("reason").repartition("sport", "from_day", salt)
+        good.sortWithinPartitions("sport", "from_day", "starts_at").write.mode("append").partitionBy("sport", "from_day").parquet(f"{path}/matches")
+        rated.where("reason IS NOT NULL").drop("starts_at", "from_day").write.mode("append").parquet(f"{path}/rejects")
+    finally:
+        rated.unpersist()
 
 
 def landed_upcoming(spark: SparkSession, path: str, now: Column, days: int = 1, sports: list[str] | None = None) -> DataFrame:

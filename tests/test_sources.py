@@ -356,6 +356,20 @@ def test_a_scan_of_a_week_reads_a_week(spark, tmp_path):
     assert reasons == {"no date": "8", "no id": None}
 
 
+def test_landing_reads_a_feed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    feed = spark.range(20).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") < 5, "soon").otherwise("2026-01-03T15:00:00Z").alias("commence_time"), F.lit("h").alias("home_team"), F.lit("w").alias("away_team"), F.from_json(F.lit("[]"), BOOKMAKERS).alias("bookmakers"), F.col("id").cast("int").alias("src_ord"), F.lit("s").alias("sport"))
+    files.land(feed.mapInArrow(counted, feed.schema), str(tmp_path))
+    assert seen.value == 20
+    assert spark.read.parquet(f"{tmp_path}/matches").count() == 15 and spark.read.parquet(f"{tmp_path}/rejects").count() == 5
+
+
 @pytest.mark.parametrize("body,reason", [
     ('{"homeTeam":"h","awayTeam":"w","league":"l","matchDate":"d","bookmakers":[{"title":"t","markets":[]}],"more":1}', None),
     ('{"homeTeam":"h","awayTeam":"w"}', None), ('{"homeTeam":"h","awayTeam":"w","league":null}', None),
