@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.checkpoint import cut, shared_folder  # noqa: F401  cut is for the operators
+from ..plans.checkpoint import cut, freed_shuffles, shared_folder  # noqa: F401  cut is for the operators
 
 #: Rows handled at once inside a task; bounds the memory of a Python worker.
 SLICE_BYTES = 2 << 20
@@ -42,7 +42,8 @@ class Tables:
     def store(self, df: DataFrame) -> DataFrame:
         self.n += 1
         at = f"{self.path}/{self.n}"
-        df.write.option("compression", "zstd").parquet(at)
+        with freed_shuffles(self.spark):
+            df.write.option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def __exit__(self, *_) -> None:

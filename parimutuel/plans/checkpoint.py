@@ -24,10 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freed_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 @contextmanager

@@ -95,3 +95,27 @@ def test_queries(spark, name):
         want = con.sql(entry.llm.ORACLE[name]).df()
         rows = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(object).itertuples(index=False)))
         assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_shuffle_files_go_with_the_table_they_served(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from parimutuel.llm.common import Tables
+
+    def shuffles() -> list[str]:
+        files, names = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().iterator(), []
+        while files.hasNext():
+            names.append(files.next().getName())
+        return [n for n in names if n.startswith("shuffle_")]
+
+    before = set(shuffles())
+    with Tables(spark) as tables:
+        stored = tables.store(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3))
+        until = time.time() + 5
+        while set(shuffles()) - before and time.time() < until:
+            time.sleep(0.1)
+        assert not set(shuffles()) - before
+        assert stored.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
