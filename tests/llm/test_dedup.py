@@ -289,6 +289,41 @@ def test_passage_longer_than_its_anchor(documents):
         paragraphs.repeated_passages(documents([]), 28, 51)
 
 
+def test_passages_of_frequent_anchors_and_small_blocks(monkeypatch, documents):
+    """What is frequent goes by its passages, what a task holds by blocks; neither changes a row."""
+    r = random.Random(9)
+    fill = lambda n: ["".join(r.choices("abcdefghij", k=6)) for _ in range(n)]
+    pool = [fill(n) for n in (12, 19, 20, 21, 24, 30, 60)]
+    pairs = [(i if i % 9 else None, " ".join(fill(r.choice((0, 3, 30))) + r.choice(pool) + fill(r.choice((0, 1, 5, 30))))) for i in range(200)]
+    docs = documents([*pairs, *pairs[:20], (5, " ".join(pool[-1])), (1, "na " * 90)]).repartition(3)
+    rows = lambda: sorted(map(repr, paragraphs.repeated_passages(docs).collect()))
+    want = rows()
+    for hot, held, together in ((2, 1 << 18, 1 << 16), (2, 40, 4), (1 << 12, 40, 4)):
+        for name, value in (("HOT", hot), ("HELD", held), ("TOGETHER", together)):
+            monkeypatch.setattr(paragraphs, name, value)
+        assert rows() == want
+    assert len(want) == len(set(want)) > 100
+
+
+def shuffled_records(spark, run):
+    """Records that the stages of ``run`` write to shuffles."""
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    written = lambda: (sc._jsc.sc().listenerBus().waitUntilEmpty(30_000), {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages().apply(i) for i in range(stages().size()))})[1]
+    before = written()
+    run()
+    return sum(n for k, n in written().items() if k not in before)
+
+
+def test_passages_shuffle_buckets_not_anchors(spark, documents):
+    r = random.Random(11)
+    fill = lambda n: ["".join(r.choices("abcdefghij", k=6)) for _ in range(n)]
+    shared = [fill(600) for _ in range(200)]
+    docs = documents([(i, " ".join(fill(3) + shared[i % 200] + fill(3))) for i in range(600)]).repartition(3)
+    anchors = 600 * 600 // 6
+    assert shuffled_records(spark, lambda: paragraphs.repeated_passages(docs).count()) < anchors
+
+
 @pytest.mark.parametrize("part", [1 << 19, 40])
 def test_passages_in_parts(monkeypatch, part):
     r = random.Random(3)
