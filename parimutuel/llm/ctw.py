@@ -9,7 +9,7 @@ counts say.
 
 No table of nodes leaves the cluster. The texts are kept in blocks; of each block the
 distinct runs (``depth`` bytes of context, nearest first, then the byte) are counted,
-and a shuffle adds them up. Runs that share their SPLIT nearest bytes are sorted into
+and a shuffle adds them up; they travel packed by buckets. Runs that share their SPLIT nearest bytes are sorted into
 one place, where all deeper nodes and their mixtures follow from them; at most
 256**(depth + 1 - SPLIT) runs can share these bytes. The shallower nodes come from
 grouping what the deeper ones add to them, and go back down by joins. So each distinct
@@ -41,14 +41,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Tables, cut, pa_schema, spread_join
+from .common import LOWER, Tables, cut, pa_schema, packed, spread_join, unpacked, whole_buckets
 
 #: Bytes of context, and how many of the nearest bring runs together.
 DEPTH, SPLIT = 5, 3
 #: Bytes of texts in a block.
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 #: Frequent words whose counts are broadcast: 16 bytes each.
 COMMON = 1 << 18
+#: Bits of the bucket that a run travels in.
+BUCKET = 10
 #: Distinct runs or words that a task gathers before it hands them on.
 HELD = 1 << 19
 #: Texts are read in parts of about so many bytes.
@@ -89,7 +91,7 @@ def runs(parts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarra
 
 def added(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, sorted, with the sums of their values."""
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # merges keys that are sorted in parts
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return (keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values))
@@ -129,16 +131,19 @@ def blocks(docs: DataFrame, depth: int) -> DataFrame:
 
         def emit() -> Iterator[pa.RecordBatch]:
             nonlocal block
-            rows, size = [], 0
+            rows, size, sent = [], 0, 0
             for name, (text, times) in held.items():
                 for k, piece in enumerate(pieces(text, depth)):
                     rows.append((block, name, k, times, piece))
                     size += len(piece)
-                    if size >= BLOCK:
+                    if size - sent >= PART or size >= BLOCK:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
-                        rows, size, block = [], 0, block + 1
+                        rows, sent = [], size
+                    if size >= BLOCK:
+                        size, sent, block = 0, 0, block + 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+            if size:
                 block += 1
 
         for batch in batches:
@@ -158,30 +163,46 @@ def blocks(docs: DataFrame, depth: int) -> DataFrame:
     return docs.select("text", (~held_out(F.col("doc_id"))).alias("training")).mapInArrow(deal, PIECES)
 
 
-def counted_runs(dealt: DataFrame, depth: int) -> DataFrame:
-    """(block, run, n): the distinct runs of each block, and how often training has them there."""
-    out = pa_schema(dealt.sparkSession, "block long, run long, n long")
+RUNS = "block long, bucket int, runs binary, n binary"
+
+
+def by_bucket(run: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Buckets, and for each of them the distinct runs of it, ascending, and their values.
+
+    Runs of the same four nearest bytes share a bucket, which keeps a bucket's runs alike.
+    """
+    bucket = ((run >> 16).astype(np.uint64) * MIX >> np.uint64(64 - BUCKET)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    at = np.searchsorted(bucket[order], np.arange((1 << BUCKET) + 1))
+    some = np.flatnonzero(np.diff(at))
+    at = np.append(at[some], len(run))
+    return some.astype(np.int32), [packed(v[order], at) for v in (run, *values)]
+
+
+def block_runs(dealt: DataFrame, depth: int) -> DataFrame:
+    """(block, bucket, runs, n): the distinct runs of each block, and how often training has them there, packed by buckets."""
+    out = pa_schema(dealt.sparkSession, RUNS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, more = None, [], []
 
         def emit() -> pa.RecordBatch:
-            run, n = added(*map(np.concatenate, zip(*more)))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(run), block)), pa.array(run), pa.array(n)], schema=out)
+            buckets, columns = by_bucket(*added(*map(np.concatenate, zip(*more))))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(buckets), block)), pa.array(buckets), *columns], schema=out)
 
         def take(pieces_held: list[tuple[int, bytes]]) -> None:
             for times in {t for t, _ in pieces_held}:
                 for run, _ in runs([d for t, d in pieces_held if t == times], depth):
                     distinct, n = np.unique(run, return_counts=True)
                     more.append((distinct, times * n))
-            if len(more) >= 16:
-                more[:] = [added(*map(np.concatenate, zip(*more)))]
+                    if len(more) >= 6:
+                        more[:] = [added(*map(np.concatenate, zip(*more)))]
 
         size = 0
         for batch in batches:
             of, times = batch.column(0).to_numpy(), batch.column(3).to_numpy()
             for k in range(batch.num_rows):
-                if of[k] != block or size >= 2 * PART:
+                if of[k] != block or size >= PART:
                     if parts:
                         take(parts)
                         parts, size = [], 0
@@ -196,7 +217,24 @@ def counted_runs(dealt: DataFrame, depth: int) -> DataFrame:
             take(parts)
             yield emit()
 
-    return dealt.mapInArrow(count, "block long, run long, n long")
+    return dealt.mapInArrow(count, RUNS)
+
+
+def summed(found: DataFrame) -> DataFrame:
+    """(run, n): the runs of all blocks, added up."""
+    out = pa_schema(found.sparkSession, "run long, n long")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_buckets(batches, 1, PART):
+            columns = added(*(unpacked(table[c].combine_chunks(), np.int64) for c in ("runs", "n")))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out)
+
+    return found.select("bucket", "runs", "n").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "run long, n long")
+
+
+def counted_runs(dealt: DataFrame, depth: int) -> DataFrame:
+    """(run, n): the distinct runs of all blocks, and how often training has them."""
+    return summed(block_runs(dealt, depth))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -357,19 +395,62 @@ def logarithms(counts: DataFrame, around: DataFrame, depth: int, split: int) ->
     return rows.union(nodes).repartition("key").sortWithinPartitions("key", "run").mapInArrow(predict, "run long, log double")
 
 
+def answered(found: DataFrame, logs: DataFrame) -> DataFrame:
+    """(block, runs, logs): the logarithms (run, log) of each row of ``found``.
+
+    Seven digits of each logarithm are enough on the way back to the blocks.
+    """
+    asked, answer = "bucket int, block long, runs binary, logs binary", "block long, runs binary, logs binary"
+    sent, out = pa_schema(found.sparkSession, asked), pa_schema(found.sparkSession, answer)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def emit() -> pa.RecordBatch:
+            run, log = map(np.concatenate, zip(*held))
+            buckets, columns = by_bucket(run, log.astype(np.float32))
+            return pa.RecordBatch.from_arrays([pa.array(buckets), pa.nulls(len(buckets), pa.int64()), *columns], schema=sent)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+                size += batch.num_rows
+            if size >= HELD:
+                yield emit()
+                held, size = [], 0
+        if held:
+            yield emit()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_buckets(batches, 2, PART):
+            given = table.filter(pa.compute.is_null(table["block"]))
+            run, log = unpacked(given["runs"].combine_chunks(), np.int64), unpacked(given["logs"].combine_chunks(), np.float32)
+            order = np.argsort(run)
+            run, log = run[order], log[order]
+            table = table.filter(pa.compute.is_valid(table["block"]))
+            data = table["runs"].combine_chunks()
+            ends = np.cumsum(pa.compute.binary_length(data).to_numpy() // 8)
+            yield pa.RecordBatch.from_arrays([table["block"].combine_chunks(), data, packed(log[np.searchsorted(run, unpacked(data, np.int64))], np.append(0, ends))], schema=out)
+
+    rows = found.select("bucket", "block", "runs", F.lit(None).cast("binary").alias("logs"))
+    dealt = rows.union(logs.select("run", "log").mapInArrow(pack, asked))
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(look, answer)
+
+
 def added_up(dealt: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
     """(name, score) of each text, from the logarithms of the runs of its blocks."""
     out = pa_schema(dealt.sparkSession, "name long, part int, score double")
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        order = np.argsort(known["run"].to_numpy())
-        every, logs, data = known["run"].to_numpy()[order], known["log"].to_numpy()[order], texts["data"].to_pylist()
-        total = np.zeros(len(data))
+        every, logs = unpacked(known["runs"].combine_chunks(), np.int64), unpacked(known["logs"].combine_chunks(), np.float32)
+        order = np.argsort(every)
+        every, logs = every[order], logs[order]
+        total = np.zeros(texts.num_rows)
         # A few pieces at once: their runs' places take many times their own room.
-        ends = np.cumsum([len(d) for d in data])
-        cuts = [0, *np.unique(np.searchsorted(ends, np.arange(2 * PART, ends[-1], 2 * PART)) + 1), len(data)]
+        ends = np.cumsum(pa.compute.binary_length(texts["data"]).to_numpy())
+        cuts = [0, *np.unique(np.searchsorted(ends, np.arange(PART, ends[-1], PART)) + 1), texts.num_rows]
         for a, b in zip(cuts, cuts[1:]):
-            for run, of in runs(data[a:b], depth) if a < b else ():
+            for run, of in runs(texts["data"].slice(a, b - a).to_pylist(), depth) if a < b else ():
                 coded = pa.array(run).dictionary_encode()
                 distinct = coded.dictionary.to_numpy()
                 order = np.argsort(distinct)  # places that are looked up in order are near each other
@@ -387,12 +468,10 @@ def predicted(docs: DataFrame, depth: int, split: int = SPLIT) -> DataFrame:
     split = min(split, depth)
     with Tables(docs.sparkSession) as tables:
         dealt = tables.store(blocks(docs, depth))
-        found = tables.store(counted_runs(dealt, depth))
-        counts = tables.store(found.groupBy("run").agg(F.sum("n").alias("n")))
+        found = tables.store(block_runs(dealt, depth))
+        counts = tables.store(summed(found))
         deep = tables.store(deep_nodes(counts, depth, split))
-        logs = logarithms(counts, outside(deep, split, tables), depth, split)
-        # Seven digits of each logarithm are enough on the way back to the blocks.
-        answers = found.select("block", "run").join(logs.select("run", F.col("log").cast("float")), "run")
+        answers = tables.store(answered(found, logarithms(counts, outside(deep, split, tables), depth, split)))
         return cut(added_up(dealt, answers, depth))
 
 

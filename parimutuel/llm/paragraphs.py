@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import LOWER, Tables, cut, freed_shuffles, grams, hash_of, pa_schema, slices, spread_join, text_hash, words_of
+from .common import LOWER, Tables, cut, freed_shuffles, grams, hash_of, pa_schema, packed, slices, spread_join, text_hash, unpacked, whole_buckets, words_of
 from .components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -248,32 +248,6 @@ def parts_of(names: np.ndarray) -> np.ndarray:
     return np.searchsorted(names, np.arange((1 << BUCKET) + 1, dtype=np.uint64) << np.uint64(NAME - BUCKET))
 
 
-def packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    """The values between each two of these places, as bytes."""
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
-
-
-def unpacked(column: pa.Array, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column.drop_null().to_pylist()), dtype)
-
-
-def whole_buckets(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[pa.Table]:
-    """Rows sorted by bucket (column 0) as tables that part no bucket, of about so many bytes in a column."""
-    held, size, last = [], 0, None
-    for batch in batches:
-        buckets, sizes = batch.column(0).to_numpy(), pa.compute.binary_length(batch.column(column)).to_numpy()
-        at = 0
-        for first in np.flatnonzero(np.diff(buckets, prepend=-1 if last is None else last)):
-            if size + sizes[at:first].sum() >= least:
-                yield pa.Table.from_batches([*held, batch.slice(at, first - at)])
-                held, size, at = [], 0, first
-        if batch.num_rows:
-            held.append(batch.slice(at))
-            size, last = size + sizes[at:].sum(), buckets[-1]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def repeated_anchors(docs: DataFrame, width: int, guarantee: int) -> tuple[np.ndarray, np.ndarray]:
     """A filter of the anchors that occur more than once, and the names of those that occur HOT times.
 

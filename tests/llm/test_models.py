@@ -142,6 +142,21 @@ def test_predictions_add_up_to_one(spark, documents, small, tmp_path):
         assert sum(10 ** got[context << 8 | byte] for byte in range(256)) == pytest.approx(1, abs=1e-9)
 
 
+def test_runs_travel_in_buckets(spark, documents):
+    """What several blocks hold is shuffled packed: fewer records than their distinct runs."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    from .test_dedup import shuffled_records
+
+    r = random.Random(4)
+    pairs = [(i, " ".join("".join(r.choices("abcdefghij", k=5)) for _ in range(600))) for i in range(12)]
+    docs = reduce(DataFrame.union, [documents(pairs).coalesce(1) for _ in range(8)])
+    distinct = {p[i : i + 6] for _, t in pairs for p in [b"\xff" * 5 + low(t) + b"\xff"] for i in range(len(p) - 5)}
+    assert shuffled_records(spark, lambda: ctw.predicted(docs, 5).count()) < 8 * len(distinct)
+
+
 def test_runs_in_parts(monkeypatch):
     texts = [b"abc", b"", b"x" * 50, b"\xc3\xa9"]
     padded = [b"\xff" * 5 + t + b"\xff" for t in texts]
