@@ -25,7 +25,7 @@ from functools import cache
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import kept, map_texts
 
 #: Encoded texts between blanks that each of the two halves of a worker's cache keeps.
 KEEP = 150_000
@@ -206,9 +206,12 @@ def load(path: str) -> dict:
         return json.load(f)
 
 
-@cache
 def shared(path: str, spec: str) -> WordBpe:
-    return WordBpe(json.loads(spec))
+    """The encoder that a worker keeps from task to task, as long as its passes encode."""
+    mine = kept(__name__)
+    if (path, spec) not in mine:
+        mine[path, spec] = WordBpe(json.loads(spec))
+    return mine[path, spec]
 
 
 def per_document(docs: DataFrame, path: str, schema: str, row) -> DataFrame:

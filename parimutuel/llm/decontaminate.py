@@ -26,12 +26,11 @@ from typing import NamedTuple
 from uuid import uuid4
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, pa_schema
+from .common import SLICE_BYTES, pa_schema, text_filter
 from .licenses import STREAM
 from .paragraphs import powers
 
@@ -353,16 +352,13 @@ def parts(ends: np.ndarray) -> Iterator[tuple[int, int]]:
 def holds(shared: list[Shared]):
     """Whether a text holds an item, for columns."""
 
-    @F.pandas_udf("boolean")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some, texts in held(batches, lambda s: s, shared):
+    def found(parts: Iterator[list[str]]) -> Iterator[np.ndarray]:
+        for _, texts in held(parts, lambda p: p, shared):
             out = np.zeros(len(texts), bool)
             out[[k for k, *_ in all_matches(shared, texts)]] = True
-            for batch in some:
-                yield pd.Series(out[: len(batch)])
-                out = out[len(batch) :]
+            yield out
 
-    return found
+    return text_filter(found, __name__)
 
 
 LEAKS = "doc_id long, item_id long, distance int, ends long"

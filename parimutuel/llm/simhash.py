@@ -267,7 +267,8 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, radius: int = 2, similari
         contents = tables.store(of.groupBy("id").agg(first, F.max("fp").alias("fp")))
         points = tables.store(contents.groupBy("fp").agg(F.min("id").alias("name"), F.count("*").alias("n")))
         same = contents.join(points.where("n > 1"), "fp").where("id <> name").select(F.col("id").alias("a"), F.col("name").alias("b"))
-        near = links(points.select("fp"), radius)
+        # Stored, so that no task needs two Python workers at once.
+        near = tables.store(links(points.select("fp"), radius))
         a, b = (points.select(F.col("fp").alias(x), F.col("name").alias(f"{x}_name")) for x in "ab")
         close = near.join(a, "a").join(b, "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
         alike = jaccard.links(of.select("id", "bands"), lambda ids: shingle_sets(docs, whole, ids), similarity, tables)

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, text_filter
 from .licenses import STREAM
 
 #: Categories in the order of the chain, as SQL over the label table.
@@ -39,8 +39,8 @@ SAMPLE, FEATURES, FOLDS = 2500, 600, 5
 #: Bytes of a run, and bits of its hash.
 RUNS, HASH_BITS = (4, 6, 8), 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Text bytes hashed at once.
-PART = 1 << 20
+#: Text bytes hashed at once, and texts scored at once: each byte takes some 40 bytes, each text a cell a feature.
+PART, ROWS = 1 << 17, 512
 
 
 def stream(text: str) -> bytes:
@@ -150,13 +150,14 @@ class Chain(NamedTuple):
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """One row a text, one column a category."""
-        return chained(self.models, rates(texts, self.chosen))
+        parts = [texts[a : a + ROWS] for a in range(0, max(1, len(texts)), ROWS)]
+        return np.concatenate([chained(self.models, rates(p, self.chosen)) for p in parts])
 
 
 def chained(models: tuple[Linear, ...], x: np.ndarray) -> np.ndarray:
     for model in models:
         x = np.column_stack([x, np.clip(model.logits(x), -10, 10)])
-    return x[:, x.shape[1] - len(models) :]
+    return x[:, x.shape[1] - len(models) :].copy()  # else all of x stays
 
 
 def train(texts: list[str], labels: np.ndarray, names: tuple[str, ...]) -> Chain:
@@ -244,18 +245,8 @@ def accepted(docs: DataFrame, chain: Chain) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     at = chain.names.index("toxic")
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
-        out, held, size = [], [], 0
-        for text in texts:
-            held.append(text or "")
-            size += len(held[-1])
-            if size >= PART:
-                out.append(shared.value.logits(held)[:, at])
-                held, size = [], 0
-        out.append(shared.value.logits(held)[:, at])
-        return pd.Series(np.concatenate(out) <= shared.value.thresholds[at])
-
-    return docs.where(clean(F.col("text").cast("string")))
+    def clean(parts: Iterator[list[str]]) -> Iterator[np.ndarray]:
+        for texts in parts:
+            yield shared.value.logits(texts)[:, at] <= shared.value.thresholds[at]
+
+    return docs.where(text_filter(clean, __name__)(F.col("text").cast("string")))

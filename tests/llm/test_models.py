@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
@@ -288,3 +289,14 @@ def test_training_sample_never_varies(spark):
     for parts in (1, 3):
         got = toxicity.sample(docs.repartition(parts), labels, 10).collect()
         assert [(r.doc_id, r.text, r.is_toxic) for r in got] == [(1, "a", 0), (2, None, 1)]
+
+
+def test_scoring_memory_is_bounded():
+    chain = toxicity.Chain(("toxic",), np.arange(1200), (toxicity.Linear(np.zeros(1204, np.float32), 0.0),), (0.0,))
+    chain.logits(["warm up"])
+    for texts in (["some short text"] * 20_000, ["of" + "long" * 500_000]):
+        tracemalloc.start()
+        assert len(chain.logits(texts)) == len(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40e6, peak

@@ -1,11 +1,15 @@
 """The pipeline's stages, each held against its operator's brute-force rule on its own input."""
 
+import gc
+
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from parimutuel.llm import decontaminate, lines
+from parimutuel.llm import bpe, common, decontaminate, lines
 from tests.llm.test_dedup import Sets, brute_lines, grams, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -119,3 +123,13 @@ def test_shuffle_files_go_with_the_table_they_served(spark):
         assert not set(shuffles()) - before
         assert stored.count() == 7
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_workers_keep_no_encoder_for_other_passes(spark, documents):
+    docs = documents([(i, f"a text {i}") for i in range(40)]).coalesce(1)
+    encoders = lambda: sum(isinstance(o, bpe.WordBpe) for o in gc.get_objects())
+    for _ in range(3):  # until each idle worker has had its turn
+        assert bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 40
+    left = common.map_texts(docs, lambda ids, texts: [ids, np.full(len(texts), encoders())], "doc_id long, n long")
+    for _ in range(8):
+        assert left.agg({"n": "max"}).first()[0] == 0
