@@ -113,7 +113,8 @@ class Model(NamedTuple):
     weights: np.ndarray
 
     def scores(self, kernel: np.ndarray) -> np.ndarray:
-        return kernel @ self.weights[:-1] + self.weights[-1]
+        # Row by row, as one product over all rows rounds a text's scores by how many texts are beside it.
+        return np.matmul(kernel[:, None], self.weights[:-1])[:, 0] + self.weights[-1]
 
 
 def fitted(languages: list[str], texts: list[str], own: np.ndarray, kernel: np.ndarray, y: np.ndarray) -> Model:

@@ -61,6 +61,16 @@ def test_only_training_text_and_language_count(spark, documents):
     assert rows(docs) == rows(other) == rows(docs.repartition(7))
 
 
+def test_scores_do_not_depend_on_neighbours():
+    r = np.random.default_rng(1)
+    for n in (1, 2, 3, 6):
+        model = kernels.Model([*map(str, range(n))], [], r.normal(size=(129, n)))
+        kernel = r.random((300, 128))
+        whole = model.scores(kernel)
+        for size in (1, 3, 7, 50):
+            assert np.array_equal(whole, np.concatenate([model.scores(kernel[a : a + size]) for a in range(0, 300, size)]))
+
+
 def test_languages_of_odd_rows(spark, odd, documents):
     got = kernels.languages(odd).collect()
     assert len(got) == odd.count()
